@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelforge.functions.scalar import day_text, finite
+from panelforge.functions.scalar import day_text, finite, month_ordinal
+from panelforge.operators.anomalies import flag_readings
 from panelforge.operators.asof import known_from, version_join
 from panelforge.operators.intervals import merge_intervals
 from panelforge.operators.trailing import daily_values, idle_spans, trailing_prefix
@@ -180,8 +181,41 @@ def p6_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.select("id.*", "unit", F.round("as_fraction", 9).alias("as_fraction"))
 
 
+P7_TABLES = ("crsp_daily", "ccm_merged", "delisting")
+
+
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The returns of the three tables: daily and monthly ones as series of their PERMNO, delisting ones judged by their src."""
+    daily, monthly, last = (table(spark, sf_dir, t) for t in P7_TABLES)
+    day = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date"))
+    permno = F.col("PERMNO").cast("long")
+    own = permno.cast("string")
+    return (
+        daily.select(F.lit(0).alias("tbl"), F.col("rec_id").alias("id"), permno.alias("series"), own.alias("source"), day("date").alias("period"), F.col("RET").cast("double").alias("v"), F.lit(5).alias("min_run"))
+        .unionByName(
+            monthly.select(F.lit(1).alias("tbl"), F.col("rec_id").alias("id"), permno.alias("series"), own.alias("source"), month_ordinal(F.col("MthCalDt")).alias("period"), F.col("MthRet").cast("double").alias("v"), F.lit(4).alias("min_run"))
+        )
+        .unionByName(
+            last.select(F.lit(2).alias("tbl"), F.col("rec_id").alias("id"), F.xxhash64("src", "PERMNO").alias("series"), F.col("src").alias("source"), day("DLSTDT").alias("period"), F.col("DLRET").cast("double").alias("v"), F.lit(0).alias("min_run"))
+        )
+    )
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = flag_readings(readings(spark, sf_dir))
+    return flags.select(F.element_at(F.array(*[F.lit(t) for t in P7_TABLES]), F.col("tbl") + 1).alias("tbl"), F.col("id").alias("rec_id")).distinct()
+
+
+def p7_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every flagged reading with its kind."""
+    flags = flag_readings(readings(spark, sf_dir))
+    return flags.select(F.element_at(F.array(*[F.lit(t) for t in P7_TABLES]), F.col("tbl") + 1).alias("tbl"), F.col("id").alias("rec_id"), "flag", F.round("p", 3).alias("p"))
+
+
 def queries() -> dict:
     return {
+        "p7_found": p7_found,
+        "p7_flags": p7_flags,
         "p6_found": p6_found,
         "p6_converted": p6_converted,
         "p1_found": p1_found,
