@@ -12,8 +12,8 @@ from panelforge.functions.scalar import finite
 
 NORMAL, SPIKE, STUCK, OUT = range(4)
 STATES = ("normal", "spike", "stuck", "out_of_range")
-#: Rows of transition probabilities from each state, in the order of STATES.
-TRANSITION = np.array([[0.9965, 0.002, 0.001, 0.0005], [0.97, 0.02, 0.005, 0.005], [0.195, 0.002, 0.8, 0.003], [0.97, 0.01, 0.01, 0.01]])
+#: Rows of transition probabilities from each state, in the order of STATES. Spikes come singly: one makes no neighbour more suspect.
+TRANSITION = np.array([[0.9965, 0.002, 0.001, 0.0005], [0.9965, 0.002, 0.001, 0.0005], [0.1975, 0.002, 0.8, 0.0005], [0.9965, 0.002, 0.001, 0.0005]])
 START = np.array([0.9965, 0.002, 0.001, 0.0005])
 #: P(neither, one, both neighbouring periods hold the same value | state).
 SAME_USUAL, SAME_STUCK = np.array([0.9969, 0.003, 0.0001]), np.array([0.02, 0.28, 0.70])
