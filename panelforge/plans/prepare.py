@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from panelforge.functions.scalar import day_text, finite, month_ordinal
 from panelforge.operators.anomalies import flag_readings
 from panelforge.operators.asof import known_from, version_join
+from panelforge.operators.impute import filled_cells, impute_chained
 from panelforge.operators.intervals import merge_intervals
 from panelforge.operators.trailing import daily_values, idle_spans, trailing_prefix
 from panelforge.operators.units import convert, infer_units, is_missing_code
@@ -212,8 +213,39 @@ def p7_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags.select(F.element_at(F.array(*[F.lit(t) for t in P7_TABLES]), F.col("tbl") + 1).alias("tbl"), F.col("id").alias("rec_id"), "flag", F.round("p", 3).alias("p"))
 
 
+#: Between these bounds a number can be a measurement of the field; both ends lie outside.
+PANEL_BOUNDS = {"bm": (0.0, 100.0), "ep": (-5.0, 5.0), "roe": (-5.0, 5.0), "idio_vol": (0.0, 5.0)}
+#: The eleven sector codes of the industry standard.
+SECTORS = ("10", "15", "20", "25", "30", "35", "40", "45", "50", "55", "60")
+
+
+def _imputed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "char_panel_raw")
+    return impute_chained(t, "row_id", "PERMNO", "MthCalDt", PANEL_BOUNDS, "gsector", SECTORS, ("log_mktcap", "roa", "asset_growth", "turnover"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filled_cells(_imputed(spark, sf_dir), "row_id", [*PANEL_BOUNDS, "gsector"])
+
+
+P2_FOUND = """
+SELECT row_id, 'bm' field FROM char_panel_raw WHERE NOT coalesce(isfinite(bm) AND bm > 0 AND bm < 100, false)
+UNION ALL SELECT row_id, 'ep' FROM char_panel_raw WHERE NOT coalesce(isfinite(ep) AND abs(ep) < 5, false)
+UNION ALL SELECT row_id, 'roe' FROM char_panel_raw WHERE NOT coalesce(isfinite(roe) AND abs(roe) < 5, false)
+UNION ALL SELECT row_id, 'idio_vol' FROM char_panel_raw WHERE NOT coalesce(isfinite(idio_vol) AND idio_vol > 0 AND idio_vol < 5, false)
+UNION ALL SELECT row_id, 'gsector' FROM char_panel_raw WHERE NOT coalesce(trim(gsector) IN ('10','15','20','25','30','35','40','45','50','55','60'), false)
+"""
+
+
+def p2_imputed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole panel with every missing cell filled and marked."""
+    return _imputed(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "p2_found": p2_found,
+        "p2_imputed": p2_imputed,
         "p7_found": p7_found,
         "p7_flags": p7_flags,
         "p6_found": p6_found,
@@ -227,4 +259,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p4_found": P4_FOUND, "p4_trailing": P4_TRAILING, "p5_found": P5_FOUND, "p5_known": P5_KNOWN}
+    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p4_trailing": P4_TRAILING, "p5_found": P5_FOUND, "p5_known": P5_KNOWN}
