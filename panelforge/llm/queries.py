@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from panelforge.llm.language import document_languages, fit_model, identify
+from panelforge.llm.mixing import mix_copies, mix_shares
+from panelforge.llm.prefix_bpe import TOKENIZER_DIR, encode_corpus
 from panelforge.llm.survivors import survivors
 
 #: Declared order of trust in a link type; None is a missing one.
@@ -42,8 +45,55 @@ def p3_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumnsRenamed({"g1": "permno", "g2": "mth"}).withColumn("key_p", F.round("key_p", 6)).withColumn("Ticker_values", F.array_join("Ticker_values", ","))
 
 
+def p8_ids(spark: SparkSession, sf_dir: str, folder: str = TOKENIZER_DIR) -> DataFrame:
+    return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", "byte_bpe_50k", folder)
+
+
+def _sized(spark: SparkSession, sf_dir: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents")
+    both = docs.select(F.struct("doc_id", "source").alias("k"), "text")
+    sized = encode_corpus(both, "k", "text", "byte_bpe_50k", folder, counts_only=True).select("k.doc_id", "k.source", "n_tokens")
+    return sized, table(spark, sf_dir, "mix_targets")
+
+
+def p9_copies(spark: SparkSession, sf_dir: str, folder: str = TOKENIZER_DIR) -> DataFrame:
+    """How often each document is used in the mix."""
+    sized, targets = _sized(spark, sf_dir, folder)
+    return mix_copies(sized, "doc_id", "source", "n_tokens", targets).select("doc_id", "source", "n_tokens", "copies")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str, folder: str = TOKENIZER_DIR) -> DataFrame:
+    """Target and actual share of each source."""
+    sized, targets = _sized(spark, sf_dir, folder)
+    return mix_shares(mix_copies(sized, "doc_id", "source", "n_tokens", targets), targets)
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = fit_model(table(spark, sf_dir, "lang_samples"), table(spark, sf_dir, "lang_codes"))
+    return identify(table(spark, sf_dir, "documents"), model, "doc_id", "text", "lang", "path", "repo", "source")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    langs = document_languages(_segments(spark, sf_dir), "doc_id")
+    right = F.coalesce(F.col("declared") == F.col("lang"), F.lit(False))
+    return langs.where((F.col("n_langs") > 1) | ~right).select("doc_id", "lang")
+
+
+def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment of every document with its language and confidence."""
+    return _segments(spark, sf_dir).withColumn("confidence", F.round("confidence", 6))
+
+
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_survivors": p3_survivors}
+    return {
+        "p3_found": p3_found,
+        "p3_survivors": p3_survivors,
+        "p8_ids": p8_ids,
+        "p9_copies": p9_copies,
+        "p9_shares": p9_shares,
+        "p10_found": p10_found,
+        "p10_segments": p10_segments,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
