@@ -14,6 +14,8 @@ from panelforge.session import cut_lineage
 
 #: Most labelled texts the line model is fitted on; more are cut to those of the smallest hash.
 MAX_SAMPLES = 5_000
+#: Most documents whose label and file suffix agree that the line model is fitted on besides; more are cut to those of the smallest hash.
+MAX_AGREED = 4_000
 #: Most languages; they are a vocabulary, so vectors over them are small.
 MAX_LANGS = 200
 #: Lines (blank ones not counted) from which a run is a segment, and characters from which one line is minified text, a segment by itself.
@@ -52,6 +54,14 @@ def line_tokens(line: str) -> list[str]:
     return found
 
 
+def is_comment(line: str) -> bool:
+    """Whether nothing but a comment stands on the line; a block comment before code (a banner of minified text) doesn't count."""
+    if not _COMMENT.match(line):
+        return False
+    end = line.rfind("*/")
+    return end < 0 or not line[end + 2 :].strip()
+
+
 class LineModel:
     """Naive Bayes over the tokens of a line. ``weights`` (tokens, languages) are log likelihoods relative to their mean; row 0 is for unknown tokens."""
 
@@ -60,7 +70,7 @@ class LineModel:
 
     @classmethod
     def fit(cls, samples: list[tuple[str, str]], langs: list[str], names: dict[str, str]) -> LineModel:
-        """From (language, text) pairs. Tokens of fewer than three texts say nothing: they are mostly names."""
+        """From (language, text) pairs. Tokens of fewer than three texts, or one in 500, say nothing: they are mostly names."""
         index = {c: i for i, c in enumerate(langs)}
         texts: Counter[str] = Counter()
         counts: dict[str, np.ndarray] = {}
@@ -70,7 +80,7 @@ class LineModel:
                 continue
             seen = set()
             for line in text.splitlines():
-                if not line.strip() or _COMMENT.match(line) or _FENCE.match(line):
+                if not line.strip() or is_comment(line) or _FENCE.match(line):
                     continue
                 for t in line_tokens(line):
                     for u in (t, script_of(t)):
@@ -79,7 +89,8 @@ class LineModel:
                             seen.add(u)
                     total[index[lang]] += 1
             texts.update(seen)
-        kept = sorted(t for t in counts if texts[t] >= 3)
+        least = max(3, len(samples) // 500)
+        kept = sorted(t for t in counts if texts[t] >= least)
         weights = np.zeros((len(kept) + 1, len(langs)), np.float32)
         for i, t in enumerate(kept, 1):
             logp = np.log(counts[t] + SMOOTH) - np.log(total + SMOOTH * (len(kept) + 1))
@@ -112,7 +123,7 @@ def line_scores(lines: list[str], model: LineModel, index: _Index) -> np.ndarray
     cap = np.full(len(lines), LINE_CAP, np.float32)
     get = index.__getitem__
     for i, line in enumerate(lines):
-        if _COMMENT.match(line):
+        if is_comment(line):
             weight[i] = COMMENT_WEIGHT
         if len(line) >= MINIFIED:
             cap[i] = LINE_CAP * MIN_LINES
@@ -205,7 +216,7 @@ def _segment_batches(broadcast, key: str):
                 named, line_ids, fences = [], [], []
                 if text:
                     hint = -1
-                    for line in text.lstrip("﻿").splitlines():
+                    for line in text.lstrip("\ufeff").splitlines():
                         if not line or line.isspace():
                             continue
                         if line.lstrip()[:3] in ("```", "~~~") and (m := _FENCE.match(line)):
@@ -273,14 +284,52 @@ def label_names(codes: list[tuple[str, str, list[str]]]) -> dict[str, str]:
     return out
 
 
-def fit_model(samples: DataFrame, codes: DataFrame) -> LineModel:
-    """The line model from bounded labelled samples and the language vocabulary."""
+def fit_model(samples: DataFrame, codes: DataFrame, docs: DataFrame | None = None, text: str = "text", label: str = "lang", path: str = "path", key: str = "doc_id") -> LineModel:
+    """The line model from bounded labelled texts and the language vocabulary.
+
+    Labelled texts are ``samples`` and, with ``docs``, at most MAX_AGREED documents of which the label and something else agree: the usual
+    label of their file suffix or, for suffixes that hold several languages, the model fitted on the samples. Of these, only the lines
+    that lie in their label's own segments are used in the last fit, so embedded languages teach nothing wrong.
+    """
     rows = codes.select("code", "name", "aliases").limit(MAX_LANGS + 1).collect()
     if len(rows) > MAX_LANGS:
         raise ValueError("too many languages")
     names = label_names([(r["code"], r["name"], r["aliases"]) for r in rows])
+    langs = sorted(r["code"] for r in rows)
     bounded = samples.where("text IS NOT NULL").orderBy(F.xxhash64("text")).limit(MAX_SAMPLES).select("lang", "text").collect()
-    return LineModel.fit([(r["lang"], r["text"]) for r in bounded], sorted(r["code"] for r in rows), names)
+    labelled = [(r["lang"], r["text"]) for r in bounded]
+    model = LineModel.fit(labelled, langs, names)
+    if docs is None:
+        return model
+    told = docs.select(F.xxhash64(F.col(key)).alias("h"), declared_language(F.col(label), names).alias("lang"), suffix_of(F.col(path)).alias("suffix"), F.col(text).alias("text"))
+    taken = told.where(F.col("lang").isNotNull() & (F.trim("text") != "")).orderBy("h").limit(MAX_AGREED).collect()
+    by_suffix: dict[str, Counter[str]] = {}
+    for r in taken:
+        by_suffix.setdefault(r["suffix"], Counter())[r["lang"]] += 1
+    usual = {x: c.most_common(1)[0][0] for x, c in by_suffix.items() if x and c.most_common(1)[0][1] * 2 > sum(c.values())}
+    scored = _score_texts([r["text"] for r in taken], model)
+    agreed = [
+        (r["lang"], r["text"])
+        for r, s in zip(taken, scored)
+        if len(s) and (usual[r["suffix"]] == r["lang"] if r["suffix"] in usual else langs[int(s.sum(0).argmax())] == r["lang"])
+    ]
+    for _ in range(2):
+        model = LineModel.fit(labelled + agreed, langs, names)
+        paths = best_paths(_score_texts([t for _, t in agreed], model))
+        agreed = [(c, "\n".join(x for x, at in zip(_lines(t), p) if langs[at] == c)) for (c, t), p in zip(agreed, paths)]
+        agreed = [(c, t) for c, t in agreed if t]
+    return LineModel.fit(labelled + agreed, langs, names)
+
+
+def _lines(text: str) -> list[str]:
+    return [x for x in text.lstrip("\ufeff").splitlines() if x and not x.isspace() and not _FENCE.match(x)]
+
+
+def _score_texts(texts: list[str], model: LineModel) -> list[np.ndarray]:
+    numbered = _Numbered()
+    ids = [[numbered[x] for x in _lines(t)] for t in texts]
+    table = line_scores(list(numbered), model, _Index(model.vocab))
+    return [table[np.array(i, np.int64)] for i in ids]
 
 
 def identify(docs: DataFrame, model: LineModel, key: str, text: str, label: str, path: str, host: str, group: str, strength: float = 4.0) -> DataFrame:

@@ -69,8 +69,9 @@ def p9_shares(spark: SparkSession, sf_dir: str, folder: str = TOKENIZER_DIR) ->
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = fit_model(table(spark, sf_dir, "lang_samples"), table(spark, sf_dir, "lang_codes"))
-    return identify(table(spark, sf_dir, "documents"), model, "doc_id", "text", "lang", "path", "repo", "source")
+    docs = table(spark, sf_dir, "documents")
+    model = fit_model(table(spark, sf_dir, "lang_samples"), table(spark, sf_dir, "lang_codes"), docs)
+    return identify(docs, model, "doc_id", "text", "lang", "path", "repo", "source")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
