@@ -24,7 +24,9 @@ MIN_LINES, MINIFIED = 5, 600
 LINE_CAP, SWITCH, COMMENT_WEIGHT = 10.0, 10.0, 0.02
 #: Nats for the language that a code fence names.
 FENCE_BONUS = 6.0
-SMOOTH = 0.3
+#: Nats a line must say against its document's agreed label before it is left out of the fit.
+LABEL_HOLD = 5.0
+SMOOTH = 1.0
 
 _TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]{1,2}|\d+|_")
 _COMMENT = re.compile(r'\s*(?://|/\*|\*(?:\s|/|$)|#\s|--\s|<!--|"""[^"]*"""\s*$)')
@@ -45,9 +47,9 @@ def script_of(word: str) -> str | None:
 
 
 def line_tokens(line: str) -> list[str]:
-    """Tokens of a line without inline comments, with marks for the first and last of them."""
+    """Tokens of a line without inline comments, with marks for the first and last of several."""
     found = _TOKEN.findall(_INLINE.sub("", line) if ("/*" in line or "//" in line or "#" in line or "--" in line) else line)
-    if found:
+    if len(found) > 1:
         indent = "<tab>" if line[0] == "\t" else "<in>" if line[0] == " " else "<out>"
         found.append("^" + indent + found[0])
         found.append(found[-2] + "$")
@@ -82,7 +84,7 @@ class LineModel:
             for line in text.splitlines():
                 if not line.strip() or is_comment(line) or _FENCE.match(line):
                     continue
-                for t in line_tokens(line):
+                for t in dict.fromkeys(line_tokens(line)):  # once a line, else minified text would outweigh the rest
                     for u in (t, script_of(t)):
                         if u:
                             counts.setdefault(u, np.zeros(len(langs)))[index[lang]] += 1
@@ -315,7 +317,10 @@ def fit_model(samples: DataFrame, codes: DataFrame, docs: DataFrame | None = Non
     ]
     for _ in range(2):
         model = LineModel.fit(labelled + agreed, langs, names)
-        paths = best_paths(_score_texts([t for _, t in agreed], model))
+        held = _score_texts([t for _, t in agreed], model)
+        for (c, _), x in zip(agreed, held):
+            x[:, langs.index(c)] += LABEL_HOLD
+        paths = best_paths(held)
         agreed = [(c, "\n".join(x for x, at in zip(_lines(t), p) if langs[at] == c)) for (c, t), p in zip(agreed, paths)]
         agreed = [(c, t) for c, t in agreed if t]
     return LineModel.fit(labelled + agreed, langs, names)
