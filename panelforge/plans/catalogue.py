@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.plans import prepare
+from panelforge.plans import prepare, relational
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,8 +12,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return prepare.queries()
+    return {**relational.queries(), **prepare.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return prepare.oracle_sql()
+    return {**relational.oracle_sql(), **prepare.oracle_sql()}
