@@ -15,7 +15,7 @@ from panelforge.session import cut_lineage
 #: Most labelled texts the line model is fitted on; more are cut to those of the smallest hash.
 MAX_SAMPLES = 5_000
 #: Most documents whose label and file suffix agree that the line model is fitted on besides; more are cut to those of the smallest hash.
-MAX_AGREED = 4_000
+MAX_AGREED = 3_000
 #: Most languages; they are a vocabulary, so vectors over them are small.
 MAX_LANGS = 200
 #: Lines (blank ones not counted) from which a run is a segment, and characters from which one line is minified text, a segment by itself.
@@ -212,36 +212,35 @@ def _segment_batches(broadcast, key: str):
         k = len(model.langs)
         where = {c: i for i, c in enumerate(model.langs)}
         for b in batches:
-            texts = b.column(1).to_pylist()
-            numbered, docs = _Numbered(), []
-            for text in texts:
-                named, line_ids, fences = [], [], []
-                if text:
-                    hint = -1
-                    for line in text.lstrip("\ufeff").splitlines():
-                        if not line or line.isspace():
-                            continue
-                        if line.lstrip()[:3] in ("```", "~~~") and (m := _FENCE.match(line)):
-                            hint = where.get(model.names.get(m[1].lower(), ""), -1)
-                            fences.append(len(line_ids))
-                            continue
-                        line_ids.append(numbered[line])
-                        named.append(hint)
-                        hint = -1
-                docs.append((line_ids, named, fences))
+            numbered = _Numbered()
+            number = numbered.__getitem__
+            docs = [np.array(list(map(number, t.lstrip("\ufeff").splitlines())), np.int64) if t else np.zeros(0, np.int64) for t in b.column(1).to_pylist()]
             lines = list(numbered)
             table = line_scores(lines, model, index) if lines else np.zeros((0, k), np.float32)
-            long = np.array([len(x) >= MINIFIED for x in lines], bool)
+            # a line counts as one, minified text as a whole segment, a blank line and a fence as none
+            counts = np.array([0 if not x or x.isspace() else MIN_LINES if len(x) >= MINIFIED else 1 for x in lines], np.int64)
+            fences = {}
+            for i, x in enumerate(lines):
+                if ("```" in x or "~~~" in x) and (m := _FENCE.match(x)):
+                    fences[i] = where.get(model.names.get(m[1].lower(), ""), -1)
+                    counts[i] = 0
+            fenced = np.zeros(len(lines), bool)
+            fenced[list(fences)] = True
             scores, sizes = [], []
-            for line_ids, named, _ in docs:
-                ids = np.array(line_ids, np.int64)
-                s = table[ids] if len(ids) else np.zeros((0, k), np.float32)
-                for j, h in enumerate(named):
-                    if h >= 0:
-                        s[j, :] -= FENCE_BONUS
-                        s[j, h] += FENCE_BONUS
+            for ids in docs:
+                weight = counts[ids]
+                kept = weight > 0
+                own = ids[kept]
+                s = table[own]
+                if len(fences) and fenced[ids].any():
+                    after = np.cumsum(kept)  # position of the next line that counts
+                    for at in np.flatnonzero(fenced[ids]):
+                        h = fences[int(ids[at])]
+                        if h >= 0 and after[at] < len(own):
+                            s[after[at]] -= FENCE_BONUS
+                            s[after[at], h] += FENCE_BONUS
                 scores.append(s)
-                sizes.append(np.where(long[ids], MIN_LINES, 1) if len(ids) else np.zeros(0, int))
+                sizes.append(weight[kept])
             paths = best_paths(scores)
             rows: tuple[list, list, list, list] = ([], [], [], [])
             for d, (s, size, path) in enumerate(zip(scores, sizes, paths)):
@@ -298,13 +297,13 @@ def fit_model(samples: DataFrame, codes: DataFrame, docs: DataFrame | None = Non
         raise ValueError("too many languages")
     names = label_names([(r["code"], r["name"], r["aliases"]) for r in rows])
     langs = sorted(r["code"] for r in rows)
-    bounded = samples.where("text IS NOT NULL").orderBy(F.xxhash64("text")).limit(MAX_SAMPLES).select("lang", "text").collect()
+    bounded = _hash_sample(samples.where("text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h")), MAX_SAMPLES)
     labelled = [(r["lang"], r["text"]) for r in bounded]
     model = LineModel.fit(labelled, langs, names)
     if docs is None:
         return model
     told = docs.select(F.xxhash64(F.col(key)).alias("h"), declared_language(F.col(label), names).alias("lang"), suffix_of(F.col(path)).alias("suffix"), F.col(text).alias("text"))
-    taken = told.where(F.col("lang").isNotNull() & (F.trim("text") != "")).orderBy("h").limit(MAX_AGREED).collect()
+    taken = _hash_sample(told.where(F.col("lang").isNotNull() & F.col("text").isNotNull()), MAX_AGREED)
     by_suffix: dict[str, Counter[str]] = {}
     for r in taken:
         by_suffix.setdefault(r["suffix"], Counter())[r["lang"]] += 1
@@ -326,6 +325,14 @@ def fit_model(samples: DataFrame, codes: DataFrame, docs: DataFrame | None = Non
     return LineModel.fit(labelled + agreed, langs, names)
 
 
+def _hash_sample(df: DataFrame, most: int) -> list:
+    """About ``most`` rows at most, those of the smallest hash ``h``: a count sets the threshold, so only rows below it travel."""
+    n = df.count()
+    if n > most:
+        df = df.where(F.col("h") < int(-(2**63) + 2**64 * (most / n)))
+    return sorted(df.collect(), key=lambda r: r["h"])[:most]
+
+
 def _lines(text: str) -> list[str]:
     return [x for x in text.lstrip("\ufeff").splitlines() if x and not x.isspace() and not _FENCE.match(x)]
 
@@ -365,38 +372,29 @@ def identify(docs: DataFrame, model: LineModel, key: str, text: str, label: str,
     decided = segs.select("declared", "suffix", "host", "grp", first.alias("lang"))
 
     def table(by: str, alias: str) -> DataFrame:
-        counts = decided.groupBy(by, "lang").agg(F.count(F.lit(1)).alias("n"))
-        return counts.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias(alias))
+        return decided.groupBy(F.col(by).alias(f"__{by}")).agg(F.array(*[F.count_if(F.col("lang") == c).cast("double") for c in model.langs]).alias(alias))
 
     whole = decided.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # at most MAX_LANGS rows
     n_all = {r["lang"]: r["n"] for r in whole}
     total = sum(n_all.values())
     share = F.array(*[F.lit((n_all.get(c, 0) + 1.0) / (total + k)) for c in model.langs])
     per_lang = F.array(*[F.lit(float(n_all.get(c, 0))) for c in model.langs])
-    hosts = table("host", "host_n").withColumnRenamed("host", "__h")
-    groups = table("grp", "grp_n").withColumnRenamed("grp", "__g")
-    suffixes = table("suffix", "suffix_n").withColumnRenamed("suffix", "__s")
-    labels = table("declared", "label_n").withColumnRenamed("declared", "__d")
-    n_of = lambda m, c: F.coalesce(F.try_element_at(F.col(m), c), F.lit(0)).cast("double")
-    size = lambda m: F.coalesce(F.aggregate(F.map_values(m), F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
-    joined = (
-        segs.join(hosts, segs["host"] == F.col("__h"), "left")
-        .join(groups, F.col("grp") == F.col("__g"), "left")
-        .join(suffixes, F.col("suffix") == F.col("__s"), "left")
-        .join(labels, F.col("declared").eqNullSafe(F.col("__d")), "left")
-        .withColumns({"host_t": size("host_n"), "grp_t": size("grp_n")})
-    )
-    at = F.sequence(F.lit(1), F.lit(k))
+    joined = segs
+    for by in ("host", "grp", "suffix", "declared"):
+        t = table(by, f"{by}_n")
+        joined = joined.join(t, joined[by].eqNullSafe(F.col(f"__{by}")), "left").drop(f"__{by}")
+    summed = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    joined = joined.withColumns({"host_t": summed("host_n"), "grp_t": summed("grp_n")})
 
     def fused(i: Column) -> Column:
-        c = F.element_at(langs, i)
-        of_group = (n_of("grp_n", c) + strength * F.element_at(share, i)) / (F.col("grp_t") + strength)
-        of_host = (n_of("host_n", c) + strength * of_group) / (F.col("host_t") + strength)
-        suffix = (n_of("suffix_n", c) + 1) / (F.element_at(per_lang, i) + 50)
-        stated = (n_of("label_n", c) + 1) / (F.element_at(per_lang, i) + k)
-        return F.element_at("ll", i) + F.ln(of_host) + F.ln(suffix) + F.ln(stated)
-
-    posterior = joined.withColumn("post", F.transform(at, fused)).withColumn("top", F.array_max("post"))
+        at = i + 1
+        of_group = (F.element_at("grp_n", at) + strength * F.element_at(share, at)) / (F.col("grp_t") + strength)
+        of_host = (F.element_at("host_n", at) + strength * of_group) / (F.col("host_t") + strength)
+        suffix = (F.element_at("suffix_n", at) + 1) / (F.element_at(per_lang, at) + 50)
+        stated = (F.element_at("declared_n", at) + 1) / (F.element_at(per_lang, at) + k)
+        return F.element_at("ll", at) + F.ln(of_host * suffix * stated)
+
+    posterior = joined.withColumn("post", F.transform("ll", lambda x, i: fused(i))).withColumn("top", F.array_max("post"))
     sure = 1 / F.aggregate("post", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     out = posterior.select(key, "segment", "n_lines", F.element_at(langs, F.array_position("post", F.col("top")).cast("int")).alias("lang"), sure.alias("confidence"), "declared")
     return out
