@@ -8,7 +8,7 @@ from panelforge.plans import evaluation, modeling, prepare, relational
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare.p1_found(spark, sf_dir)
+    return relational.char_panel_ranked(spark, sf_dir)
 
 
 def queries() -> dict:

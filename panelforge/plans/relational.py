@@ -386,6 +386,34 @@ def panel_counts(spark, d):
     return s.agg(F.count(F.lit(1)).alias("months"), r(F.avg("n"), 4).alias("mean_n"), F.min("n").alias("min_n"), F.max("n").alias("max_n"))
 
 
+MOM = """mom AS (SELECT PERMNO, mon, lag(ret) OVER w m1, count(*) OVER f k, sum(CASE WHEN ret > -1 THEN ln(1 + ret) ELSE 0 END) OVER f s FROM base WINDOW w AS (PARTITION BY PERMNO ORDER BY mon),
+  f AS (PARTITION BY PERMNO ORDER BY mon ROWS BETWEEN 12 PRECEDING AND 2 PRECEDING))"""
+CHARS = f"""{FUND}, {MOM}, {IVOL}, chars AS (SELECT fund.PERMNO, fund.MthCalDt, fund.mon, ret, CASE WHEN cap > 0 THEN ln(cap) END log_mktcap, ceq_lag / nullif(cap / 1000, 0) bm, ib_lag / nullif(cap / 1000, 0) ep,
+  CASE WHEN k = 11 THEN exp(s) - 1 END mom_12_1, m1 mom_1, ni_lag / nullif(ceq_lag, 0) roe, ni_lag / nullif(at_lag, 0) roa, at_lag / nullif(at_lag_prior, 0) - 1 asset_growth, CASE WHEN shares > 0 THEN vol / (shares * 1000) END turnover, idio_vol
+  FROM fund JOIN mom ON mom.PERMNO = fund.PERMNO AND mom.mon = fund.mon LEFT JOIN ivol ON ivol.PERMNO = fund.PERMNO AND ivol.mon = fund.mon)"""
+
+
+def _chars(spark, d):
+    return panel.characteristics(table(spark, d, "ccm_merged"), table(spark, d, "crsp_daily"), table(spark, d, "sp500_index"))
+
+
+@query(f"WITH {CHARS} SELECT PERMNO, MthCalDt, round(ret, 6) ret, " + ", ".join(f"round({c}, 5) {c}" for c in panel.FEATURES) + " FROM chars")
+def char_panel(spark, d):
+    return _chars(spark, d).select("PERMNO", "MthCalDt", r("ret").alias("ret"), *[r(c, 5).alias(c) for c in panel.FEATURES])
+
+
+@query(f"WITH {CHARS} SELECT PERMNO, mon AS month, " + ", ".join(f"round({_rank_sql(c)}, 6) {c}" for c in panel.FEATURES) + " FROM chars")
+def char_panel_ranked(spark, d):
+    return panel.ranked(_chars(spark, d)).select("PERMNO", "month", *[r(c).alias(c) for c in panel.FEATURES])
+
+
+@query()
+def model_panel(spark, d):
+    """The model's ragged panel: universe, excess returns, delisting, ranks, finite returns, arrays of each month of 5 rows or more."""
+    p = panel.model_panel(_chars(spark, d), table(spark, d, "sp500_constituents"), rf_months(spark, d), panel.delisting_returns(table(spark, d, "delisting")), least=5)
+    return p.select("month", F.size("entities").alias("n"), F.col("entities"), F.transform("returns", lambda x: F.round(x, 6)).alias("returns"))
+
+
 # --- order, set and shape ----------------------------------------------------------------------------------------------------
 
 
