@@ -146,12 +146,12 @@ def dedupe_keep_first(spark, d):
 
 
 FACD = """facd AS (SELECT date, mkt_rf::DOUBLE mkt, smb::DOUBLE smb, hml::DOUBLE hml, rmw::DOUBLE rmw, cma::DOUBLE cma, rf::DOUBLE rf FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY row_id) n FROM ff_factors_daily
-  WHERE src = 'factor_library' AND abs(mkt_rf) < 0.5 AND abs(smb) < 0.5 AND abs(hml) < 0.5 AND abs(rmw) < 0.5 AND abs(cma) < 0.5 AND abs(rf) < 0.01) WHERE n = 1)"""
+  WHERE src = 'factor_library' AND abs(mkt_rf) < 0.5 AND abs(smb) < 0.5 AND abs(hml) < 0.5 AND abs(rmw) < 0.5 AND abs(cma) < 0.5 AND abs(rf) < 0.0075123) WHERE n = 1)"""
 
 
 def daily_factors(spark, d):
     ok = F.lit(True)
-    for c, hi in (("mkt_rf", 0.5), ("smb", 0.5), ("hml", 0.5), ("rmw", 0.5), ("cma", 0.5), ("rf", 0.01)):
+    for c, hi in (("mkt_rf", 0.5), ("smb", 0.5), ("hml", 0.5), ("rmw", 0.5), ("cma", 0.5), ("rf", 0.0075123)):
         ok = ok & (F.abs(F.col(c)) < hi)
     t = table(spark, d, "ff_factors_daily").where((F.col("src") == "factor_library") & ok)
     return windows.last_row(t, ["date"], F.col("row_id")).select("date", F.col("mkt_rf").cast("double").alias("mkt"), *[F.col(c).cast("double").alias(c) for c in ("smb", "hml", "rmw", "cma", "rf")])
