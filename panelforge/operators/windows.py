@@ -32,18 +32,23 @@ def momentum_12_1(ret: Column, w: WindowSpec) -> Column:
     return F.when(F.count(F.lit(1)).over(frame) == 11, F.expm1(F.sum(growth).over(frame)))
 
 
-def rolling_residual_std(y: Column, x: Column, w: WindowSpec, rows: int = 60, least: int = 30, annual: float = 21.0) -> Column:
+def with_residual_std(df: DataFrame, entity: str, time: str, y: str, x: str, out: str, rows: int = 60, least: int = 30, annual: float = 21.0) -> DataFrame:
     """Residual deviation of y on x and a constant over the last ``rows`` rows (n - 2 degrees of freedom), times the root of ``annual``.
 
-    Closed form from running sums of squares; null below ``least`` rows. Without variance in x, y's own variance is used.
+    Running sums of the cross products, one update a row, are differenced ``rows`` rows apart, so the cost doesn't depend on the
+    frame's length. Null below ``least`` complete rows. Without variance in x, y's own variance is used.
     """
-    frame = w.rowsBetween(-(rows - 1), 0)
-    ok = y.isNotNull() & x.isNotNull()
-    yy, xx = F.when(ok, y), F.when(ok, x)
-    n = F.count(yy).over(frame)
-    sxx, syy, sxy = F.regr_sxx(yy, xx).over(frame), F.regr_syy(yy, xx).over(frame), F.regr_sxy(yy, xx).over(frame)
-    sse = F.when(sxx > 0, syy - sxy * sxy / sxx).otherwise(syy)
-    return F.when(n >= least, F.sqrt(F.greatest(sse, F.lit(0.0)) / (n - 2)) * F.sqrt(F.lit(annual)))
+    w = entity_window(entity, time)
+    running = w.rowsBetween(Window.unboundedPreceding, 0)
+    ok = F.col(y).isNotNull() & F.col(x).isNotNull()
+    terms = {"n": F.lit(1.0), "x": F.col(x), "y": F.col(y), "xx": F.col(x) * F.col(x), "xy": F.col(x) * F.col(y), "yy": F.col(y) * F.col(y)}
+    sums = df.withColumns({f"__{k}": F.sum(F.when(ok, v).otherwise(0.0)).over(running) for k, v in terms.items()})
+    moved = sums.withColumn("__before", F.lag(F.struct(*[f"__{k}" for k in terms]), rows).over(w))
+    d = {k: F.col(f"__{k}") - F.coalesce(F.col(f"__before.__{k}"), F.lit(0.0)) for k in terms}
+    sxx, syy, sxy = (d[k] - d[i] * d[j] / d["n"] for k, i, j in (("xx", "x", "x"), ("yy", "y", "y"), ("xy", "x", "y")))
+    sse = F.when(sxx > 1e-14, syy - sxy * sxy / sxx).otherwise(syy)
+    value = F.when(d["n"] >= least, F.sqrt(F.greatest(sse, F.lit(0.0)) / (d["n"] - 2)) * F.sqrt(F.lit(annual)))
+    return moved.withColumn(out, value).drop("__before", *[f"__{k}" for k in terms])
 
 
 def last_row_of_month(df: DataFrame, entity: str, time: str, *ties: Column) -> DataFrame:

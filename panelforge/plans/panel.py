@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from panelforge.functions.scalar import finite, is_finite, safe_div, safe_ln
 from panelforge.operators.asof import asof_backward
 from panelforge.operators.intervals import membership_filter
-from panelforge.operators.windows import entity_window, last_row, momentum_12_1, ragged, rank_transform, rolling_residual_std
+from panelforge.operators.windows import entity_window, last_row, momentum_12_1, ragged, rank_transform, with_residual_std
 
 PANEL_START, PANEL_END = "2000-01-01", "2024-12-31"
 FEATURES = ("log_mktcap", "bm", "ep", "mom_12_1", "mom_1", "roe", "roa", "asset_growth", "turnover", "idio_vol")
@@ -84,9 +84,9 @@ def market_returns(index: DataFrame, column: str = "sprtrn") -> DataFrame:
 
 def idio_vol(daily: DataFrame, market: DataFrame, rows: int = 60, least: int = 30) -> DataFrame:
     """Residual deviation of the last ``rows`` daily rows on the market, at the last row of each (PERMNO, month)."""
-    joined = daily.join(market, "date")
+    joined = daily.join(F.broadcast(market), "date")  # one row a trading day
     w = entity_window("PERMNO", "date")
-    vol = joined.select("PERMNO", "date", rolling_residual_std(F.col("ret"), F.col("mkt"), w, rows, least).alias("idio_vol"), F.lead("date").over(w).alias("nxt"))
+    vol = with_residual_std(joined, "PERMNO", "date", "ret", "mkt", "idio_vol", rows, least).withColumn("nxt", F.lead("date").over(w))
     last = vol.where(F.col("nxt").isNull() | (F.last_day("nxt") != F.last_day("date")))
     return last.where("idio_vol IS NOT NULL").select("PERMNO", F.last_day("date").alias("month"), "idio_vol")
 

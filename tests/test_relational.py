@@ -43,7 +43,7 @@ def test_residual_deviation(spark):
         y = 1.2 * m + rng.normal(0, 0.02, 60)
         rows += [(s, start + dt.timedelta(i), float(y[i]), float(m[i])) for i in range(60)]
     df = spark.createDataFrame(rows, "s int, d date, y double, m double")
-    v = df.select("s", "d", windows.rolling_residual_std(F.col("y"), F.col("m"), Window.partitionBy("s").orderBy("d")).alias("v"))
+    v = windows.with_residual_std(df, "s", "d", "y", "m", "v")
     last = v.where(F.col("d") == start + dt.timedelta(59)).agg(F.avg("v")).first()[0] / math.sqrt(21)
     assert abs(last / 0.02 - 1) < 0.05
     assert v.where(F.col("d") < start + dt.timedelta(29)).where("v IS NOT NULL").count() == 0
