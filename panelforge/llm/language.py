@@ -73,31 +73,65 @@ class LineModel:
     @classmethod
     def fit(cls, samples: list[tuple[str, str]], langs: list[str], names: dict[str, str]) -> LineModel:
         """From (language, text) pairs. Tokens of fewer than three texts, or one in 500, say nothing: they are mostly names."""
-        index = {c: i for i, c in enumerate(langs)}
-        texts: Counter[str] = Counter()
-        counts: dict[str, np.ndarray] = {}
-        total = np.zeros(len(langs))
-        for lang, text in samples:
-            if lang not in index or not text:
-                continue
-            seen = set()
-            for line in text.splitlines():
-                if not line.strip() or is_comment(line) or _FENCE.match(line):
-                    continue
-                for t in dict.fromkeys(line_tokens(line)):  # once a line, else minified text would outweigh the rest
-                    for u in (t, script_of(t)):
-                        if u:
-                            counts.setdefault(u, np.zeros(len(langs)))[index[lang]] += 1
-                            seen.add(u)
-                    total[index[lang]] += 1
-            texts.update(seen)
-        least = max(3, len(samples) // 500)
-        kept = sorted(t for t in counts if texts[t] >= least)
-        weights = np.zeros((len(kept) + 1, len(langs)), np.float32)
-        for i, t in enumerate(kept, 1):
-            logp = np.log(counts[t] + SMOOTH) - np.log(total + SMOOTH * (len(kept) + 1))
-            weights[i] = np.clip(logp - logp.mean(), -6, 6)
-        return cls(langs, names, {t: i for i, t in enumerate(kept, 1)}, weights)
+        return _Training(samples, langs, names).fit()
+
+
+class _Training:
+    """Labelled texts as numbered lines and tokens, tokenised once however often a model is fitted on them."""
+
+    def __init__(self, samples: list[tuple[str, str]], langs: list[str], names: dict[str, str]):
+        self.langs, self.names = langs, names
+        where = {c: i for i, c in enumerate(langs)}
+        known = [(where[c], t) for c, t in samples if c in where and t]
+        numbered, tokens = _Numbered(), _Numbered()
+        self.label = np.array([c for c, _ in known], np.int64)
+        self.docs = [np.array([numbered[x] for x in _lines(t)], np.int64) for _, t in known]
+        lines = list(numbered)
+        self.comment = np.array([is_comment(x) for x in lines], bool)
+        self.long = np.array([len(x) >= MINIFIED for x in lines], bool)
+        flat, ends, size = [], [], 0
+        for x in lines:
+            ids = [tokens[t] for t in line_tokens(x)]
+            flat.append(ids)
+            size += len(ids)
+            ends.append(size)
+        self.tokens = list(tokens)
+        self.flat = np.array([i for ids in flat for i in ids], np.int64)
+        self.starts = np.r_[0, ends[:-1]].astype(np.int64) if ends else np.zeros(0, np.int64)
+        self.ends = np.array(ends, np.int64)
+        # once a line, else minified text would outweigh the rest; a word of another script also counts for its script
+        script = {i: s for i, t in enumerate(self.tokens) if (s := script_of(t))}
+        extra = {s: len(self.tokens) + k for k, s in enumerate(sorted(set(script.values())))}
+        self.tokens += sorted(extra)
+        once = [list(dict.fromkeys(ids + [extra[script[i]] for i in ids if i in script])) for ids in flat]
+        self.once = np.array([i for ids in once for i in ids], np.int64)
+        self.line_of = np.repeat(np.arange(len(lines)), [len(x) for x in once])
+        texts = np.zeros(len(self.tokens), np.int64)
+        for d in self.docs:
+            seen = [once[i] for i in dict.fromkeys(d.tolist()) if not self.comment[i]]
+            texts[list({i for ids in seen for i in ids})] += 1
+        self.kept = np.flatnonzero(texts >= max(3, len(self.docs) // 500))
+        self.kept = self.kept[np.argsort([self.tokens[i] for i in self.kept])] if len(self.kept) else self.kept
+
+    def fit(self, keep: list[np.ndarray] | None = None) -> LineModel:
+        """``keep``: for each document, which of its lines to learn from."""
+        n_lines, k = len(self.comment), len(self.langs)
+        weight = np.zeros((n_lines, k))
+        for i, (d, c) in enumerate(zip(self.docs, self.label)):
+            np.add.at(weight, (d if keep is None else d[keep[i]], c), 1.0)
+        weight[self.comment] = 0.0
+        counts = np.stack([np.bincount(self.once, weight[self.line_of, j], len(self.tokens)) for j in range(k)], 1) if len(self.once) else np.zeros((len(self.tokens), k))
+        total = counts.sum(0)
+        logp = np.log(counts[self.kept] + SMOOTH) - np.log(total + SMOOTH * (len(self.kept) + 1))
+        weights = np.zeros((len(self.kept) + 1, k), np.float32)
+        weights[1:] = np.clip(logp - logp.mean(1, keepdims=True), -6, 6)
+        return LineModel(self.langs, self.names, {self.tokens[i]: n for n, i in enumerate(self.kept, 1)}, weights)
+
+    def scores(self, model: LineModel) -> list[np.ndarray]:
+        index = _Index(model.vocab)
+        row = np.array([index[t] for t in self.tokens], np.int64) if self.tokens else np.zeros(0, np.int64)
+        table = _summed(row[self.flat], self.ends, self.comment, self.long, model)
+        return [table[d] for d in self.docs]
 
 
 class _Index(dict):
@@ -121,33 +155,29 @@ def line_scores(lines: list[str], model: LineModel, index: _Index) -> np.ndarray
     """Evidence of each line for each language: at most 0 (its best language), at least minus the cap; scaled down for comments."""
     flat: list[int] = []
     ends = np.empty(len(lines), np.int64)
-    weight = np.ones(len(lines), np.float32)
-    cap = np.full(len(lines), LINE_CAP, np.float32)
     get = index.__getitem__
     for i, line in enumerate(lines):
-        if is_comment(line):
-            weight[i] = COMMENT_WEIGHT
-        if len(line) >= MINIFIED:
-            cap[i] = LINE_CAP * MIN_LINES
         flat += map(get, line_tokens(line))
         ends[i] = len(flat)
-    k = len(model.langs)
-    sums = np.zeros((len(lines), k), np.float32)
-    if flat:
-        at = np.array(flat, np.int32)
-        starts = np.r_[0, ends[:-1]]
-        some = ends > starts
-        step = 2_000_000
-        rows = np.flatnonzero(some)
-        lo = 0
-        while lo < len(rows):  # in blocks of about ``step`` tokens
-            hi = max(lo + 1, int(np.searchsorted(ends[rows], starts[rows[lo]] + step, side="right")))
-            block = rows[lo:hi]
-            a, b = starts[block[0]], ends[block[-1]]
-            sums[block] = np.add.reduceat(model.weights[at[a:b]], starts[block] - a, axis=0)
-            lo = hi
-    rel = sums - sums.max(1, keepdims=True)
-    return np.maximum(rel, -cap[:, None]) * weight[:, None]
+    comment = np.array([is_comment(x) for x in lines], bool)
+    return _summed(np.array(flat, np.int64), ends, comment, np.array([len(x) >= MINIFIED for x in lines], bool), model)
+
+
+def _summed(at: np.ndarray, ends: np.ndarray, comment: np.ndarray, long: np.ndarray, model: LineModel) -> np.ndarray:
+    """Token weights summed by line, relative to the line's best language, capped and scaled."""
+    sums = np.zeros((len(ends), len(model.langs)), np.float32)
+    starts = np.r_[0, ends[:-1]] if len(ends) else ends
+    rows = np.flatnonzero(ends > starts)
+    lo = 0
+    while lo < len(rows):  # in blocks of about two million tokens
+        hi = max(lo + 1, int(np.searchsorted(ends[rows], starts[rows[lo]] + 2_000_000, side="right")))
+        block = rows[lo:hi]
+        a, b = starts[block[0]], ends[block[-1]]
+        sums[block] = np.add.reduceat(model.weights[at[a:b]], starts[block] - a, axis=0)
+        lo = hi
+    cap = np.where(long, LINE_CAP * MIN_LINES, LINE_CAP).astype(np.float32)
+    rel = sums - sums.max(1, keepdims=True) if sums.size else sums
+    return np.maximum(rel, -cap[:, None]) * np.where(comment, COMMENT_WEIGHT, 1.0).astype(np.float32)[:, None]
 
 
 def best_paths(scores: list[np.ndarray], prior: np.ndarray | None = None) -> list[np.ndarray]:
@@ -314,15 +344,15 @@ def fit_model(samples: DataFrame, codes: DataFrame, docs: DataFrame | None = Non
         for r, s in zip(taken, scored)
         if len(s) and (usual[r["suffix"]] == r["lang"] if r["suffix"] in usual else langs[int(s.sum(0).argmax())] == r["lang"])
     ]
+    training = _Training(labelled + agreed, langs, names)
+    own = len(training.docs) - len(agreed)
+    keep = None
     for _ in range(2):
-        model = LineModel.fit(labelled + agreed, langs, names)
-        held = _score_texts([t for _, t in agreed], model)
-        for (c, _), x in zip(agreed, held):
-            x[:, langs.index(c)] += LABEL_HOLD
-        paths = best_paths(held)
-        agreed = [(c, "\n".join(x for x, at in zip(_lines(t), p) if langs[at] == c)) for (c, t), p in zip(agreed, paths)]
-        agreed = [(c, t) for c, t in agreed if t]
-    return LineModel.fit(labelled + agreed, langs, names)
+        held = training.scores(training.fit(keep))
+        for x, c in zip(held, training.label):
+            x[:, c] += LABEL_HOLD
+        keep = [np.ones(len(d), bool) if i < own else p == c for i, (d, p, c) in enumerate(zip(training.docs, best_paths(held), training.label))]
+    return training.fit(keep)
 
 
 def _hash_sample(df: DataFrame, most: int) -> list:
