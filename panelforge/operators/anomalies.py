@@ -17,8 +17,9 @@ TRANSITION = np.array([[0.9965, 0.002, 0.001, 0.0005], [0.9965, 0.002, 0.001, 0.
 START = np.array([0.9965, 0.002, 0.001, 0.0005])
 #: P(neither, one, both neighbouring periods hold the same value | state).
 SAME_USUAL, SAME_STUCK = np.array([0.9969, 0.003, 0.0001]), np.array([0.02, 0.28, 0.70])
-#: Normal readings: a narrow and a wide component; with a spike's density falling as 1/|z| the odds turn at about 9.3 usual deviations.
-WIDE_SHARE, WIDE_SD, SPIKE_SPAN = 0.01, 3.25, np.log(200.0)
+#: Normal readings: a narrow and a wide component; with a spike's density falling as 1/|z| the odds turn at about 8.6 usual deviations, a little
+#: below ten so that a scale estimated from few readings loses no spike.
+WIDE_SHARE, WIDE_SD, SPIKE_SPAN = 0.01, 3.0, np.log(200.0)
 #: A stuck state this likely is handed to the exact check of the run's length.
 STUCK_CANDIDATE = 0.02
 #: Rows that one forward-backward batch holds after padding.
@@ -136,13 +137,13 @@ def _score_batches(floor: float):
 
 
 def usual_variation(points: DataFrame) -> DataFrame:
-    """Centre and scale of each (tbl, source): the median, and the wider of the inter-quartile and the 5-95 % spread as normal deviations.
+    """Centre and scale of each (tbl, source): the median, and the wider of the inter-quartile and the 10-90 % spread as normal deviations.
 
-    The 5-95 % spread needs 40 points; scales of small sources lean to the usual scale of their table (weight of ten points).
+    The 10-90 % spread, which a source with a long normal tail needs, takes 15 points; scales of small sources lean to the usual scale of their table (weight of ten points).
     """
-    q = points.groupBy("tbl", "source").agg(F.percentile_approx("v", F.array(*[F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95)]), F.lit(1000)).alias("q"), F.count(F.lit(1)).alias("n"))
-    mid, far = (F.col("q")[3] - F.col("q")[1]) / 1.349, (F.col("q")[4] - F.col("q")[0]) / 3.29
-    own = q.select("tbl", "source", F.col("q")[2].alias("center"), F.when(F.col("n") >= 40, F.greatest(mid, far)).otherwise(mid).alias("s"), "n")
+    q = points.groupBy("tbl", "source").agg(F.percentile_approx("v", F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 0.9)]), F.lit(1000)).alias("q"), F.count(F.lit(1)).alias("n"))
+    mid, far = (F.col("q")[3] - F.col("q")[1]) / 1.349, (F.col("q")[4] - F.col("q")[0]) / 2.563
+    own = q.select("tbl", "source", F.col("q")[2].alias("center"), F.when(F.col("n") >= 15, F.greatest(mid, far)).otherwise(mid).alias("s"), "n")
     typical = own.groupBy("tbl").agg(F.percentile_approx("s", F.lit(0.5), F.lit(1000)).alias("ts"))
     both = own.join(F.broadcast(typical), "tbl")
     return both.select("tbl", "source", "center", F.greatest((F.col("s") * F.col("n") + F.col("ts") * 10) / (F.col("n") + 10), F.lit(1e-9)).alias("scale"))
