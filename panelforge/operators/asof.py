@@ -9,17 +9,17 @@ def asof_backward(left: DataFrame, right: DataFrame, key: str, left_time: str, r
     """For each left row, the payload of the last right row of its key at or before its time (nulls if none).
 
     One union, one shuffle on the key, one sort and a ``last`` window; a right row at the same instant counts as known. Left rows
-    with a null key or time get nulls; among right rows at one instant the greatest payload wins. For keys that may hold
-    unbounded left rows use ``version_join``, which numbers distinct instants only.
+    with a null key or time get nulls; among right rows at one instant the greatest payload wins; a left column named like a payload
+    column is replaced. For keys that may hold unbounded left rows use ``version_join``, which numbers distinct instants only.
     """
-    lcols = left.columns
+    lcols, names = left.columns, {c + suffix for c in payload}
     l = left.select(F.col(key).alias("__k"), F.col(left_time).alias("__t"), F.lit(1).alias("__tag"), F.lit(None).cast(_payload_type(right, payload)).alias("__p"), F.struct(*lcols).alias("__l"))
     r = right.where(F.col(key).isNotNull() & F.col(right_time).isNotNull()).select(
         F.col(key).alias("__k"), F.col(right_time).alias("__t"), F.lit(0).alias("__tag"), F.struct(*payload).alias("__p"), F.lit(None).cast(l.schema["__l"].dataType).alias("__l")
     )
     w = Window.partitionBy("__k").orderBy(F.col("__t").asc_nulls_first(), "__tag", "__p").rowsBetween(Window.unboundedPreceding, 0)
     both = l.unionByName(r).withColumn("__p", F.last("__p", ignorenulls=True).over(w)).where("__tag = 1")
-    return both.select("__l.*", *[F.col(f"__p.{c}").alias(c + suffix) for c in payload])
+    return both.select(*[F.col(f"__l.`{c}`") for c in lcols if c not in names], *[F.col(f"__p.{c}").alias(c + suffix) for c in payload])
 
 
 def _payload_type(right: DataFrame, payload: list[str]):
@@ -58,14 +58,14 @@ def version_join(events: DataFrame, entity: str, at: str, versions: DataFrame, a
     narrow = usable.groupBy("entity", "rank").agg(F.min("known").alias("known"), F.max(F.struct(*attributes)).alias("attrs"))
     instants = events.where(F.col(entity).isNotNull() & F.col(at).isNotNull()).select(F.col(entity).alias("entity"), F.col(at).alias("at")).distinct()
     states, numbers = number_versions(narrow.select("entity", "known", "rank"), instants)
-    attrs = states.join(narrow.drop("known"), ["entity", "rank"]).select(F.col("entity").alias("__ve"), F.col("number").alias("__vn"), "attrs")
+    attrs = states.join(narrow.drop("known"), ["entity", "rank"]).select(F.col("entity").alias("__ve"), F.col("number").alias("__vn"), F.col("attrs").alias("__attrs"))
     numbers = numbers.select(F.col("entity").alias("__ne"), F.col("at").alias("__na"), F.col("number").alias("__nn"))
     names = [f"known_{c}" for c in attributes]
     kept = [c for c in events.columns if c not in names]
     e = events.select(*kept)
     out = e.join(numbers, (e[entity] == numbers["__ne"]) & (e[at] == numbers["__na"]), "left")
     out = out.join(attrs, (F.col("__ne") == attrs["__ve"]) & (F.col("__nn") == attrs["__vn"]), "left")
-    return out.select(*[e[c] for c in kept], *[F.col(f"attrs.{c}").alias(n) for c, n in zip(attributes, names)])
+    return out.select(*[e[c] for c in kept], *[F.col(f"__attrs.{c}").alias(n) for c, n in zip(attributes, names)])
 
 
 def known_from(published: Column, period_end: Column, months: int = 6) -> Column:

@@ -103,3 +103,15 @@ def test_infer_units_from_values(spark):
 def test_missing_codes(spark):
     df = spark.createDataFrame([(-99.99,), (-999.0,), (-0.5,), (None,)], "v float")
     assert [r["m"] for r in df.select(is_missing_code(F.col("v")).alias("m")).collect()] == [True, True, False, False]
+
+
+def test_clashing_names(spark):
+    v = spark.createDataFrame([(1, D(2020, 1, 1), D(2019, 12, 31), 5.0)], "entity int, known date, period date, a double").withColumn("rank", F.struct("period", "known"))
+    e = spark.createDataFrame([(1, 1, D(2020, 1, 2), 7, 8, 9, 10, 11)], "id long, entity int, at date, attrs int, number int, rank int, a int, known_a int")
+    r = version_join(e, "entity", "at", v, ["a"]).first()
+    assert (r["attrs"], r["number"], r["rank"], r["a"], r["known_a"]) == (7, 8, 9, 10, 5.0)
+    left = spark.createDataFrame([(1, D(2020, 1, 2), 3.0, 4)], "k int, d date, a double, t int")
+    right = spark.createDataFrame([(1, D(2020, 1, 1), 6.0)], "k int, t date, a double")
+    assert tuple(asof_backward(left, right, "k", "d", "t", ["a"]).first()) == (1, D(2020, 1, 2), 4, 6.0)
+    u = spark.createDataFrame([("m", 1, "s", 1, 1, 0.02, 0.03, "x", "y")], "series string, at int, src string, block int, id long, v double, typical double, bin string, lf string")
+    assert infer_units(u).first()["unit"] == "fraction"
