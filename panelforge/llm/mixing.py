@@ -9,7 +9,7 @@ from panelforge.session import cut_lineage
 #: Sources of a mix are a declared list of at most this many.
 SOURCE_LIMIT = 10_000
 #: Documents that one stretch of the sampling order holds, on average.
-STRETCH = 50_000
+STRETCH = 1_000_000
 
 
 def mix_copies(docs: DataFrame, key: str, source: str, size: str, targets: DataFrame, total: float | None = None, seed: int = 11) -> DataFrame:
@@ -48,7 +48,7 @@ def mix_copies(docs: DataFrame, key: str, source: str, size: str, targets: DataF
     counts = used.groupBy("src", "cls", "stretch").agg(F.count(F.lit(1)).alias("n"))  # sources * size classes * stretches
     ahead = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("cls", "stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     own = Window.partitionBy("src", "cls", "stretch").orderBy("h", "size", "k")
-    ranked = used.withColumn("r", F.row_number().over(own)).join(F.broadcast(ahead), ["src", "cls", "stretch"])
+    ranked = used.withColumn("r", F.row_number().over(own)).join(ahead, ["src", "cls", "stretch"])  # both sides lie by stretch already
     offset = (F.pmod(F.xxhash64(F.lit(seed), F.col("src")), F.lit(1_000_003)) + 0.5) / 1_000_003
     end = F.col("before") + F.col("r")
     copies = F.floor(end * F.col("rate") + offset) - F.floor((end - 1) * F.col("rate") + offset)
