@@ -45,7 +45,7 @@ def test_matches_sql(spark, con, name):
     assert canonical([tuple(r) for r in got], df.columns) == canonical(cur.fetchall(), columns)
 
 
-SLOW = {"gp_fit_recovery", "rolling_oos_predict", "rolling_oos_regimes", "random_forest_predict", "single_gp_predict"}
+SLOW = {"gp_fit_recovery", "rolling_baselines", "rolling_oos_predict", "rolling_oos_regimes", "random_forest_predict", "single_gp_predict"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql()) - SLOW))
