@@ -81,50 +81,71 @@ def _size_prior(lg: Column, typical: Column) -> Column:
     return lg * F.lit(2.302585092994046) - 2.5 * F.ln(1 + x * x / 4)
 
 
-def _consensus(cands: DataFrame, keys: list[str], weight: Column) -> DataFrame:
-    """For each group, the log10 size of the figure that the candidates support best."""
-    binned = cands.withColumn("bin", F.round(F.col("clg") * _BINS).cast("int")).withColumn("w", weight)
-    hist = binned.groupBy(*keys, "typical", "bin").agg(F.sum("w").alias("w"), F.sum("clg").alias("lgs"), F.count(F.lit(1)).alias("n"))
-    near = Window.partitionBy(*keys).orderBy("bin").rangeBetween(-1, 1)
-    smooth = hist.select(*keys, "typical", F.sum("w").over(near).alias("ws"), F.sum("lgs").over(near).alias("ls"), F.sum("n").over(near).alias("ns"))
-    smooth = smooth.withColumn("lf", F.col("ls") / F.col("ns"))
+def _consensus(wide: DataFrame, n_fields: int, n_keys: int, weights: list[Column]) -> DataFrame:
+    """For each group, the log10 size of each field's figure that the values support best: columns g0.., lf_0 ...
+
+    ``weights``: what a value says for each of the three units. Values are first counted by bin of their own size, so what is tripled
+    and shuffled by group is a few bins, however many sources report.
+    """
+    keys = [f"g{i}" for i in range(n_keys)]
+    values = F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"lg_{i}").alias("lg"), F.col(f"t_{i}").alias("typical")) for i in range(n_fields)])
+    long = wide.select(*keys, *[w.alias(f"w{k}") for k, w in enumerate(weights)], F.explode(values).alias("x")).where(F.col("x.lg").isNotNull())
+    bins = long.groupBy(*keys, F.col("x.f").alias("f"), F.round(F.col("x.lg") * _BINS).cast("int").alias("own")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("x.lg").alias("ls"), F.max("x.typical").alias("typical"), *[F.sum(f"w{k}").alias(f"w{k}") for k in range(3)]
+    )
+    tripled = F.array(*[F.struct((F.col("own") - _BINS * step).alias("bin"), (F.col(f"w{k}") + _SUPPORT * F.col("n")).alias("w"), (F.col("ls") - step * F.col("n")).alias("ls")) for k, (step, _) in enumerate(UNIT_STEPS)])
+    cands = bins.select(*keys, "f", "typical", "n", F.explode(tripled).alias("c")).groupBy(*keys, "f", "typical", "c.bin").agg(F.sum("c.w").alias("w"), F.sum("c.ls").alias("ls"), F.sum("n").alias("n"))
+    near = Window.partitionBy(*keys, "f").orderBy("bin").rangeBetween(-1, 1)
+    smooth = cands.select(*keys, "f", "typical", F.sum("w").over(near).alias("ws"), (F.sum("ls").over(near) / F.sum("n").over(near)).alias("lf"))
     score = F.round(F.col("ws") + _size_prior(F.col("lf"), F.col("typical")), 6)
-    return smooth.groupBy(*keys).agg(F.max_by("lf", F.struct(score, "lf")).alias("lf"))
+    best = smooth.groupBy(*keys, "f").agg(F.max(F.struct(score.alias("score"), F.col("lf"))).alias("b"))
+    return best.groupBy(*keys).agg(*[F.max(F.when(F.col("f") == i, F.col("b.lf"))).alias(f"lf_{i}") for i in range(n_fields)])
 
 
-def infer_units(values: DataFrame, rounds: int = 2) -> DataFrame:
+def infer_units(rows: DataFrame, group: list[str], src: str, block: list[Column], fields: dict[str, Column], keep: list[str], report: list[str] | None = None, rounds: int = 2) -> DataFrame:
     """The unit in which each value was recorded, from the values alone.
 
-    ``values``: series (what is measured, any strings), at (when), src (may be null), block (a stretch of time within which a source
-    mostly keeps its unit), id, v (double), typical (usual size of the series as a fraction). Sources report the same figure at the
-    same time in different units, so each value proposes three sizes; the size that a group of values supports best, given the usual
-    units of their sources in the block and the usual size of the series, is taken, and each value's unit is the nearest power.
-    Counts of proposals, not values, are gathered by group, so a time or source with a third of all rows is no hot spot.
+    ``rows``: one row a report, with several ``fields``; each comes with the usual size of its figure as a fraction. ``group``: what reports
+    of the same figures share, such as table and date. ``src``: who reports. ``block``: a stretch of time within which a source
+    mostly keeps its unit. Sources report the same figure in different units, so each value proposes three sizes; the size that a
+    group supports best, given the usual units of its sources in their blocks and the usual size of the figure, is taken, and each
+    value's unit is the nearest power. Bins of values, not values, are gathered by group, so a time or source with a third of all
+    rows is no hot spot.
 
-    Result: series, at, src, id, v, unit ('fraction', 'percent', 'bp'). Zeros and non-finite values give no rows.
+    Result: the ``keep`` columns, field, v, unit ('fraction', 'percent', 'bp') for the fields in ``report`` (all by default). Cases: zeros,
+    nulls, non-finite values and missing codes give no rows, nor do rows with a null in ``group``; a null source is a source of
+    its own; repeated rows come out as often; other columns are never looked at.
     """
-    rows = values.where(finite(F.col("v")).isNotNull() & (F.col("v") != 0)).select(
-        "series", "at", "block", "id", "v", "typical", F.coalesce("src", F.lit("")).alias("src"), F.log10(F.abs("v")).alias("lg")
-    )
-    keys = ["series", "at"]
-    steps = F.array(*[F.lit(k) for k, _ in UNIT_STEPS])
-
-    def proposals(df: DataFrame) -> DataFrame:
-        return df.withColumn("step", F.explode(steps)).withColumn("clg", F.col("lg") - F.col("step"))
-
-    def step_of(df: DataFrame) -> DataFrame:
-        return df.withColumn("step", F.greatest(F.lit(0), F.least(F.lit(4), 2 * F.round((F.col("lg") - F.col("lf")) / 2).cast("int"))))
-
-    figures = _consensus(proposals(rows), keys, F.lit(_SUPPORT))
+    names, keys = list(fields), [f"g{i}" for i in range(len(group))]
+    usable = {f: finite(F.col(f)) for f in names}
+    wide = rows.select(
+        *[F.col(g).alias(k) for g, k in zip(group, keys)],
+        F.coalesce(F.col(src).cast("string"), F.lit("")).alias("s"),
+        *[b.alias(f"b{i}") for i, b in enumerate(block)],
+        *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)],
+        *[F.when((v != 0) & ~is_missing_code(v), v).alias(f"v_{i}") for i, v in enumerate(usable.values())],
+        *[t.cast("double").alias(f"t_{i}") for i, t in enumerate(fields.values())],
+    ).where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
+    wide = wide.withColumns({f"lg_{i}": F.log10(F.abs(f"v_{i}")) for i in range(len(names))})
+
+    def step(i: int) -> Column:
+        return F.greatest(F.lit(0), F.least(F.lit(4), 2 * F.round((F.col(f"lg_{i}") - F.col(f"lf_{i}")) / 2).cast("int")))
+
+    place = ["s", *[f"b{i}" for i in range(len(block))]]
+    figures = _consensus(wide, len(names), len(keys), [F.lit(0.0)] * 3)
     for _ in range(rounds - 1):
-        placed = step_of(rows.join(figures, keys))
-        habit = placed.groupBy("src", "block").agg(*[F.sum((F.col("step") == k).cast("double")).alias(f"c{k}") for k, _ in UNIT_STEPS])
+        seen = [F.sum(sum((F.coalesce((step(i) == k).cast("int"), F.lit(0)) for i in range(len(names))), F.lit(0))).cast("double").alias(f"c{k}") for k, _ in UNIT_STEPS]
+        habit = wide.join(figures, keys).groupBy(*place).agg(*seen)
         total = sum((F.col(f"c{k}") for k, _ in UNIT_STEPS), F.lit(1.5))
-        log_p = F.coalesce(*[F.when(F.col("step") == k, F.ln((F.col(f"c{k}") + 0.5) / total)) for k, _ in UNIT_STEPS])
-        figures = _consensus(proposals(rows.join(habit, ["src", "block"])), keys, log_p + _SUPPORT)
-    placed = step_of(rows.join(figures, keys))
-    unit = F.coalesce(*[F.when(F.col("step") == k, F.lit(u)) for k, u in UNIT_STEPS])
-    return placed.select("series", "at", "src", "id", "v", unit.alias("unit"))
+        usual = habit.select(*place, *[F.ln((F.col(f"c{k}") + 0.5) / total).alias(f"u{k}") for k, _ in UNIT_STEPS])
+        told = wide.join(usual, place)
+        figures = _consensus(told, len(names), len(keys), [F.col(f"u{k}") for k, _ in UNIT_STEPS])
+    wanted = [(i, f) for i, f in enumerate(names) if report is None or f in report]
+    placed = wide.join(figures, keys)
+    found = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"v_{i}").alias("v"), step(i).alias("step")) for i, f in wanted])
+    unit = F.coalesce(*[F.when(F.col("x.step") == k, F.lit(u)) for k, u in UNIT_STEPS])
+    out = placed.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.explode(found).alias("x")).where(F.col("x.v").isNotNull())
+    return out.select(*keep, "x.field", "x.v", unit.alias("unit"))
 
 
 def is_missing_code(c: Column, codes: tuple[float, ...] = (-99.99, -999.0)) -> Column:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelforge.functions.scalar import day_text, finite, month_ordinal
+from panelforge.functions.scalar import day_text, month_ordinal
 from panelforge.operators.anomalies import flag_readings
 from panelforge.operators.asof import known_from, version_join
 from panelforge.operators.impute import filled_cells, impute_chained
 from panelforge.operators.intervals import merge_intervals
 from panelforge.operators.trailing import daily_values, idle_spans, trailing_prefix
-from panelforge.operators.units import convert, infer_units, is_missing_code
+from panelforge.operators.units import convert, infer_units
 
 #: Window of the constituents, both ends included.
 PANEL_LO, PANEL_HI = "2000-01-01", "2024-12-31"
@@ -150,36 +150,30 @@ SELECT rec_id, PERMNO, MthCalDt, datadate known_datadate, fdate known_fdate, rou
 FACTOR_SIZE = {"mkt_rf": (0.04, 0.009), "smb": (0.03, 0.005), "hml": (0.03, 0.005), "rmw": (0.02, 0.004), "cma": (0.02, 0.004), "mom": (0.04, 0.007), "rf": (0.003, 0.00015)}
 
 
-def factor_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All figures of both factor tables, one row each, without nulls, zeros and missing codes."""
-    out = None
-    for k, (name, block) in enumerate((("ff_factors", F.trunc("date", "YEAR")), ("ff_factors_daily", F.trunc("date", "MM")))):
-        t = table(spark, sf_dir, name)
-        figures = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("v"), F.lit(size[k]).alias("typical")) for f, size in FACTOR_SIZE.items()]))
-        rows = t.select(F.lit(name).alias("tbl"), "row_id", "date", "src", block.alias("b"), figures.alias("x")).select("tbl", "row_id", "date", "src", "b", "x.*")
-        out = rows if out is None else out.unionByName(rows)
-    out = out.where(finite(F.col("v")).isNotNull() & (F.col("v") != 0) & ~is_missing_code(F.col("v")))
-    return out.select(
-        F.struct("tbl", "field").alias("series"), F.col("date").alias("at"), "src", F.struct("tbl", "b").alias("block"), F.struct("tbl", "row_id", "field").alias("id"), "v", "typical"
-    ).where(F.col("at").isNotNull())
+def factor_units(spark: SparkSession, sf_dir: str, report: list[str] | None = None) -> DataFrame:
+    """Every figure of both factor tables with its unit and as a fraction: tbl, row_id, field, v, unit, as_fraction."""
+    monthly, daily = (table(spark, sf_dir, t).select(F.lit(t).alias("tbl"), F.lit(k).alias("kind"), "row_id", "date", "src", *FACTOR_SIZE) for k, t in enumerate(FACTOR_TABLES))
+    sizes = {f: F.when(F.col("kind") == 0, size[0]).otherwise(size[1]) for f, size in FACTOR_SIZE.items()}
+    stretch = F.when(F.col("kind") == 0, F.trunc("date", "YEAR")).otherwise(F.trunc("date", "MM"))
+    units = infer_units(monthly.unionByName(daily), ["kind", "date"], "src", [F.col("kind"), stretch], sizes, ["tbl", "row_id"], report)
+    return convert(units, "v", "unit", "fraction", "as_fraction")
 
 
+FACTOR_TABLES = ("ff_factors", "ff_factors_daily")
 P6_CASES = (("ff_factors", "mkt_rf"), ("ff_factors", "rf"), ("ff_factors_daily", "smb"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = convert(infer_units(factor_values(spark, sf_dir)), "v", "unit", "fraction", "as_fraction")
-    wanted = units.select("id.*", "unit", "as_fraction").where((F.col("unit") != "fraction") & F.col("as_fraction").isNotNull())
+    units = factor_units(spark, sf_dir, [f for _, f in P6_CASES])
     asked = F.lit(False)
     for tbl, field in P6_CASES:
         asked = asked | ((F.col("tbl") == tbl) & (F.col("field") == field))
-    return wanted.where(asked).select("tbl", "row_id", "field", "unit")
+    return units.where(asked & (F.col("unit") != "fraction") & F.col("as_fraction").isNotNull()).select("tbl", "row_id", "field", "unit")
 
 
 def p6_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every figure of both factor tables as a decimal fraction, with the unit it was recorded in."""
-    units = convert(infer_units(factor_values(spark, sf_dir)), "v", "unit", "fraction", "as_fraction")
-    return units.select("id.*", "unit", F.round("as_fraction", 9).alias("as_fraction"))
+    return factor_units(spark, sf_dir).select("tbl", "row_id", "field", "unit", F.round("as_fraction", 9).alias("as_fraction"))
 
 
 P7_TABLES = ("crsp_daily", "ccm_merged", "delisting")

@@ -78,6 +78,10 @@ def test_convert_keeps_rows(spark):
     assert got == {1: 0.05, 2: None, 3: None, 4: None}
 
 
+def units(df):
+    return infer_units(df, ["series", "at"], "src", [F.col("block")], {"v": F.col("typical"), "w": F.lit(0.01)}, ["id"])
+
+
 def test_infer_units_from_values(spark):
     rng = random.Random(1)
     rows, truth = [], {}
@@ -94,10 +98,10 @@ def test_infer_units_from_values(spark):
             rows.append(("m", t, f"s{s}", t // 20, i, f * k * (1 + rng.gauss(0, 0.003)), 0.03))
             truth[i] = unit
     rows += [("m", 1, None, 0, 10_000, 0.0, 0.03), ("m", 1, "s0", 0, 10_001, float("nan"), 0.03), ("m", 1, "s0", 0, 10_002, None, 0.03)]
-    df = spark.createDataFrame(rows, "series string, at int, src string, block int, id long, v double, typical double")
-    got = {r["id"]: r["unit"] for r in infer_units(df).collect()}
+    df = spark.createDataFrame(rows, "series string, at int, src string, block int, id long, v double, typical double").withColumn("w", F.lit(None).cast("double"))
+    got = {r["id"]: r["unit"] for r in units(df).collect()}
     assert got == truth
-    assert infer_units(df.limit(0)).count() == 0
+    assert units(df.limit(0)).count() == 0
 
 
 def test_missing_codes(spark):
@@ -113,5 +117,5 @@ def test_clashing_names(spark):
     left = spark.createDataFrame([(1, D(2020, 1, 2), 3.0, 4)], "k int, d date, a double, t int")
     right = spark.createDataFrame([(1, D(2020, 1, 1), 6.0)], "k int, t date, a double")
     assert tuple(asof_backward(left, right, "k", "d", "t", ["a"]).first()) == (1, D(2020, 1, 2), 4, 6.0)
-    u = spark.createDataFrame([("m", 1, "s", 1, 1, 0.02, 0.03, "x", "y")], "series string, at int, src string, block int, id long, v double, typical double, bin string, lf string")
-    assert infer_units(u).first()["unit"] == "fraction"
+    u = spark.createDataFrame([("m", 1, "s", 1, 1, 0.02, 0.03, "x", "y", -999.0)], "series string, at int, src string, block int, id long, v double, typical double, bin string, lf_0 string, w double")
+    assert [tuple(r) for r in units(u).collect()] == [(1, "v", 0.02, "fraction")]
