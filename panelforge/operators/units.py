@@ -81,25 +81,36 @@ def _size_prior(lg: Column, typical: Column) -> Column:
     return lg * F.lit(2.302585092994046) - 2.5 * F.ln(1 + x * x / 4)
 
 
-def _consensus(wide: DataFrame, n_fields: int, n_keys: int, weights: list[Column]) -> DataFrame:
-    """For each group, the log10 size of each field's figure that the values support best: columns g0.., lf_0 ...
+def _lg(i: int) -> Column:
+    return F.log10(F.abs(F.col(f"v_{i}").cast("double")))
+
+
+def _consensus(wide: DataFrame, n_fields: int, n_keys: int, weights: list[Column], typical: DataFrame | None = None) -> DataFrame:
+    """For each group, the log10 size of each field's figure that the values support best, and its usual size: columns g0.., lf_0, t_0 ...
+
+    The usual sizes come from ``wide`` (t_0 ...) or, where it no longer carries them, from ``typical``.
 
     ``weights``: what a value says for each of the three units. Values are first counted by bin of their own size, so what is tripled
     and shuffled by group is a few bins, however many sources report.
     """
     keys = [f"g{i}" for i in range(n_keys)]
-    values = F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"lg_{i}").alias("lg"), F.col(f"t_{i}").alias("typical")) for i in range(n_fields)])
+    size = (lambda i: F.col(f"t_{i}")) if typical is None else (lambda i: F.lit(None).cast("double"))
+    values = F.array(*[F.struct(F.lit(i).alias("f"), _lg(i).alias("lg"), size(i).alias("typical")) for i in range(n_fields)])
     long = wide.select(*keys, *[w.alias(f"w{k}") for k, w in enumerate(weights)], F.explode(values).alias("x")).where(F.col("x.lg").isNotNull())
     bins = long.groupBy(*keys, F.col("x.f").alias("f"), F.round(F.col("x.lg") * _BINS).cast("int").alias("own")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("x.lg").alias("ls"), F.max("x.typical").alias("typical"), *[F.sum(f"w{k}").alias(f"w{k}") for k in range(3)]
     )
+    if typical is not None:
+        known = F.coalesce(*[F.when(F.col("f") == i, F.col(f"t_{i}")) for i in range(n_fields)])
+        bins = bins.drop("typical").join(typical.select(*keys, *[f"t_{i}" for i in range(n_fields)]), keys).withColumn("typical", known)
     tripled = F.array(*[F.struct((F.col("own") - _BINS * step).alias("bin"), (F.col(f"w{k}") + _SUPPORT * F.col("n")).alias("w"), (F.col("ls") - step * F.col("n")).alias("ls")) for k, (step, _) in enumerate(UNIT_STEPS)])
     cands = bins.select(*keys, "f", "typical", "n", F.explode(tripled).alias("c")).groupBy(*keys, "f", "typical", "c.bin").agg(F.sum("c.w").alias("w"), F.sum("c.ls").alias("ls"), F.sum("n").alias("n"))
     near = Window.partitionBy(*keys, "f").orderBy("bin").rangeBetween(-1, 1)
     smooth = cands.select(*keys, "f", "typical", F.sum("w").over(near).alias("ws"), (F.sum("ls").over(near) / F.sum("n").over(near)).alias("lf"))
     score = F.round(F.col("ws") + _size_prior(F.col("lf"), F.col("typical")), 6)
-    best = smooth.groupBy(*keys, "f").agg(F.max(F.struct(score.alias("score"), F.col("lf"))).alias("b"))
-    return best.groupBy(*keys).agg(*[F.max(F.when(F.col("f") == i, F.col("b.lf"))).alias(f"lf_{i}") for i in range(n_fields)])
+    best = smooth.groupBy(*keys, "f").agg(F.max(F.struct(score.alias("score"), F.col("lf"), F.col("typical"))).alias("b"))
+    of = lambda i, c: F.max(F.when(F.col("f") == i, F.col(f"b.{c}")))
+    return best.groupBy(*keys).agg(*[of(i, "lf").alias(f"lf_{i}") for i in range(n_fields)], *[of(i, "typical").alias(f"t_{i}") for i in range(n_fields)])
 
 
 def infer_units(rows: DataFrame, group: list[str], src: str, block: list[Column], fields: dict[str, Column], keep: list[str], report: list[str] | None = None, rounds: int = 2) -> DataFrame:
@@ -123,26 +134,26 @@ def infer_units(rows: DataFrame, group: list[str], src: str, block: list[Column]
         F.coalesce(F.col(src).cast("string"), F.lit("")).alias("s"),
         *[b.alias(f"b{i}") for i, b in enumerate(block)],
         *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)],
-        *[F.when((v != 0) & ~is_missing_code(v), v).alias(f"v_{i}") for i, v in enumerate(usable.values())],
+        *[F.when((v != 0) & ~is_missing_code(v), F.col(f)).alias(f"v_{i}") for i, (f, v) in enumerate(usable.items())],
         *[t.cast("double").alias(f"t_{i}") for i, t in enumerate(fields.values())],
     ).where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
-    wide = wide.withColumns({f"lg_{i}": F.log10(F.abs(f"v_{i}")) for i in range(len(names))})
+    sized, wide = wide, wide.drop(*[f"t_{i}" for i in range(len(names))])  # what joins carry is as recorded
 
     def step(i: int) -> Column:
-        return F.greatest(F.lit(0), F.least(F.lit(4), 2 * F.round((F.col(f"lg_{i}") - F.col(f"lf_{i}")) / 2).cast("int")))
+        return F.greatest(F.lit(0), F.least(F.lit(4), 2 * F.round((_lg(i) - F.col(f"lf_{i}")) / 2).cast("int")))
 
     place = ["s", *[f"b{i}" for i in range(len(block))]]
-    figures = _consensus(wide, len(names), len(keys), [F.lit(0.0)] * 3)
+    figures = _consensus(sized, len(names), len(keys), [F.lit(0.0)] * 3)
     for _ in range(rounds - 1):
         seen = [F.sum(sum((F.coalesce((step(i) == k).cast("int"), F.lit(0)) for i in range(len(names))), F.lit(0))).cast("double").alias(f"c{k}") for k, _ in UNIT_STEPS]
         habit = wide.join(figures, keys).groupBy(*place).agg(*seen)
         total = sum((F.col(f"c{k}") for k, _ in UNIT_STEPS), F.lit(1.5))
         usual = habit.select(*place, *[F.ln((F.col(f"c{k}") + 0.5) / total).alias(f"u{k}") for k, _ in UNIT_STEPS])
         told = wide.join(usual, place)
-        figures = _consensus(told, len(names), len(keys), [F.col(f"u{k}") for k, _ in UNIT_STEPS])
+        figures = _consensus(told, len(names), len(keys), [F.col(f"u{k}") for k, _ in UNIT_STEPS], figures)
     wanted = [(i, f) for i, f in enumerate(names) if report is None or f in report]
     placed = wide.join(figures, keys)
-    found = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"v_{i}").alias("v"), step(i).alias("step")) for i, f in wanted])
+    found = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"v_{i}").cast("double").alias("v"), step(i).alias("step")) for i, f in wanted])
     unit = F.coalesce(*[F.when(F.col("x.step") == k, F.lit(u)) for k, u in UNIT_STEPS])
     out = placed.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.explode(found).alias("x")).where(F.col("x.v").isNotNull())
     return out.select(*keep, "x.field", "x.v", unit.alias("unit"))
