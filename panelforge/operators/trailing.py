@@ -34,8 +34,12 @@ def trailing_prefix(values: DataFrame, calendar: DataFrame, spans: tuple[int, ..
     prefix at the day and the prefix ``s`` days before. All of it needs one shuffle on the entity.
 
     Result: entity, day, and ``n_s``, ``total_s`` (null if ``n_s`` is 0), ``mean_s`` for each span. Cases: an entity without usable
-    values gives no rows; values on days outside the calendar count but get no row; empty tables give no rows.
+    values gives no rows; values on days outside the calendar count but get no row, and however far off they are, dates are
+    only filled from the longest span before the calendar to its end; empty tables give no rows.
     """
+    days = calendar_days(calendar)
+    lo = F.lit(min(days, default=None)).cast("date")
+    hi = F.lit(max(days, default=None)).cast("date")
     by_day = Window.partitionBy("entity").orderBy("day")
     running = by_day.rowsBetween(Window.unboundedPreceding, 0)
     prefix = values.select(
@@ -45,8 +49,10 @@ def trailing_prefix(values: DataFrame, calendar: DataFrame, spans: tuple[int, ..
         F.count("v").over(running).alias("pn"),
         F.lead("day").over(by_day).alias("nxt"),
     )
-    until = F.when(F.col("nxt").isNull(), F.col("day")).otherwise(F.date_sub("nxt", 1))
-    dense = prefix.select("entity", F.explode(F.sequence("day", until, F.expr("interval 1 day"))).alias("day"), "ps", "pn")
+    since = F.greatest(F.col("day"), F.date_sub(lo, max(spans)))
+    until = F.least(F.when(F.col("nxt").isNull(), F.col("day")).otherwise(F.date_sub("nxt", 1)), hi)
+    held = prefix.select("entity", since.alias("since"), until.alias("until"), "ps", "pn").where(F.col("since") <= F.col("until"))
+    dense = held.select("entity", F.explode(F.sequence("since", "until", F.expr("interval 1 day"))).alias("day"), "ps", "pn")
     out = dense
     for s in spans:
         out = out.withColumn(f"ln_{s}", F.coalesce(F.lag("pn", s).over(by_day), F.lit(0)))
@@ -57,15 +63,16 @@ def trailing_prefix(values: DataFrame, calendar: DataFrame, spans: tuple[int, ..
         total = F.when(n > 0, F.col("ps") - F.col(f"ls_{s}"))
         cols += [n.alias(f"n_{s}"), total.alias(f"total_{s}"), (total / F.when(n > 0, n)).alias(f"mean_{s}")]
     wanted = out.select("entity", "day", *cols)
-    return wanted.join(F.broadcast(bounded_days(calendar)), "day", "left_semi")
+    trading = values.sparkSession.createDataFrame([(d,) for d in sorted(days)], "day date")
+    return wanted.join(F.broadcast(trading), "day", "left_semi")
 
 
-def bounded_days(calendar: DataFrame) -> DataFrame:
+def calendar_days(calendar: DataFrame) -> set:
     """The distinct days of a calendar, refused when they exceed ``CALENDAR_LIMIT``, so that a broadcast of them has a proven bound."""
-    days = calendar.where(F.col("day").isNotNull()).select("day").distinct()
-    if len(days.take(CALENDAR_LIMIT + 1)) > CALENDAR_LIMIT:
+    rows = calendar.where(F.col("day").isNotNull()).select("day").distinct().take(CALENDAR_LIMIT + 1)
+    if len(rows) > CALENDAR_LIMIT:
         raise ValueError("the calendar has more days than CALENDAR_LIMIT")
-    return days
+    return {r[0] for r in rows}
 
 
 def idle_spans(trailing: DataFrame, spans: tuple[int, ...]) -> DataFrame:

@@ -106,3 +106,13 @@ def test_trailing_empty(spark):
     assert trailing_prefix(daily_values(df, "k", "d", "v"), cal, (7,)).count() == 0
     one = spark.createDataFrame([(1, D(2020, 1, 1), 0.5)], "k int, d date, v double")
     assert trailing_prefix(daily_values(one, "k", "d", "v"), cal.where(F.lit(False)), (7,)).count() == 0
+
+
+def test_trailing_far_off_days(spark):
+    """Days far outside the calendar count where they lie in a span, but fill nothing."""
+    days = [D(1800, 1, 1), D(2019, 12, 30), D(2020, 1, 3), D(9990, 1, 1)]
+    df = spark.createDataFrame([(1, x, 1.0) for x in days], "k int, d date, v double")
+    cal = spark.createDataFrame([(D(2020, 1, i),) for i in range(1, 11)], "day date")
+    t = trailing_prefix(daily_values(df, "k", "d", "v"), cal, (1, 7))
+    got = {r["day"].day: (r["n_1"], r["n_7"]) for r in t.collect()}
+    assert got == {1: (0, 1), 2: (0, 1), 3: (1, 2), 4: (0, 2), 5: (0, 2), 6: (0, 1), 7: (0, 1), 8: (0, 1), 9: (0, 1), 10: (0, 0)}
