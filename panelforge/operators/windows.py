@@ -26,10 +26,15 @@ def full_rolling(agg: Column, c: Column, w: WindowSpec, first: int, last: int) -
 
 
 def momentum_12_1(ret: Column, w: WindowSpec) -> Column:
-    """Compounded return over the rows t-12..t-2; a null return contributes nothing; null unless eleven rows lie there."""
+    """Compounded return over the rows t-12..t-2; a null return contributes nothing; null unless eleven rows lie there.
+
+    A total loss among them gives -1, a return below it null.
+    """
     growth = F.coalesce(F.when(ret > -1, F.log1p(ret)), F.lit(0.0))
     frame = w.rowsBetween(-12, -2)
-    return F.when(F.count(F.lit(1)).over(frame) == 11, F.expm1(F.sum(growth).over(frame)))
+    worst = F.coalesce(F.min(ret).over(frame), F.lit(0.0))
+    value = F.when(worst > -1, F.expm1(F.sum(growth).over(frame))).when(worst == -1, F.lit(-1.0))
+    return F.when(F.count(F.lit(1)).over(frame) == 11, value)
 
 
 def with_residual_std(df: DataFrame, entity: str, time: str, y: str, x: str, out: str, rows: int = 60, least: int = 30, annual: float = 21.0) -> DataFrame:

@@ -83,8 +83,13 @@ def market_returns(index: DataFrame, column: str = "sprtrn") -> DataFrame:
 
 
 def idio_vol(daily: DataFrame, market: DataFrame, rows: int = 60, least: int = 30) -> DataFrame:
-    """Residual deviation of the last ``rows`` daily rows on the market, at the last row of each (PERMNO, month)."""
+    """Residual deviation of the last ``rows`` daily rows on the market, at the last row of each (PERMNO, month).
+
+    ``market``: date, mkt and, for excess returns, rf. Days without a market figure are left out.
+    """
     joined = daily.join(F.broadcast(market), "date")  # one row a trading day
+    if "rf" in market.columns:
+        joined = joined.withColumn("ret", F.col("ret") - F.col("rf"))
     w = entity_window("PERMNO", "date")
     vol = with_residual_std(joined, "PERMNO", "date", "ret", "mkt", "idio_vol", rows, least).withColumn("nxt", F.lead("date").over(w))
     last = vol.where(F.col("nxt").isNull() | (F.last_day("nxt") != F.last_day("date")))

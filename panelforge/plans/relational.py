@@ -217,8 +217,8 @@ def valuation_ratios(spark, d):
     return panel.with_ratios(_fund(spark, d)).select("PERMNO", "MthCalDt", *[r(c).alias(c) for c in ("log_mktcap", "bm", "ep", "roe", "roa", "asset_growth")])
 
 
-@query(f"""WITH {BASE}, m AS (SELECT PERMNO, mon, lag(ret) OVER w m1, count(*) OVER f k, sum(CASE WHEN ret > -1 THEN ln(1 + ret) ELSE 0 END) OVER f s FROM base WINDOW w AS (PARTITION BY PERMNO ORDER BY mon),
-  f AS (PARTITION BY PERMNO ORDER BY mon ROWS BETWEEN 12 PRECEDING AND 2 PRECEDING)) SELECT PERMNO, mon AS month, round(CASE WHEN k = 11 THEN exp(s) - 1 END, 6) mom_12_1, round(m1, 6) mom_1 FROM m""")
+@query(f"""WITH {BASE}, m AS (SELECT PERMNO, mon, lag(ret) OVER w m1, count(*) OVER f k, sum(CASE WHEN ret > -1 THEN ln(1 + ret) ELSE 0 END) OVER f s, min(ret) OVER f mn FROM base WINDOW w AS (PARTITION BY PERMNO ORDER BY mon),
+  f AS (PARTITION BY PERMNO ORDER BY mon ROWS BETWEEN 12 PRECEDING AND 2 PRECEDING)) SELECT PERMNO, mon AS month, round(CASE WHEN k = 11 AND mn > -1 THEN exp(s) - 1 WHEN k = 11 AND mn = -1 THEN -1 END, 6) mom_12_1, round(m1, 6) mom_1 FROM m""")
 def lag_momentum(spark, d):
     return panel.with_momentum(_base(spark, d)).select("PERMNO", "month", r("mom_12_1").alias("mom_12_1"), r("mom_1").alias("mom_1"))
 
@@ -265,6 +265,16 @@ def idio_vol_60(spark, d):
     return _ivol(spark, d).select("PERMNO", "month", r("idio_vol", 5).alias("idio_vol"))
 
 
+@query(f"""WITH {FACD}, {DAILY}, jd AS (SELECT PERMNO, dly.date, ret - rf y, mkt x FROM dly JOIN facd ON facd.date = dly.date),
+rv AS (SELECT PERMNO, date, count(*) OVER w n, regr_sxx(y, x) OVER w sxx, regr_syy(y, x) OVER w syy, regr_sxy(y, x) OVER w sxy, lead(date) OVER (PARTITION BY PERMNO ORDER BY date) nx FROM jd WINDOW w AS (PARTITION BY PERMNO ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))
+SELECT PERMNO, last_day(date) AS month, round(sqrt(greatest(CASE WHEN sxx > 0 THEN syy - sxy * sxy / sxx ELSE syy END, 0) / (n - 2)) * sqrt(21), 5) idio_vol FROM rv WHERE n >= 30 AND (nx IS NULL OR last_day(nx) <> last_day(date))""")
+def idio_vol_excess(spark, d):
+    """Excess returns on the market factor, as the published characteristic has it."""
+    factors = daily_factors(spark, d).select("date", "mkt", "rf")
+    v = panel.idio_vol(panel.daily_returns(table(spark, d, "crsp_daily")), factors)
+    return v.select("PERMNO", "month", r("idio_vol", 5).alias("idio_vol"))
+
+
 def _rank_sql(c: str) -> str:
     ok = f"coalesce(isfinite({c}), false)"
     return f"CASE WHEN NOT {ok} OR sum({ok}::INT) OVER (PARTITION BY mon) <= 1 THEN 0.0 ELSE (row_number() OVER (PARTITION BY mon ORDER BY {ok} DESC, {c}, PERMNO) - 1) / (sum({ok}::INT) OVER (PARTITION BY mon) - 1)::DOUBLE - 0.5 END"
@@ -386,10 +396,10 @@ def panel_counts(spark, d):
     return s.agg(F.count(F.lit(1)).alias("months"), r(F.avg("n"), 4).alias("mean_n"), F.min("n").alias("min_n"), F.max("n").alias("max_n"))
 
 
-MOM = """mom AS (SELECT PERMNO, mon, lag(ret) OVER w m1, count(*) OVER f k, sum(CASE WHEN ret > -1 THEN ln(1 + ret) ELSE 0 END) OVER f s FROM base WINDOW w AS (PARTITION BY PERMNO ORDER BY mon),
+MOM = """mom AS (SELECT PERMNO, mon, lag(ret) OVER w m1, count(*) OVER f k, sum(CASE WHEN ret > -1 THEN ln(1 + ret) ELSE 0 END) OVER f s, min(ret) OVER f mn FROM base WINDOW w AS (PARTITION BY PERMNO ORDER BY mon),
   f AS (PARTITION BY PERMNO ORDER BY mon ROWS BETWEEN 12 PRECEDING AND 2 PRECEDING))"""
 CHARS = f"""{FUND}, {MOM}, {IVOL}, chars AS (SELECT fund.PERMNO, fund.MthCalDt, fund.mon, ret, CASE WHEN cap > 0 THEN ln(cap) END log_mktcap, ceq_lag / nullif(cap / 1000, 0) bm, ib_lag / nullif(cap / 1000, 0) ep,
-  CASE WHEN k = 11 THEN exp(s) - 1 END mom_12_1, m1 mom_1, ni_lag / nullif(ceq_lag, 0) roe, ni_lag / nullif(at_lag, 0) roa, at_lag / nullif(at_lag_prior, 0) - 1 asset_growth, CASE WHEN shares > 0 THEN vol / (shares * 1000) END turnover, idio_vol
+  CASE WHEN k = 11 AND mn > -1 THEN exp(s) - 1 WHEN k = 11 AND mn = -1 THEN -1 END mom_12_1, m1 mom_1, ni_lag / nullif(ceq_lag, 0) roe, ni_lag / nullif(at_lag, 0) roa, at_lag / nullif(at_lag_prior, 0) - 1 asset_growth, CASE WHEN shares > 0 THEN vol / (shares * 1000) END turnover, idio_vol
   FROM fund JOIN mom ON mom.PERMNO = fund.PERMNO AND mom.mon = fund.mon LEFT JOIN ivol ON ivol.PERMNO = fund.PERMNO AND ivol.mon = fund.mon)"""
 
 
