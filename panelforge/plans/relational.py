@@ -403,13 +403,17 @@ CHARS = f"""{FUND}, {MOM}, {IVOL}, chars AS (SELECT fund.PERMNO, fund.MthCalDt,
   FROM fund JOIN mom ON mom.PERMNO = fund.PERMNO AND mom.mon = fund.mon LEFT JOIN ivol ON ivol.PERMNO = fund.PERMNO AND ivol.mon = fund.mon)"""
 
 
+#: Decimals that both engines' sums agree on; the rest are ratios of single numbers.
+DIGITS = {"idio_vol": 5, "mom_12_1": 6}
+
+
 def _chars(spark, d):
     return panel.characteristics(table(spark, d, "ccm_merged"), table(spark, d, "crsp_daily"), table(spark, d, "sp500_index"))
 
 
-@query(f"WITH {CHARS} SELECT PERMNO, MthCalDt, round(ret, 6) ret, " + ", ".join(f"round({c}, 5) {c}" for c in panel.FEATURES) + " FROM chars")
+@query(f"WITH {CHARS} SELECT PERMNO, MthCalDt, round(ret, 6) ret, " + ", ".join(f"round({c}, {DIGITS.get(c, 8)}) {c}" for c in panel.FEATURES) + " FROM chars")
 def char_panel(spark, d):
-    return _chars(spark, d).select("PERMNO", "MthCalDt", r("ret").alias("ret"), *[r(c, 5).alias(c) for c in panel.FEATURES])
+    return _chars(spark, d).select("PERMNO", "MthCalDt", r("ret").alias("ret"), *[r(c, DIGITS.get(c, 8)).alias(c) for c in panel.FEATURES])
 
 
 @query(f"WITH {CHARS} SELECT PERMNO, mon AS month, " + ", ".join(f"round({_rank_sql(c)}, 6) {c}" for c in panel.FEATURES) + " FROM chars")
