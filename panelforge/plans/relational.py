@@ -223,9 +223,9 @@ def lag_momentum(spark, d):
     return panel.with_momentum(_base(spark, d)).select("PERMNO", "month", r("mom_12_1").alias("mom_12_1"), r("mom_1").alias("mom_1"))
 
 
-@query(f"WITH {BASE} SELECT PERMNO, mon AS month, round(CASE WHEN shares > 0 THEN vol / (shares * 1000) END, 8) turnover FROM base")
+@query(f"WITH {BASE} SELECT PERMNO, mon AS month, CASE WHEN shares > 0 THEN vol / (shares * 1000) END turnover FROM base")
 def turnover_ratio(spark, d):
-    return panel.with_turnover(_base(spark, d)).select("PERMNO", "month", r("turnover", 8).alias("turnover"))
+    return panel.with_turnover(_base(spark, d)).select("PERMNO", "month", "turnover")
 
 
 IDXD = "idxd AS (SELECT caldt d, max(sprtrn::DOUBLE) r FROM sp500_index WHERE isfinite(sprtrn) GROUP BY 1)"
@@ -403,17 +403,17 @@ CHARS = f"""{FUND}, {MOM}, {IVOL}, chars AS (SELECT fund.PERMNO, fund.MthCalDt,
   FROM fund JOIN mom ON mom.PERMNO = fund.PERMNO AND mom.mon = fund.mon LEFT JOIN ivol ON ivol.PERMNO = fund.PERMNO AND ivol.mon = fund.mon)"""
 
 
-#: Decimals that both engines' sums agree on; the rest are ratios of single numbers.
-DIGITS = {"idio_vol": 5, "mom_12_1": 6}
+#: Decimals to which sums and logs of both engines agree; the rest are quotients of single numbers, equal to the last bit.
+DIGITS = {"idio_vol": 5, "mom_12_1": 6, "log_mktcap": 8}
 
 
 def _chars(spark, d):
     return panel.characteristics(table(spark, d, "ccm_merged"), table(spark, d, "crsp_daily"), table(spark, d, "sp500_index"))
 
 
-@query(f"WITH {CHARS} SELECT PERMNO, MthCalDt, round(ret, 6) ret, " + ", ".join(f"round({c}, {DIGITS.get(c, 8)}) {c}" for c in panel.FEATURES) + " FROM chars")
+@query(f"WITH {CHARS} SELECT PERMNO, MthCalDt, round(ret, 6) ret, " + ", ".join(f"round({c}, {DIGITS[c]}) {c}" if c in DIGITS else c for c in panel.FEATURES) + " FROM chars")
 def char_panel(spark, d):
-    return _chars(spark, d).select("PERMNO", "MthCalDt", r("ret").alias("ret"), *[r(c, DIGITS.get(c, 8)).alias(c) for c in panel.FEATURES])
+    return _chars(spark, d).select("PERMNO", "MthCalDt", r("ret").alias("ret"), *[r(c, DIGITS[c]).alias(c) if c in DIGITS else F.col(c) for c in panel.FEATURES])
 
 
 @query(f"WITH {CHARS} SELECT PERMNO, mon AS month, " + ", ".join(f"round({_rank_sql(c)}, 6) {c}" for c in panel.FEATURES) + " FROM chars")
