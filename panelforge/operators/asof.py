@@ -5,25 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def asof_backward(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, payload: list[str], suffix: str = "") -> DataFrame:
-    """For each left row, the payload of the last right row of its key at or before its time (nulls if none).
+def asof_slots(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, slots: list[str]) -> DataFrame:
+    """For each left row and each slot, the last non-null struct of that slot in the right rows of its key at or before its time.
 
-    One union, one shuffle on the key, one sort and a ``last`` window; a right row at the same instant counts as known. Left rows
-    with a null key or time get nulls; among right rows at one instant the greatest payload wins; a left column named like a payload
-    column is replaced. For keys that may hold unbounded left rows use ``version_join``, which numbers distinct instants only.
+    ``right``: key, right_time and one struct column a slot; a row may fill some slots only, so several lags of one feed share a pass.
+    One union, one shuffle on the key, one sort and ``last`` windows; the result stays partitioned by the key. A right row at the
+    same instant counts as known; among right rows at one instant the greatest struct wins. Left rows with a null key or time get
+    nulls. Result: the left columns and the slots; left columns named like a slot are replaced.
     """
-    lcols, names = left.columns, {c + suffix for c in payload}
-    l = left.select(F.col(key).alias("__k"), F.col(left_time).alias("__t"), F.lit(1).alias("__tag"), F.lit(None).cast(_payload_type(right, payload)).alias("__p"), F.struct(*lcols).alias("__l"))
-    r = right.where(F.col(key).isNotNull() & F.col(right_time).isNotNull()).select(
-        F.col(key).alias("__k"), F.col(right_time).alias("__t"), F.lit(0).alias("__tag"), F.struct(*payload).alias("__p"), F.lit(None).cast(l.schema["__l"].dataType).alias("__l")
-    )
-    w = Window.partitionBy("__k").orderBy(F.col("__t").asc_nulls_first(), "__tag", "__p").rowsBetween(Window.unboundedPreceding, 0)
-    both = l.unionByName(r).withColumn("__p", F.last("__p", ignorenulls=True).over(w)).where("__tag = 1")
-    return both.select(*[F.col(f"__l.`{c}`") for c in lcols if c not in names], *[F.col(f"__p.{c}").alias(c + suffix) for c in payload])
+    lcols = [c for c in left.columns if c not in slots]
+    others = [c for c in lcols if c != key]
+    types = {f.name: f.dataType for f in [*left.schema.fields, *right.schema.fields]}
+    kinds = {f.name: f.dataType for f in left.schema.fields}
+    l = left.select(key, F.col(left_time).alias("__t"), F.lit(1).alias("__tag"), *others, *[F.lit(None).cast(types[s]).alias(s) for s in slots])
+    known = right.where(F.col(key).isNotNull() & F.col(right_time).isNotNull())
+    r = known.select(key, F.col(right_time).alias("__t"), F.lit(0).alias("__tag"), *[F.lit(None).cast(kinds[c]).alias(c) for c in others], *slots)
+    w = Window.partitionBy(key).orderBy(F.col("__t").asc_nulls_first(), "__tag", *slots).rowsBetween(Window.unboundedPreceding, 0)
+    both = l.unionByName(r).withColumns({s: F.last(s, ignorenulls=True).over(w) for s in slots}).where("__tag = 1")
+    return both.select(*lcols, *slots)
 
 
-def _payload_type(right: DataFrame, payload: list[str]):
-    return right.select(F.struct(*payload).alias("p")).schema["p"].dataType
+def asof_backward(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, payload: list[str], suffix: str = "") -> DataFrame:
+    """For each left row, the payload of the last right row of its key at or before its time (nulls if none), as ``asof_slots``.
+
+    A left column named like a payload column is replaced. For keys that may hold unbounded left rows use ``version_join``, which
+    numbers distinct instants only.
+    """
+    names = {c + suffix for c in payload}
+    feed = right.select(key, F.col(right_time).alias("__rt"), F.struct(*payload).alias("__p"))
+    joined = asof_slots(left, feed, key, left_time, "__rt", ["__p"])
+    return joined.select(*[c for c in left.columns if c not in names], *[F.col(f"__p.{c}").alias(c + suffix) for c in payload])
 
 
 def number_versions(versions: DataFrame, instants: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelforge.functions.scalar import finite, is_finite, safe_div, safe_ln
-from panelforge.operators.asof import asof_backward
+from panelforge.operators.asof import asof_slots
 from panelforge.operators.intervals import membership_filter
 from panelforge.operators.windows import entity_window, last_row, momentum_12_1, ragged, rank_transform, with_residual_std
 
@@ -41,12 +41,17 @@ def statements(ccm: DataFrame) -> DataFrame:
 
 def with_fundamentals(base: DataFrame, stm: DataFrame, lag: int = 6, prior_lag: int = 18) -> DataFrame:
     """Statements known ``lag`` months after their period (``*_lag``) and total assets of a year before (``at_lag_prior``)."""
-    now = stm.select("PERMNO", F.add_months("datadate", lag).alias("avail"), "datadate", *[F.col(c).alias(f"{c}_lag") for c in ("at", "ceq", "ni", "ib")])
-    prior = stm.select("PERMNO", F.add_months("datadate", prior_lag).alias("avail"), "datadate", F.col("at").alias("at_lag_prior"))
-    # the freshest statement leads the payload, so it wins among statements that become available on one day
-    first = asof_backward(base, now.withColumnRenamed("datadate", "stm_date"), "PERMNO", "MthCalDt", "avail", ["stm_date", "at_lag", "ceq_lag", "ni_lag", "ib_lag"])
-    second = asof_backward(first, prior.withColumnRenamed("datadate", "prior_date"), "PERMNO", "MthCalDt", "avail", ["prior_date", "at_lag_prior"])
-    return second.drop("stm_date", "prior_date")
+    names = ("at", "ceq", "ni", "ib")
+    moved = stm.select("PERMNO", "datadate", *names, F.explode(F.array(F.lit(lag), F.lit(prior_lag))).alias("months"))
+    # the period's end leads each struct, so the freshest statement wins among those that become available on one day
+    feed = moved.select(
+        "PERMNO",
+        F.add_months("datadate", F.col("months")).alias("avail"),
+        F.when(F.col("months") == lag, F.struct("datadate", *names)).alias("__now"),
+        F.when(F.col("months") == prior_lag, F.struct("datadate", "at")).alias("__prior"),
+    )
+    joined = asof_slots(base, feed, "PERMNO", "MthCalDt", "avail", ["__now", "__prior"])
+    return joined.select(*base.columns, *[F.col(f"__now.{c}").alias(f"{c}_lag") for c in names], F.col("__prior.at").alias("at_lag_prior"))
 
 
 def with_ratios(df: DataFrame) -> DataFrame:
