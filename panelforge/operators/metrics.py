@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelforge.functions.scalar import safe_div
-from panelforge.operators.windows import buckets, with_drawdown
+from panelforge.operators.windows import with_drawdown
 
 
 def oos_r2(actual: Column, prediction: Column) -> Column:
@@ -70,5 +70,3 @@ def long_short(df: DataFrame, keys: list[str], time: str, score: str, actual: st
     )
     return legs.withColumn("long_short", F.col("long_leg") - F.col("short_leg"))
 
-
-__all__ = ["annual_mean", "annual_vol", "buckets", "capm_alpha", "factor_alpha", "long_short", "max_drawdown", "oos_r2", "sharpe"]

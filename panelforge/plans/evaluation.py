@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from panelforge.functions.scalar import argmax_array, dot, finite, logsumexp, safe_div, softmax_ref
-from panelforge.operators import joins, metrics, sampling, windows
+from panelforge.functions.scalar import argmax_array, finite, logsumexp, safe_div, softmax_ref
+from panelforge.operators import metrics, sampling, windows
 from panelforge.plans import panel
-from panelforge.plans.relational import BASE, FACD, IDXM, _base, daily_factors, day, monthly_index, r, table
+from panelforge.plans.relational import BASE, FACD, IDXM, _base, daily_factors, monthly_index, r, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -36,10 +36,14 @@ def forecasts(spark, d) -> DataFrame:
     return p.select("PERMNO", "month", "actual", F.explode(rules).alias("x")).select("PERMNO", "month", "x.*", "actual").where("prediction IS NOT NULL")
 
 
+def whole_series() -> WindowSpec:
+    """All of a monthly series, a few hundred rows."""
+    return Window.partitionBy()
+
+
 def regimes(spark, d) -> DataFrame:
     m = monthly_index(spark, d).where("sd IS NOT NULL")
-    mid = m.agg(F.median("sd").alias("mid"))
-    return m.crossJoin(F.broadcast(mid)).select("month", F.when(F.col("sd") > F.col("mid"), 1).otherwise(0).alias("state"))  # one row beside each month
+    return m.select("month", F.when(F.col("sd") > F.median("sd").over(whole_series()), 1).otherwise(0).alias("state"))
 
 
 @query(f"WITH {PRED} SELECT model, count(*)::BIGINT n, round(1 - sum((actual - prediction) ** 2) / nullif(sum(actual * actual), 0), 6) r2 FROM pred GROUP BY 1")
@@ -135,9 +139,8 @@ STRESS = [("dotcom", "2000-03-01", "2002-10-31"), ("credit", "2007-12-01", "2009
   CASE WHEN m BETWEEN DATE '2000-03-01' AND DATE '2002-10-31' THEN 'dotcom' WHEN m BETWEEN DATE '2007-12-01' AND DATE '2009-06-30' THEN 'credit' WHEN m BETWEEN DATE '2020-02-01' AND DATE '2020-04-30' THEN 'pandemic' END episode FROM vol3 WHERE sd IS NOT NULL""")
 def regime_probability_flags(spark, d):
     m = monthly_index(spark, d).where("sd IS NOT NULL")
-    mid = m.agg(F.median("sd").alias("mid"))
     episodes = F.broadcast(spark.createDataFrame(STRESS, "episode string, lo string, hi string").select("episode", F.to_date("lo").alias("lo"), F.to_date("hi").alias("hi")))
-    p = m.crossJoin(F.broadcast(mid)).select("month", r(1 / (1 + F.exp(-50 * (F.col("sd") - F.col("mid"))))).alias("p_high"))
+    p = m.select("month", r(1 / (1 + F.exp(-50 * (F.col("sd") - F.median("sd").over(whole_series()))))).alias("p_high"))
     return p.join(episodes, F.col("month").between(F.col("lo"), F.col("hi")), "left").select("month", "p_high", "episode")
 
 
@@ -264,10 +267,9 @@ SELECT i::INTEGER step, round(max(v), 6) level, round(avg(q), 6) mean_p, round(q
 def covariate_sensitivity(spark, d):
     """Probability of the second state along a grid of the covariate, averaged over fits (one a month), with a band."""
     m = monthly_index(spark, d).where("sd IS NOT NULL")
-    b = m.agg(F.percentile("sd", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
-    grid = b.select(F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))).alias("step"), "q").select("step", (F.col("q")[0] + (F.col("q")[1] - F.col("q")[0]) * F.col("step") / (GRID - 1)).alias("v"))
-    fits = m.select((40 + 200 * F.col("r")).alias("w"), (-2 + 10 * F.col("sd")).alias("c"))
-    x = fits.crossJoin(F.broadcast(grid))  # a grid of 80 beside each fit
+    q = F.percentile("sd", F.array(F.lit(0.05), F.lit(0.95))).over(whole_series())
+    fits = m.select((40 + 200 * F.col("r")).alias("w"), (-2 + 10 * F.col("sd")).alias("c"), q.alias("q"))
+    x = fits.select("w", "c", "q", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))).alias("step")).withColumn("v", F.col("q")[0] + (F.col("q")[1] - F.col("q")[0]) * F.col("step") / (GRID - 1))
     p = softmax_ref([F.col("w") * F.col("v") + F.col("c")])[1]
     return x.select("step", "v", p.alias("p")).groupBy("step").agg(r(F.max("v")).alias("level"), r(F.avg("p")).alias("mean_p"), r(F.percentile("p", 0.1)).alias("p10"), r(F.percentile("p", 0.9)).alias("p90"))
 
@@ -322,5 +324,3 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
-
-__all__ = ["day", "dot", "joins", "oracle_sql", "queries"]

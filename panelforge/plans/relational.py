@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from panelforge.functions.scalar import finite, is_finite, month_ordinal, null_tokens, parse_day, safe_div
+from panelforge.functions.scalar import finite, is_finite, month_ordinal, null_tokens, parse_day
 from panelforge.operators import intervals, joins, sampling, windows
 from panelforge.plans import panel
 
@@ -492,5 +492,3 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
-
-__all__ = ["oracle_sql", "queries", "safe_div"]
