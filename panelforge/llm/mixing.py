@@ -61,6 +61,5 @@ def mix_shares(copies: DataFrame, targets: DataFrame, source: str = "source", si
     """Target share, actual share, size used and greatest repeat of each source with a target."""
     got = copies.groupBy(F.col(source).alias("__s")).agg(F.sum(F.col(size) * F.col("copies")).alias("used"), F.sum(size).alias("available"), F.max("copies").alias("most_copies"))
     both = targets.join(got, F.col("source") == F.col("__s"), "left").withColumn("used", F.coalesce("used", F.lit(0)))
-    all_used = both.groupBy().agg(F.sum("used").alias("all_used"))
-    out = both.crossJoin(F.broadcast(all_used))  # one row
+    out = both.withColumn("all_used", F.sum("used").over(Window.partitionBy()))  # one row a source
     return out.select("source", "target_share", "max_repeats", F.coalesce("available", F.lit(0)).alias("available"), "used", F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.round(F.try_divide("used", "all_used"), 6).alias("actual_share"))
