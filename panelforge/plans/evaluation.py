@@ -98,7 +98,22 @@ def capm_alpha(spark, d):
     return j.groupBy("model").agg(r(metrics.capm_alpha(F.col("long_short"), F.col("mkt")), 5).alias("alpha"))
 
 
-@query()
+def _orthogonal_sql(names: list[str]) -> str:
+    """Steps that make each factor orthogonal to those before it, without a constant, within a model."""
+    steps = []
+    for i, f in enumerate(names):
+        parts = "".join(f" - q{j} * sum({f} * q{j}) OVER w / sum(q{j} * q{j}) OVER w" for j in range(i))
+        steps.append(f"o{i} AS (SELECT *, {f}{parts} q{i} FROM {f'o{i - 1}' if i else 'j'} WINDOW w AS (PARTITION BY model))")
+    return ", ".join(steps)
+
+
+# The constant's part that no factor explains gives the intercept.
+FF5_SQL = f"""WITH {LS}, {FACM}, j AS (SELECT model, ll - sl y, fac.* EXCLUDE (mon) FROM ls JOIN fac USING (mon)), {_orthogonal_sql(FF5)},
+u AS (SELECT model, y, 1 {"".join(f" - q{i} * sum(q{i}) OVER w / sum(q{i} * q{i}) OVER w" for i in range(5))} u FROM o4 WINDOW w AS (PARTITION BY model))
+SELECT model, round(CASE WHEN count(*) >= 8 THEN 12 * sum(u * y) / sum(u * u) END, 5) alpha FROM u GROUP BY 1"""
+
+
+@query(FF5_SQL)
 def ff5_alpha(spark, d):
     j = portfolios(spark, d).join(F.broadcast(monthly_factors(spark, d)), "month")
     return metrics.factor_alpha(j, "long_short", FF5, ["model"]).select("model", r("alpha", 5).alias("alpha"))

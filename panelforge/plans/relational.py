@@ -421,11 +421,20 @@ def char_panel_ranked(spark, d):
     return panel.ranked(_chars(spark, d)).select("PERMNO", "month", *[r(c).alias(c) for c in panel.FEATURES])
 
 
-@query()
+PANEL_SQL = f"""WITH {CHARS}, {RFM}, {DL}, iv AS (SELECT DISTINCT permno, start, ending FROM sp500_constituents),
+un AS (SELECT c.*, CASE WHEN dl IS NOT NULL THEN (1 + coalesce(ret - rf, 0)) * (1 + dl) - 1 ELSE ret - rf END ex FROM chars c LEFT JOIN rfm ON rfm.mon = c.mon LEFT JOIN dl ON dl.PERMNO = c.PERMNO AND dl.mon = c.mon
+  WHERE EXISTS (SELECT 1 FROM iv WHERE iv.permno = c.PERMNO AND c.MthCalDt BETWEEN iv.start AND iv.ending)),
+rk AS (SELECT PERMNO, mon, ex, {_rank_sql("bm")} bm FROM un) SELECT mon AS month, count(*)::BIGINT n, string_agg(PERMNO::VARCHAR, ',' ORDER BY PERMNO) entities, round(sum(ex), 6) total_return, round(sum(bm * ex), 6) bm_return
+FROM rk WHERE isfinite(ex) GROUP BY 1 HAVING count(*) >= 5"""
+
+
+@query(PANEL_SQL)
 def model_panel(spark, d):
-    """The model's ragged panel: universe, excess returns, delisting, ranks, finite returns, arrays of each month of 5 rows or more."""
+    """The model's ragged panel: universe, excess returns, delisting, ranks, finite returns, arrays of each month of 5 rows or more; shown by its sums."""
     p = panel.model_panel(_chars(spark, d), table(spark, d, "sp500_constituents"), rf_months(spark, d), panel.delisting_returns(table(spark, d, "delisting")), least=5)
-    return p.select("month", F.size("entities").alias("n"), F.col("entities"), F.transform("returns", lambda x: F.round(x, 6)).alias("returns"))
+    total = F.aggregate("returns", F.lit(0.0), lambda a, x: a + x)
+    by_rank = F.aggregate(F.zip_with("returns", F.transform("x", lambda v: v[panel.FEATURES.index("bm")]), lambda y, v: y * v), F.lit(0.0), lambda a, x: a + x)
+    return p.select("month", F.size("entities").cast("long").alias("n"), F.array_join(F.transform("entities", lambda x: x.cast("string")), ",").alias("entities"), r(total).alias("total_return"), r(by_rank).alias("bm_return"))
 
 
 # --- order, set and shape ----------------------------------------------------------------------------------------------------
