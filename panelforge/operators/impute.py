@@ -62,10 +62,8 @@ def _fit(state: DataFrame, fields: list[str], predictors: list[str]) -> dict[str
     return out
 
 
-def _fill_codes(base: DataFrame, numeric: list[str]) -> DataFrame:
-    """``code_fill`` of each entity: the commonest code of the entity's own rows; for an entity without any, the class that a Gaussian classifier finds for its rows."""
-    votes = base.where("code IS NOT NULL AND entity IS NOT NULL").groupBy("entity", "code").agg(F.count(F.lit(1)).alias("n"))
-    own = votes.groupBy("entity").agg(F.max_by("code", F.struct(F.col("n"), "code")).alias("own"))
+def _class_scores(base: DataFrame, numeric: list[str]) -> list[tuple[str, float, Column]]:
+    """Each code with its log share and a row's Gaussian log likelihood under it, from the rows that have a code."""
     stats = base.where("code IS NOT NULL").groupBy("code").agg(F.count(F.lit(1)).alias("n"), *[x for f in numeric for x in (F.avg(f"v_{f}").alias(f"m_{f}"), F.stddev_pop(f"v_{f}").alias(f"d_{f}"))])
     classes = stats.limit(CODE_LIMIT + 1).collect()
     if len(classes) > CODE_LIMIT:
@@ -79,13 +77,21 @@ def _fill_codes(base: DataFrame, numeric: list[str]) -> DataFrame:
                 d = max(r[f"d_{f}"] or 0.0, 1e-6)
                 s = s + F.coalesce(-0.5 * F.pow((F.col(f"v_{f}") - r[f"m_{f}"]) / d, 2) - float(np.log(d)), F.lit(0.0))
         scores.append((r["code"], float(np.log(r["n"] / whole)), s))
-    lost = base.join(own, "entity", "left_anti")
-    if not scores:
-        return own.select("entity", F.col("own").alias("code_fill"))
-    sums = lost.groupBy("entity").agg(*[(F.sum(s) + p).alias(f"s{i}") for i, (_, p, s) in enumerate(scores)])
-    best = F.greatest(*[F.col(f"s{i}") for i in range(len(scores))]) if len(scores) > 1 else F.col("s0")
-    guess = F.coalesce(*[F.when(F.col(f"s{i}") == best, F.lit(c)) for i, (c, _, _) in enumerate(scores)])
-    return own.select("entity", F.col("own").alias("code_fill")).unionByName(sums.select("entity", guess.alias("code_fill")))
+    return scores
+
+
+def _entities(base: DataFrame, numeric: list[str], sums: list[Column]) -> DataFrame:
+    """One row an entity (``__e``, null for rows without): ``sums``, and ``code_fill``, the commonest code of its own rows, else the class that a
+    Gaussian classifier finds for them together. Both are map-side combined, so an entity with a third of all rows is folded early.
+    """
+    scores = _class_scores(base, numeric)
+    folded = base.groupBy(F.col("entity").alias("__e")).agg(*sums, *[(F.sum(s) + p).alias(f"__s{i}") for i, (_, p, s) in enumerate(scores)])
+    votes = base.where("code IS NOT NULL AND entity IS NOT NULL").groupBy("entity", "code").agg(F.count(F.lit(1)).alias("n"))
+    own = votes.groupBy(F.col("entity").alias("__o")).agg(F.max_by("code", F.struct(F.col("n"), F.col("code"))).alias("own"))
+    best = F.greatest(*[F.col(f"__s{i}") for i in range(len(scores))]) if len(scores) > 1 else F.col("__s0") if scores else None
+    guess = F.coalesce(*[F.when(F.col(f"__s{i}") == best, F.lit(c)) for i, (c, _, _) in enumerate(scores)]) if scores else F.lit(None).cast("string")
+    both = folded.join(own, F.col("__e") == F.col("__o"), "left")
+    return both.withColumn("code_fill", F.coalesce("own", guess)).drop("own", "__o", *[f"__s{i}" for i in range(len(scores))])
 
 
 def impute_chained(
@@ -125,12 +131,12 @@ def impute_chained(
     )
     overall = base.agg(*[F.avg(f"v_{f}").alias(f"v_{f}") for f in names], *[F.avg(p).alias(p) for p in preds]).first()
     mean = lambda c: float(overall[c]) if overall[c] is not None else 0.0
-    coded = base.join(_fill_codes(base, names).withColumnRenamed("entity", "__e"), F.col("entity").eqNullSafe(F.col("__e")), "left").drop("__e").withColumn("code_now", F.coalesce("code", "code_fill"))
     sums = lambda tag: [x for f in names for x in (F.sum(f"v_{f}").alias(f"{tag}s_{f}"), F.count(f"v_{f}").alias(f"{tag}n_{f}"))]
-    of_entity = base.groupBy(F.col("entity").alias("__e")).agg(*sums("e"))
-    of_cell = coded.groupBy(F.col("code_now").alias("__c"), F.trunc("time", "MM").alias("__m")).agg(*sums("c"))
+    coded = base.join(_entities(base, names, sums("e")), F.col("entity").eqNullSafe(F.col("__e")), "left").withColumn("code_now", F.coalesce("code", "code_fill"))
     month = F.trunc("time", "MM")
-    wide = coded.join(of_entity, F.col("entity").eqNullSafe(F.col("__e")), "left").join(of_cell, F.col("code_now").eqNullSafe(F.col("__c")) & month.eqNullSafe(F.col("__m")), "left")
+    # one row a code and month: codes are a vocabulary, months a calendar
+    of_cell = coded.groupBy(F.col("code_now").alias("__c"), month.alias("__m")).agg(*sums("c"))
+    wide = coded.join(of_cell, F.col("code_now").eqNullSafe(F.col("__c")) & month.eqNullSafe(F.col("__m")), "left")
 
     def without_self(tag: str, f: str) -> Column:
         here = F.col(f"v_{f}").isNotNull().cast("int")
