@@ -13,6 +13,8 @@ from panelforge.session import cut_lineage
 
 #: A category has at most this many codes: they are a vocabulary, and its fitted table travels to every task.
 CODE_LIMIT = 1_000
+#: Codes times months: a vocabulary times a calendar. Beyond it the panel is refused, so what is broadcast has a proven bound.
+CELL_LIMIT = 200_000
 RIDGE = 1e-8
 
 
@@ -134,14 +136,17 @@ def impute_chained(
     sums = lambda tag: [x for f in names for x in (F.sum(f"v_{f}").alias(f"{tag}s_{f}"), F.count(f"v_{f}").alias(f"{tag}n_{f}"))]
     coded = base.join(_entities(base, names, sums("e")), F.col("entity").eqNullSafe(F.col("__e")), "left").withColumn("code_now", F.coalesce("code", "code_fill"))
     month = F.trunc("time", "MM")
-    # one row a code and month: codes are a vocabulary, months a calendar
-    of_cell = coded.groupBy(F.col("code_now").alias("__c"), month.alias("__m")).agg(*sums("c"))
-    wide = coded.join(of_cell, F.col("code_now").eqNullSafe(F.col("__c")) & month.eqNullSafe(F.col("__m")), "left")
+    cells = base.where("code IS NOT NULL").groupBy(F.col("code").alias("__c"), month.alias("__m")).agg(*sums("c")).limit(CELL_LIMIT + 1)
+    rows = cells.collect()
+    if len(rows) > CELL_LIMIT:
+        raise ValueError("the panel has more codes and months than CELL_LIMIT")
+    of_cell = F.broadcast(df.sparkSession.createDataFrame(rows, cells.schema))
+    wide = coded.join(of_cell, (F.col("code_now") == F.col("__c")) & month.eqNullSafe(F.col("__m")), "left")
 
     def without_self(tag: str, f: str) -> Column:
-        here = F.col(f"v_{f}").isNotNull().cast("int")
-        n = F.coalesce(F.col(f"{tag}n_{f}"), F.lit(0)) - here
-        return F.when(n > 0, (F.col(f"{tag}s_{f}") - F.coalesce(F.col(f"v_{f}"), F.lit(0.0))) / n)
+        counted = F.col(f"v_{f}").isNotNull() & (F.lit(True) if tag == "e" else F.col("code").isNotNull())
+        n = F.coalesce(F.col(f"{tag}n_{f}"), F.lit(0)) - counted.cast("int")
+        return F.when(n > 0, (F.col(f"{tag}s_{f}") - F.when(counted, F.col(f"v_{f}")).otherwise(0.0)) / n)
 
     cell = {f: F.coalesce(without_self("c", f), F.lit(mean(f"v_{f}"))) for f in names}
     start = wide.select(
