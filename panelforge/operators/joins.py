@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from panelforge.session import cut_lineage
+
 #: Rows up to which a side may be broadcast, checked before it is.
 BROADCAST_ROWS = 100_000
 
@@ -15,6 +17,12 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if len(df.select(F.lit(1)).take(limit + 1)) <= limit else df
 
 
+def settled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A small result written to the checkpoint folder once; broadcast where its counted rows are at most ``limit``, else an ordinary side."""
+    kept = cut_lineage(df)
+    return F.broadcast(kept) if kept.count() <= limit else kept
+
+
 def month_end_join(left: DataFrame, right: DataFrame, left_day: str, right_day: str, columns: list[str]) -> DataFrame:
     """Left join of days to monthly figures on the calendar month end."""
     r = right.select(F.last_day(right_day).alias("__me"), *columns)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import Window
 
 from panelforge.functions.scalar import finite
+from panelforge.operators.joins import settled
 
 #: Affine edges (from, to, a, b): value_to = a * value_from + b.
 RETURN_UNITS: tuple[tuple[str, str, float, float], ...] = (
@@ -143,14 +144,14 @@ def infer_units(rows: DataFrame, group: list[str], src: str, block: list[Column]
         return F.greatest(F.lit(0), F.least(F.lit(4), 2 * F.round((_lg(i) - F.col(f"lf_{i}")) / 2).cast("int")))
 
     place = ["s", *[f"b{i}" for i in range(len(block))]]
-    figures = _consensus(sized, len(names), len(keys), [F.lit(0.0)] * 3)
+    figures = settled(_consensus(sized, len(names), len(keys), [F.lit(0.0)] * 3))
     for _ in range(rounds - 1):
         seen = [F.sum(sum((F.coalesce((step(i) == k).cast("int"), F.lit(0)) for i in range(len(names))), F.lit(0))).cast("double").alias(f"c{k}") for k, _ in UNIT_STEPS]
         habit = wide.join(figures, keys).groupBy(*place).agg(*seen)
         total = sum((F.col(f"c{k}") for k, _ in UNIT_STEPS), F.lit(1.5))
-        usual = habit.select(*place, *[F.ln((F.col(f"c{k}") + 0.5) / total).alias(f"u{k}") for k, _ in UNIT_STEPS])
+        usual = settled(habit.select(*place, *[F.ln((F.col(f"c{k}") + 0.5) / total).alias(f"u{k}") for k, _ in UNIT_STEPS]))
         told = wide.join(usual, place)
-        figures = _consensus(told, len(names), len(keys), [F.col(f"u{k}") for k, _ in UNIT_STEPS], figures)
+        figures = settled(_consensus(told, len(names), len(keys), [F.col(f"u{k}") for k, _ in UNIT_STEPS], figures))
     wanted = [(i, f) for i, f in enumerate(names) if report is None or f in report]
     placed = wide.join(figures, keys)
     found = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"v_{i}").cast("double").alias("v"), step(i).alias("step")) for i, f in wanted])
