@@ -16,4 +16,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**relational.oracle_sql(), **evaluation.oracle_sql(), **prepare.oracle_sql()}
+    return {**relational.oracle_sql(), **evaluation.oracle_sql(), **modeling.oracle_sql(), **prepare.oracle_sql()}
