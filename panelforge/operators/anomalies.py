@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from panelforge.functions.scalar import finite
+from panelforge.session import ship_package
 
 NORMAL, SPIKE, STUCK, OUT = range(4)
 STATES = ("normal", "spike", "stuck", "out_of_range")
@@ -161,6 +162,7 @@ def flag_readings(readings: DataFrame, floor: float = -1.0) -> DataFrame:
     flagged; without a series or source only the bound ``floor`` judges; a null period takes no part in runs; repeats are flagged
     alike; an empty table gives no rows.
     """
+    ship_package(readings.sparkSession)
     rows = readings.withColumn("v", finite(F.col("v"))).where(F.col("v").isNotNull()).withColumn("period", F.coalesce(F.col("period"), F.lit(2**31 - 1)))
     judged = rows.where(F.col("series").isNotNull() & F.col("source").isNotNull())
     points = judged.groupBy("tbl", "series", "period", "v").agg(F.max("source").alias("source"), F.max("min_run").alias("min_run"))

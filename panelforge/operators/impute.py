@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelforge.functions.scalar import finite, gaussian_from_hash, is_finite
-from panelforge.session import cut_lineage
+from panelforge.session import cut_lineage, ship_package
 
 #: A category has at most this many codes: they are a vocabulary, and its fitted table travels to every task.
 CODE_LIMIT = 1_000
@@ -120,6 +120,7 @@ def impute_chained(
     out once. Cases: a field without any measured value stays null and unmarked, as does the category without any code; rows
     repeated in the input come out as often; an empty table gives no rows; other columns are never looked at.
     """
+    ship_package(df.sparkSession)
     names = list(fields)
     preds = [f"p_{p}" for p in predictors]
     code = F.trim(F.col(category))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelforge.functions.scalar import safe_div
 from panelforge.operators.windows import with_drawdown
+from panelforge.session import ship_package
 
 
 def oos_r2(actual: Column, prediction: Column) -> Column:
@@ -41,6 +42,7 @@ def factor_alpha(df: DataFrame, ret: str, factors: list[str], keys: list[str]) -
 
     Only the cross products of each key leave the executors' rows; the small systems are solved in place by an Arrow function.
     """
+    ship_package(df.sparkSession)
     cols = [F.lit(1.0), *[F.col(f).cast("double") for f in factors], F.col(ret).cast("double")]
     ok = F.lit(True)
     for c in (*factors, ret):
