@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelforge.session import cut_lineage
+from panelforge.session import cut_lineage, ship_package
 
 #: Most labelled texts the line model is fitted on; more are cut to those of the smallest hash.
 MAX_SAMPLES = 5_000
@@ -27,6 +27,8 @@ FENCE_BONUS = 6.0
 #: Nats a line must say against its document's agreed label before it is left out of the fit.
 LABEL_HOLD = 5.0
 SMOOTH = 1.0
+#: Tokens whose weights are gathered at once, and tokens that a worker remembers.
+BLOCK_TOKENS, CACHED_TOKENS = 250_000, 300_000
 
 _TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]{1,2}|\d+|_")
 _COMMENT = re.compile(r'\s*(?://|/\*|\*(?:\s|/|$)|#\s|--\s|<!--|"""[^"]*"""\s*$)')
@@ -140,7 +142,7 @@ class _Index(dict):
     def __missing__(self, token: str) -> int:
         s = script_of(token)
         i = self.get(s, 0) if s else 0
-        if len(self) < 1_000_000:
+        if len(self) < CACHED_TOKENS:
             self[token] = i
         return i
 
@@ -168,9 +170,10 @@ def _summed(at: np.ndarray, ends: np.ndarray, comment: np.ndarray, long: np.ndar
     sums = np.zeros((len(ends), len(model.langs)), np.float32)
     starts = np.r_[0, ends[:-1]] if len(ends) else ends
     rows = np.flatnonzero(ends > starts)
+    stops = ends[rows]
     lo = 0
-    while lo < len(rows):  # in blocks of about two million tokens
-        hi = max(lo + 1, int(np.searchsorted(ends[rows], starts[rows[lo]] + 2_000_000, side="right")))
+    while lo < len(rows):  # in blocks, so that the gathered weights stay small
+        hi = max(lo + 1, int(np.searchsorted(stops, starts[rows[lo]] + BLOCK_TOKENS, side="right")))
         block = rows[lo:hi]
         a, b = starts[block[0]], ends[block[-1]]
         sums[block] = np.add.reduceat(model.weights[at[a:b]], starts[block] - a, axis=0)
@@ -387,6 +390,7 @@ def identify(docs: DataFrame, model: LineModel, key: str, text: str, label: str,
     columns are never looked at. Whole texts are read, whatever their length.
     """
     spark = docs.sparkSession
+    ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
     langs = F.array(*[F.lit(c) for c in model.langs])
     k = len(model.langs)

@@ -18,6 +18,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from panelforge.session import ship_package
+
 #: Folder of the public vocabulary files; a parameter wherever it is used.
 TOKENIZER_DIR = "/opt/tokenizers"
 #: White space as the vocabulary's splitter sees it (the Unicode property; control characters 1c-1f are not in it).
@@ -92,7 +94,7 @@ class Vocabulary:
                     break
             if not ok:
                 break
-        if len(self.follows) > 2_000_000:
+        if len(self.follows) > CACHE_PIECES:
             self.follows.clear()
         self.follows[a, b] = ok
         return ok
@@ -217,6 +219,7 @@ def encode_corpus(docs: DataFrame, key: str, text: str, tokenizer: str = "byte_b
     stay in their partitions, so there is no shuffle and no skew; the vocabulary (a fixed file of under 2 MB) is sent to the workers
     once. Repeated rows and null keys come out as they went in; an empty table gives no rows; other columns are never looked at.
     """
+    ship_package(docs.sparkSession)
     raw = docs.sparkSession.sparkContext.broadcast(vocabulary_file(tokenizer, folder))
     key_type = docs.schema[key].dataType.simpleString()
 
