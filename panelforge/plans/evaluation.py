@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from panelforge.functions.scalar import argmax_array, finite, logsumexp, safe_div, softmax_ref
 from panelforge.operators import metrics, sampling, windows
 from panelforge.plans import panel
-from panelforge.plans.relational import BASE, FACD, IDXM, _base, daily_factors, monthly_index, r, table
+from panelforge.plans.relational import BASE, FACD, IDXM, _base, all_daily_factors, compounded, daily_factors, monthly_index, r, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -88,13 +90,13 @@ FACM = f"{FACD}, fac AS (SELECT last_day(date) mon, product(1 + mkt) - 1 mkt, pr
 FF5 = ["mkt", "smb", "hml", "rmw", "cma"]
 
 
-def monthly_factors(spark, d) -> DataFrame:
-    return daily_factors(spark, d).groupBy(F.last_day("date").alias("month")).agg(*[(F.product(1 + F.col(c)) - 1).alias(c) for c in FF5])
+def monthly_factors(spark, d, factors=daily_factors) -> DataFrame:
+    return compounded(factors(spark, d), FF5).na.drop()
 
 
 @query(f"WITH {LS}, {FACM} SELECT model, round(CASE WHEN count(*) >= 4 THEN 12 * regr_intercept(ll - sl, mkt) END, 5) alpha FROM ls JOIN fac USING (mon) GROUP BY 1")
-def capm_alpha(spark, d):
-    j = portfolios(spark, d).join(F.broadcast(monthly_factors(spark, d)), "month")
+def capm_alpha(spark, d, factors=daily_factors):
+    j = portfolios(spark, d).join(F.broadcast(monthly_factors(spark, d, factors)), "month")
     return j.groupBy("model").agg(r(metrics.capm_alpha(F.col("long_short"), F.col("mkt")), 5).alias("alpha"))
 
 
@@ -114,8 +116,8 @@ SELECT model, round(CASE WHEN count(*) >= 8 THEN 12 * sum(u * y) / sum(u * u) EN
 
 
 @query(FF5_SQL)
-def ff5_alpha(spark, d):
-    j = portfolios(spark, d).join(F.broadcast(monthly_factors(spark, d)), "month")
+def ff5_alpha(spark, d, factors=daily_factors):
+    j = portfolios(spark, d).join(F.broadcast(monthly_factors(spark, d, factors)), "month")
     return metrics.factor_alpha(j, "long_short", FF5, ["model"]).select("model", r("alpha", 5).alias("alpha"))
 
 
@@ -135,18 +137,23 @@ dd AS (SELECT model, state, min(q) md FROM (SELECT model, state, w / nullif(max(
 mm AS (SELECT model, state, count(*) n, 12 * avg(x) am, sqrt(12) * stddev_samp(x) av, sqrt(12) * avg(x) / nullif(stddev_samp(x), 0) sh FROM al GROUP BY 1, 2),
 aa AS (SELECT model, state, CASE WHEN count(*) >= 4 THEN 12 * regr_intercept(x, mkt) END ca FROM al JOIN fac USING (mon) GROUP BY 1, 2)
 SELECT mm.model, mm.state::INTEGER state, n::BIGINT AS months, round(am, 5) ann_return, round(av, 5) ann_vol, round(sh, 5) sharpe, round(ca, 5) capm, round(md, 5) max_dd FROM mm JOIN dd ON dd.model = mm.model AND dd.state = mm.state LEFT JOIN aa ON aa.model = mm.model AND aa.state = mm.state""")
-def table2(spark, d):
+def table2(spark, d, factors=daily_factors):
     p = portfolios(spark, d).select("model", "month", "long_short")
     s = regimes(spark, d)
     both = p.withColumn("state", F.lit(-1)).unionByName(p.join(F.broadcast(s), "month"))
     x = F.col("long_short")
     keys = ["model", "state"]
     main = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("months"), r(metrics.annual_mean(x), 5).alias("ann_return"), r(metrics.annual_vol(x), 5).alias("ann_vol"), r(metrics.sharpe(x), 5).alias("sharpe"))
-    alpha = both.join(F.broadcast(monthly_factors(spark, d)), "month").groupBy(*keys).agg(r(metrics.capm_alpha(x, F.col("mkt")), 5).alias("capm"))
+    alpha = both.join(F.broadcast(monthly_factors(spark, d, factors)), "month").groupBy(*keys).agg(r(metrics.capm_alpha(x, F.col("mkt")), 5).alias("capm"))
     fall = metrics.max_drawdown(both, keys, "month", "long_short").select(*keys, r("max_drawdown", 5).alias("max_dd"))
     return main.join(alpha, keys, "left").join(fall, keys)
 
 
+#: The same queries over every source and day of the factors.
+for _f in (capm_alpha, ff5_alpha, table2):
+    QUERIES[f"{_f.__name__}_whole"] = partial(_f, factors=all_daily_factors)
+
+
 STRESS = [("dotcom", "2000-03-01", "2002-10-31"), ("credit", "2007-12-01", "2009-06-30"), ("pandemic", "2020-02-01", "2020-04-30")]
 
 

@@ -150,15 +150,33 @@ SELECT rec_id, PERMNO, MthCalDt, datadate known_datadate, fdate known_fdate, rou
 FACTOR_SIZE = {"mkt_rf": (0.04, 0.009), "smb": (0.03, 0.005), "hml": (0.03, 0.005), "rmw": (0.02, 0.004), "cma": (0.02, 0.004), "mom": (0.04, 0.007), "rf": (0.003, 0.00015)}
 
 
-def factor_units(spark: SparkSession, sf_dir: str, report: list[str] | None = None) -> DataFrame:
-    """Every figure of both factor tables with its unit and as a fraction: tbl, row_id, field, v, unit, as_fraction."""
-    monthly, daily = (table(spark, sf_dir, t).select(F.lit(t).alias("tbl"), F.lit(k).alias("kind"), "row_id", "date", "src", *FACTOR_SIZE) for k, t in enumerate(FACTOR_TABLES))
+def factor_units(spark: SparkSession, sf_dir: str, report: list[str] | None = None, only: str | None = None, keep: tuple[str, ...] = ("tbl", "row_id")) -> DataFrame:
+    """Every figure of both factor tables with its unit and as a fraction: tbl, row_id, field, v, unit, as_fraction.
+
+    ``only``: one of the tables; neither says anything of the other's units. ``keep``: columns to carry along.
+    """
+    monthly, daily = (table(spark, sf_dir, t).select(F.lit(t).alias("tbl"), F.lit(k).alias("kind"), "row_id", "date", "src", "loaded_at", *FACTOR_SIZE) for k, t in enumerate(FACTOR_TABLES))
     sizes = {f: F.when(F.col("kind") == 0, size[0]).otherwise(size[1]) for f, size in FACTOR_SIZE.items()}
     stretch = F.when(F.col("kind") == 0, F.trunc("date", "YEAR")).otherwise(F.trunc("date", "MM"))
-    units = infer_units(monthly.unionByName(daily), ["kind", "date"], "src", [F.col("kind"), stretch], sizes, ["tbl", "row_id"], report)
+    rows = monthly.unionByName(daily) if only is None else (monthly, daily)[FACTOR_TABLES.index(only)]
+    units = infer_units(rows, ["kind", "date"], "src", [F.col("kind"), stretch], sizes, list(keep), report)
     return convert(units, "v", "unit", "fraction", "as_fraction")
 
 
+def factor_series(spark: SparkSession, sf_dir: str, tbl: str, fields: list[str]) -> DataFrame:
+    """Each date of a factor table with every field as a decimal fraction: the median of what its sources delivered last.
+
+    A zero is zero in any unit. A date on which no source has a figure of a field keeps its row, with null.
+    """
+    known = factor_units(spark, sf_dir, fields, tbl, ("row_id", "date", "src", "loaded_at")).select("date", "src", "loaded_at", "row_id", "field", F.col("as_fraction").alias("x"))
+    t = table(spark, sf_dir, tbl).where("date IS NOT NULL")
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("x")) for f in fields])
+    zeros = t.select("date", "src", "loaded_at", "row_id", F.explode(each).alias("f")).select("date", "src", "loaded_at", "row_id", "f.*").where("x = 0")
+    last = known.unionByName(zeros).where("x IS NOT NULL").groupBy("date", "src", "field").agg(F.max_by("x", F.struct("loaded_at", "row_id")).alias("x"))
+    by_date = last.groupBy("date").agg(*[F.median(F.when(F.col("field") == f, F.col("x"))).alias(f) for f in fields])
+    return t.select("date").distinct().join(by_date, "date", "left")
+
+
 FACTOR_TABLES = ("ff_factors", "ff_factors_daily")
 P6_CASES = (("ff_factors", "mkt_rf"), ("ff_factors", "rf"), ("ff_factors_daily", "smb"))
 

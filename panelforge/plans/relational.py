@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from panelforge.functions.scalar import finite, is_finite, month_ordinal, null_tokens, parse_day
 from panelforge.operators import intervals, joins, sampling, windows
-from panelforge.plans import panel
+from panelforge.plans import panel, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -157,10 +158,20 @@ def daily_factors(spark, d):
     return windows.last_row(t, ["date"], F.col("row_id")).select("date", F.col("mkt_rf").cast("double").alias("mkt"), *[F.col(c).cast("double").alias(c) for c in ("smb", "hml", "rmw", "cma", "rf")])
 
 
+def all_daily_factors(spark, d):
+    """As ``daily_factors`` from all sources and units, each figure by itself: every day of the table, null only where no source has the figure."""
+    return prepare.factor_series(spark, d, "ff_factors_daily", ["mkt_rf", "smb", "hml", "rmw", "cma", "rf"]).withColumnRenamed("mkt_rf", "mkt")
+
+
+def compounded(daily: DataFrame, columns: list[str]) -> DataFrame:
+    """Months of daily returns; a null day makes its month null."""
+    return daily.groupBy(F.last_day("date").alias("month")).agg(*[F.when(F.count(c) == F.count(F.lit(1)), F.product(1 + F.col(c)) - 1).alias(c) for c in columns])
+
+
 @query(f"WITH {FACD} SELECT c.date, count(*)::BIGINT n, round(avg(c.RET::DOUBLE - f.rf), 6) mean_excess, round(max(f.mkt), 6) mkt FROM crsp_daily c JOIN facd f ON c.date = f.date WHERE isfinite(c.RET) AND c.RET > -1 AND c.RET < 1 GROUP BY 1")
-def inner_join_factors(spark, d):
+def inner_join_factors(spark, d, factors=daily_factors):
     c = table(spark, d, "crsp_daily").select("date", finite(F.col("RET")).alias("ret")).where("ret > -1 AND ret < 1")
-    j = c.join(joins.small(daily_factors(spark, d)), "date")
+    j = c.join(joins.small(factors(spark, d)), "date")
     return j.groupBy("date").agg(F.count(F.lit(1)).alias("n"), r(F.avg(F.col("ret") - F.col("rf"))).alias("mean_excess"), r(F.max("mkt")).alias("mkt"))
 
 
@@ -268,10 +279,10 @@ def idio_vol_60(spark, d):
 @query(f"""WITH {FACD}, {DAILY}, jd AS (SELECT PERMNO, dly.date, ret - rf y, mkt x FROM dly JOIN facd ON facd.date = dly.date),
 rv AS (SELECT PERMNO, date, count(*) OVER w n, regr_sxx(y, x) OVER w sxx, regr_syy(y, x) OVER w syy, regr_sxy(y, x) OVER w sxy, lead(date) OVER (PARTITION BY PERMNO ORDER BY date) nx FROM jd WINDOW w AS (PARTITION BY PERMNO ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))
 SELECT PERMNO, last_day(date) AS month, round(sqrt(greatest(CASE WHEN sxx > 0 THEN syy - sxy * sxy / sxx ELSE syy END, 0) / (n - 2)) * sqrt(21), 5) idio_vol FROM rv WHERE n >= 30 AND (nx IS NULL OR last_day(nx) <> last_day(date))""")
-def idio_vol_excess(spark, d):
+def idio_vol_excess(spark, d, factors=daily_factors):
     """Excess returns on the market factor, as the published characteristic has it."""
-    factors = daily_factors(spark, d).select("date", "mkt", "rf")
-    v = panel.idio_vol(panel.daily_returns(table(spark, d, "crsp_daily")), factors)
+    market = factors(spark, d).select("date", "mkt", "rf").na.drop()
+    v = panel.idio_vol(panel.daily_returns(table(spark, d, "crsp_daily")), market)
     return v.select("PERMNO", "month", r("idio_vol", 5).alias("idio_vol"))
 
 
@@ -291,8 +302,8 @@ MACRO_ORDERS = "mo AS (SELECT last_day(o_orderdate::DATE) mon, avg((o_orderprior
 @query(f"""WITH {FACD}, fm AS (SELECT last_day(date) mon, product(1 + mkt) - 1 mkt, product(1 + rf) - 1 rf FROM facd GROUP BY 1),
 sp AS (SELECT last_day(unnest(generate_series((SELECT date_trunc('month', min(mon)) FROM fm), (SELECT date_trunc('month', max(mon)) FROM fm), INTERVAL 1 MONTH))::DATE) mon)
 SELECT sp.mon AS month, round(coalesce(mkt, 0), 6) mkt, round(coalesce(rf, 0), 6) rf FROM sp LEFT JOIN fm USING (mon)""")
-def compounded_monthly_factor(spark, d):
-    return windows.compound_months(daily_factors(spark, d), "date", ["mkt", "rf"]).select("month", r("mkt").alias("mkt"), r("rf").alias("rf"))
+def compounded_monthly_factor(spark, d, factors=daily_factors):
+    return windows.compound_months(factors(spark, d), "date", ["mkt", "rf"]).select("month", r("mkt").alias("mkt"), r("rf").alias("rf"))
 
 
 @query("""WITH v AS (SELECT caldt d, max(vwretd::DOUBLE) FILTER (WHERE isfinite(vwretd)) a, max(totcnt) b FROM sp500_index GROUP BY 1),
@@ -369,18 +380,18 @@ DL = """dl AS (SELECT PERMNO, mon, CASE WHEN r IS NOT NULL THEN r WHEN c >= 400
   row_number() OVER (PARTITION BY PERMNO, last_day(DLSTDT) ORDER BY NOT coalesce(isfinite(DLRET), false), loaded_at DESC, rec_id DESC) n FROM delisting WHERE PERMNO IS NOT NULL AND DLSTDT IS NOT NULL) WHERE n = 1)"""
 
 
-def rf_months(spark, d):
-    return daily_factors(spark, d).groupBy(F.last_day("date").alias("month")).agg((F.product(1 + F.col("rf")) - 1).alias("rf"))
+def rf_months(spark, d, factors=daily_factors):
+    return compounded(factors(spark, d), ["rf"])
 
 
 @query(f"WITH {BASE}, {RFM} SELECT PERMNO, b.mon AS month, round(ret - rf, 6) ex_ret FROM base b LEFT JOIN rfm USING (mon)")
-def excess_return(spark, d):
-    return panel.with_excess(_base(spark, d), rf_months(spark, d)).select("PERMNO", "month", r("ex_ret").alias("ex_ret"))
+def excess_return(spark, d, factors=daily_factors):
+    return panel.with_excess(_base(spark, d), rf_months(spark, d, factors)).select("PERMNO", "month", r("ex_ret").alias("ex_ret"))
 
 
 @query(f"WITH {BASE}, {RFM}, {DL} SELECT b.PERMNO, b.mon AS month, round(CASE WHEN dl IS NOT NULL THEN (1 + coalesce(ret - rf, 0)) * (1 + dl) - 1 ELSE ret - rf END, 6) ex_ret FROM base b LEFT JOIN rfm USING (mon) LEFT JOIN dl ON dl.PERMNO = b.PERMNO AND dl.mon = b.mon")
-def delisting_compose(spark, d):
-    p = panel.with_excess(_base(spark, d), rf_months(spark, d))
+def delisting_compose(spark, d, factors=daily_factors):
+    p = panel.with_excess(_base(spark, d), rf_months(spark, d, factors))
     return panel.with_delisting(p, panel.delisting_returns(table(spark, d, "delisting"))).select("PERMNO", "month", r("ex_ret").alias("ex_ret"))
 
 
@@ -429,14 +440,19 @@ FROM rk WHERE isfinite(ex) GROUP BY 1 HAVING count(*) >= 5"""
 
 
 @query(PANEL_SQL)
-def model_panel(spark, d):
+def model_panel(spark, d, factors=daily_factors):
     """The model's ragged panel: universe, excess returns, delisting, ranks, finite returns, arrays of each month of 5 rows or more; shown by its sums."""
-    p = panel.model_panel(_chars(spark, d), table(spark, d, "sp500_constituents"), rf_months(spark, d), panel.delisting_returns(table(spark, d, "delisting")), least=5)
+    p = panel.model_panel(_chars(spark, d), table(spark, d, "sp500_constituents"), rf_months(spark, d, factors), panel.delisting_returns(table(spark, d, "delisting")), least=5)
     total = F.aggregate("returns", F.lit(0.0), lambda a, x: a + x)
     by_rank = F.aggregate(F.zip_with("returns", F.transform("x", lambda v: v[panel.FEATURES.index("bm")]), lambda y, v: y * v), F.lit(0.0), lambda a, x: a + x)
     return p.select("month", F.size("entities").cast("long").alias("n"), F.array_join(F.transform("entities", lambda x: x.cast("string")), ",").alias("entities"), r(total).alias("total_return"), r(by_rank).alias("bm_return"))
 
 
+#: The same queries over every source and day; the SQL of those above states one source's complete days.
+for _f in (inner_join_factors, idio_vol_excess, compounded_monthly_factor, excess_return, delisting_compose, model_panel):
+    QUERIES[f"{_f.__name__}_whole"] = partial(_f, factors=all_daily_factors)
+
+
 # --- order, set and shape ----------------------------------------------------------------------------------------------------
 
 
