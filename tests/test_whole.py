@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from panelforge.plans import prepare, relational
+import numpy as np
+
+from panelforge.models import em, gp, hmm, rolling
+from panelforge.plans import modeling, prepare, relational
 
 FIELDS = ("mkt_rf", "smb", "hml", "rmw", "cma", "mom", "rf")
 
@@ -57,3 +60,30 @@ def test_a_day_without_a_figure_makes_its_month_null(spark, tmp_path):
     got = {r["month"].month: r["rf"] for r in relational.rf_months(spark, str(tmp_path), relational.all_daily_factors).collect()}
     assert got[1] is None and got[2] > 0
     assert prepare.factor_series(spark, str(tmp_path), "ff_factors_daily", ["rf"]).count() == 40
+
+
+def test_the_last_likelihood_is_of_whole_months(spark):
+    rng, n, t = np.random.default_rng(4), 30, 8
+    days = [dt.date(2020, i + 1, 28) for i in range(t)]
+    x, y = rng.normal(size=(t, n, 2)), rng.normal(0, 0.1, (t, n))
+    rows = spark.createDataFrame([(days[i], e, float(y[i, e]), *map(float, x[i, e])) for i in range(t) for e in range(n)], "month date, e long, y double, a double, b double")
+    z = rng.normal(size=t)
+    zs = spark.createDataFrame([(d, float(v), float(0.1 + 0.1 * (i % 2))) for i, (d, v) in enumerate(zip(days, z))], "month date, z double, vol double")
+    cfg = em.EMConfig(max_iter=2, max_monthly_points=8, max_prediction_points=12, gp_iterations=5)
+    forecasts, regimes = rolling.rolling_forecast(rows, zs.select("month", "z"), zs.select("month", "vol"), "month", "e", "y", ["a", "b"], ["z"], "vol", "2020-06-01", cfg)
+    assert forecasts.count() == 3 * n
+    got = regimes.orderBy("month").collect()
+    assert [r["month"] for r in got] == days[5:]
+    for i, r in enumerate(got, 5):
+        params = [gp.GPParams(np.array(s), a, b) for s, a, b in zip(r["lengthscales"], r["signal_var"], r["noise_var"])]
+        log_p = hmm.log_transitions(np.array(r["transition_w"]).reshape(2, 2, 1), np.array(r["transition_b"]).reshape(2, 2), z[:i, None])
+        log_b, log_pi = em.emissions(x[:i], y[:i], params, "se_ard"), np.log(np.clip(r["pi"], 1e-12, None))
+        assert abs(r["full_log_likelihood"] - hmm.posteriors(log_pi, log_p, log_b)[2]) < 1e-6
+        assert r["viterbi_state"] == hmm.viterbi(log_pi, log_p, log_b)[-1]
+
+
+def test_model_queries_forecast_from_the_published_month_on():
+    assert modeling.OOS_FIRST == "2010-01-01" and not hasattr(modeling, "SMALL")
+    sizes = np.array([1000, 10])
+    few = em.training_rows([np.zeros((50, 1))] * 2, [np.zeros(50)] * 2, np.ones(2), 50, 0, sizes)[1]
+    assert len(few) == 50
