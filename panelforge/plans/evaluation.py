@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 from panelforge.functions.scalar import argmax_array, finite, logsumexp, safe_div, softmax_ref
 from panelforge.operators import metrics, sampling, windows
 from panelforge.plans import panel
-from panelforge.plans.relational import BASE, FACD, IDXM, _base, all_daily_factors, compounded, daily_factors, monthly_index, r, table
+from panelforge.plans.relational import BASE, FACD, IDXM, _base, all_daily_factors, compounded, constituents, daily_factors, members, monthly_index, r, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -310,11 +310,15 @@ def id_overlap(spark, d):
 
 @query(f"""WITH {BASE}, iv AS (SELECT DISTINCT permno, start, ending FROM sp500_constituents), h AS (SELECT DISTINCT b.PERMNO, b.mon FROM base b JOIN iv ON iv.permno = b.PERMNO AND b.MthCalDt BETWEEN iv.start AND iv.ending),
 s AS (SELECT mon, count(*) n FROM h GROUP BY 1) SELECT count(*)::BIGINT AS months, min(mon) first_month, max(mon) last_month, round(avg(n), 4) mean_n, min(n)::BIGINT min_n, max(n)::BIGINT max_n FROM s""")
-def constituent_coverage(spark, d):
-    u = panel.universe(_base(spark, d), table(spark, d, "sp500_constituents")).groupBy("month").agg(F.count(F.lit(1)).alias("n"))
+def constituent_coverage(spark, d, held=constituents):
+    u = panel.universe(_base(spark, d), held(spark, d)).groupBy("month").agg(F.count(F.lit(1)).alias("n"))
     return u.agg(F.count(F.lit(1)).alias("months"), F.min("month").alias("first_month"), F.max("month").alias("last_month"), r(F.avg("n"), 4).alias("mean_n"), F.min("n").alias("min_n"), F.max("n").alias("max_n"))
 
 
+#: With open memberships, which the SQL leaves out.
+QUERIES["constituent_coverage_whole"] = partial(constituent_coverage, held=members)
+
+
 @query("SELECT src, round(avg(mkt_rf::DOUBLE), 6) mean, round(stddev_samp(mkt_rf::DOUBLE), 6) sd, abs(avg(mkt_rf::DOUBLE)) > 0.1 suspicious FROM ff_factors WHERE isfinite(mkt_rf) AND mkt_rf > -99 GROUP BY 1")
 def factor_unit_check(spark, d):
     v = finite(F.col("mkt_rf"))

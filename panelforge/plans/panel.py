@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelforge.functions.scalar import finite, is_finite, safe_div, safe_ln
 from panelforge.operators.asof import asof_slots
-from panelforge.operators.intervals import membership_filter
+from panelforge.operators.intervals import clip_intervals, membership_filter
 from panelforge.operators.windows import entity_window, last_row, momentum_12_1, ragged, rank_transform, with_residual_std
 
 PANEL_START, PANEL_END = "2000-01-01", "2024-12-31"
@@ -108,6 +108,11 @@ def characteristics(ccm: DataFrame, crsp: DataFrame, index: DataFrame) -> DataFr
     return panel.join(vol, ["PERMNO", "month"], "left").select("PERMNO", "MthCalDt", "month", "ret", *FEATURES)
 
 
+def members(constituents: DataFrame) -> DataFrame:
+    """Memberships within the panel's window; an open one lasts to its end."""
+    return clip_intervals(constituents, "permno", "start", "ending", PANEL_START, PANEL_END)
+
+
 def universe(panel: DataFrame, constituents: DataFrame) -> DataFrame:
     return membership_filter(panel, constituents, "PERMNO", "MthCalDt", "permno", "start", "ending")
 

@@ -33,7 +33,7 @@ def build_panel(spark: SparkSession, folder: str, out: str, least: int = 30) ->
         log.log(logging.WARNING if row["n"] and row["n_bad"] > 0.4 * row["n"] else logging.INFO, "%s", row)
     rf = load(spark, folder, "ff_factors").groupBy(F.last_day("date").alias("month")).agg(F.max("rf").alias("rf"))
     dl = panel.delisting_returns(load(spark, folder, "delisting"))
-    rows = panel.with_delisting(panel.with_excess(panel.universe(long, load(spark, folder, "sp500_constituents")), rf), dl)
+    rows = panel.with_delisting(panel.with_excess(panel.universe(long, panel.members(load(spark, folder, "sp500_constituents"))), rf), dl)
     ranked = rank_transform(rows, "month", "PERMNO", list(panel.FEATURES)).where(is_finite(F.col("ex_ret")))
     write_parquet(ranked, f"{out}/ranked.parquet")
     write_parquet(panel.ragged(load(spark, out, "ranked"), "month", "PERMNO", "ex_ret", list(panel.FEATURES), least), f"{out}/panel.parquet")

@@ -324,20 +324,29 @@ def macro_lag_align(spark, d):
     return panel.lagged_macro(o, dates).select("month", r("vix_lag1").alias("vix_lag1"), r("term_spread_lag1").alias("term_spread_lag1"))
 
 
+def constituents(spark, d):
+    return table(spark, d, "sp500_constituents")
+
+
+def members(spark, d):
+    """The constituents with open memberships up to the panel's end."""
+    return panel.members(constituents(spark, d))
+
+
 # --- intervals, membership ---------------------------------------------------------------------------------------------------
 
 
 @query(f"""WITH {BASE}, iv AS (SELECT DISTINCT permno, start, ending FROM sp500_constituents WHERE permno IS NOT NULL AND start IS NOT NULL AND ending IS NOT NULL)
 SELECT PERMNO, MthCalDt, round(ret, 6) ret FROM base b WHERE EXISTS (SELECT 1 FROM iv WHERE iv.permno = b.PERMNO AND b.MthCalDt BETWEEN iv.start AND iv.ending)""")
-def interval_universe_filter(spark, d):
-    return panel.universe(_base(spark, d), table(spark, d, "sp500_constituents")).select("PERMNO", "MthCalDt", r("ret").alias("ret"))
+def interval_universe_filter(spark, d, held=constituents):
+    return panel.universe(_base(spark, d), held(spark, d)).select("PERMNO", "MthCalDt", r("ret").alias("ret"))
 
 
 @query(f"""WITH {BASE}, iv AS (SELECT DISTINCT permno, start, ending FROM sp500_constituents), h AS (SELECT b.PERMNO, b.MthCalDt, iv.start, iv.ending, row_number() OVER (PARTITION BY b.PERMNO, b.MthCalDt ORDER BY start, ending) n
   FROM base b JOIN iv ON iv.permno = b.PERMNO AND b.MthCalDt BETWEEN iv.start AND iv.ending) SELECT PERMNO, MthCalDt, start AS iv_start, ending AS iv_end FROM h WHERE n = 1""")
-def interval_first_hit(spark, d):
+def interval_first_hit(spark, d, held=constituents):
     b = _base(spark, d).select("PERMNO", "MthCalDt")
-    return intervals.first_interval_join(b, table(spark, d, "sp500_constituents").distinct(), "PERMNO", "MthCalDt", "permno", "start", "ending")
+    return intervals.first_interval_join(b, held(spark, d).distinct(), "PERMNO", "MthCalDt", "permno", "start", "ending")
 
 
 @query("""WITH m AS (SELECT DISTINCT PERMNO, date_trunc('month', MthCalDt)::DATE mo FROM ccm_merged WHERE PERMNO IS NOT NULL AND MthCalDt IS NOT NULL),
@@ -440,17 +449,21 @@ FROM rk WHERE isfinite(ex) GROUP BY 1 HAVING count(*) >= 5"""
 
 
 @query(PANEL_SQL)
-def model_panel(spark, d, factors=daily_factors):
+def model_panel(spark, d, factors=daily_factors, held=constituents):
     """The model's ragged panel: universe, excess returns, delisting, ranks, finite returns, arrays of each month of 5 rows or more; shown by its sums."""
-    p = panel.model_panel(_chars(spark, d), table(spark, d, "sp500_constituents"), rf_months(spark, d, factors), panel.delisting_returns(table(spark, d, "delisting")), least=5)
+    p = panel.model_panel(_chars(spark, d), held(spark, d), rf_months(spark, d, factors), panel.delisting_returns(table(spark, d, "delisting")), least=5)
     total = F.aggregate("returns", F.lit(0.0), lambda a, x: a + x)
     by_rank = F.aggregate(F.zip_with("returns", F.transform("x", lambda v: v[panel.FEATURES.index("bm")]), lambda y, v: y * v), F.lit(0.0), lambda a, x: a + x)
     return p.select("month", F.size("entities").cast("long").alias("n"), F.array_join(F.transform("entities", lambda x: x.cast("string")), ",").alias("entities"), r(total).alias("total_return"), r(by_rank).alias("bm_return"))
 
 
 #: The same queries over every source and day; the SQL of those above states one source's complete days.
-for _f in (inner_join_factors, idio_vol_excess, compounded_monthly_factor, excess_return, delisting_compose, model_panel):
+for _f in (inner_join_factors, idio_vol_excess, compounded_monthly_factor, excess_return, delisting_compose):
     QUERIES[f"{_f.__name__}_whole"] = partial(_f, factors=all_daily_factors)
+#: With open memberships, which the SQL leaves out.
+for _f in (interval_universe_filter, interval_first_hit):
+    QUERIES[f"{_f.__name__}_whole"] = partial(_f, held=members)
+QUERIES["model_panel_whole"] = partial(model_panel, factors=all_daily_factors, held=members)
 
 
 # --- order, set and shape ----------------------------------------------------------------------------------------------------

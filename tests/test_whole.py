@@ -7,7 +7,7 @@ import datetime as dt
 import numpy as np
 
 from panelforge.models import em, gp, hmm, rolling
-from panelforge.plans import modeling, prepare, relational
+from panelforge.plans import modeling, panel, prepare, relational
 
 FIELDS = ("mkt_rf", "smb", "hml", "rmw", "cma", "mom", "rf")
 
@@ -87,3 +87,9 @@ def test_model_queries_forecast_from_the_published_month_on():
     sizes = np.array([1000, 10])
     few = em.training_rows([np.zeros((50, 1))] * 2, [np.zeros(50)] * 2, np.ones(2), 50, 0, sizes)[1]
     assert len(few) == 50
+
+
+def test_an_open_membership_lasts_to_the_panel_end(spark):
+    held = spark.createDataFrame([(1, dt.date(1990, 1, 1), None), (2, dt.date(2010, 1, 1), dt.date(2010, 12, 31)), (None, dt.date(2010, 1, 1), None)], "permno int, start date, ending date")
+    rows = spark.createDataFrame([(1, dt.date(2024, 12, 31)), (2, dt.date(2010, 6, 30)), (2, dt.date(2011, 1, 31))], "PERMNO int, MthCalDt date")
+    assert sorted(tuple(r) for r in panel.universe(rows, panel.members(held)).collect()) == [(1, dt.date(2024, 12, 31)), (2, dt.date(2010, 6, 30))]
