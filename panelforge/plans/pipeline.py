@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from panelforge.functions.scalar import is_finite
 from panelforge.models import em, rolling
 from panelforge.operators.windows import finite_profile, rank_transform
-from panelforge.plans import panel, tables
+from panelforge.plans import panel, prepare, tables
 from panelforge.sources.readers import profile_folder
 from panelforge.sources.writers import latex_table, write_csv, write_json, write_parquet
 
@@ -31,7 +31,7 @@ def build_panel(spark: SparkSession, folder: str, out: str, least: int = 30) ->
     long = load(spark, out, "char_panel")
     for row in finite_profile(long, list(panel.FEATURES)).collect():  # one row a feature
         log.log(logging.WARNING if row["n"] and row["n_bad"] > 0.4 * row["n"] else logging.INFO, "%s", row)
-    rf = load(spark, folder, "ff_factors").groupBy(F.last_day("date").alias("month")).agg(F.max("rf").alias("rf"))
+    rf = prepare.monthly_rf(spark, folder)
     dl = panel.delisting_returns(load(spark, folder, "delisting"))
     rows = panel.with_delisting(panel.with_excess(panel.universe(long, panel.members(load(spark, folder, "sp500_constituents"))), rf), dl)
     ranked = rank_transform(rows, "month", "PERMNO", list(panel.FEATURES)).where(is_finite(F.col("ex_ret")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelforge.functions.scalar import day_text, month_ordinal
@@ -155,11 +157,10 @@ def factor_units(spark: SparkSession, sf_dir: str, report: list[str] | None = No
 
     ``only``: one of the tables; neither says anything of the other's units. ``keep``: columns to carry along.
     """
-    monthly, daily = (table(spark, sf_dir, t).select(F.lit(t).alias("tbl"), F.lit(k).alias("kind"), "row_id", "date", "src", "loaded_at", *FACTOR_SIZE) for k, t in enumerate(FACTOR_TABLES))
+    read = [table(spark, sf_dir, t).select(F.lit(t).alias("tbl"), F.lit(k).alias("kind"), "row_id", "date", "src", "loaded_at", *FACTOR_SIZE) for k, t in enumerate(FACTOR_TABLES) if only in (None, t)]
     sizes = {f: F.when(F.col("kind") == 0, size[0]).otherwise(size[1]) for f, size in FACTOR_SIZE.items()}
     stretch = F.when(F.col("kind") == 0, F.trunc("date", "YEAR")).otherwise(F.trunc("date", "MM"))
-    rows = monthly.unionByName(daily) if only is None else (monthly, daily)[FACTOR_TABLES.index(only)]
-    units = infer_units(rows, ["kind", "date"], "src", [F.col("kind"), stretch], sizes, list(keep), report)
+    units = infer_units(reduce(DataFrame.unionByName, read), ["kind", "date"], "src", [F.col("kind"), stretch], sizes, list(keep), report)
     return convert(units, "v", "unit", "fraction", "as_fraction")
 
 
@@ -177,6 +178,11 @@ def factor_series(spark: SparkSession, sf_dir: str, tbl: str, fields: list[str])
     return t.select("date").distinct().join(by_date, "date", "left")
 
 
+def monthly_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The monthly table's risk-free rate as a fraction: month, rf."""
+    return factor_series(spark, sf_dir, "ff_factors", ["rf"]).groupBy(F.last_day("date").alias("month")).agg(F.median("rf").alias("rf"))
+
+
 FACTOR_TABLES = ("ff_factors", "ff_factors_daily")
 P6_CASES = (("ff_factors", "mkt_rf"), ("ff_factors", "rf"), ("ff_factors_daily", "smb"))
 

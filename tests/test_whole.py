@@ -5,9 +5,10 @@ from __future__ import annotations
 import datetime as dt
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from panelforge.models import em, gp, hmm, rolling
-from panelforge.plans import modeling, panel, prepare, relational
+from panelforge.plans import modeling, panel, pipeline, prepare, relational
 
 FIELDS = ("mkt_rf", "smb", "hml", "rmw", "cma", "mom", "rf")
 
@@ -93,3 +94,22 @@ def test_an_open_membership_lasts_to_the_panel_end(spark):
     held = spark.createDataFrame([(1, dt.date(1990, 1, 1), None), (2, dt.date(2010, 1, 1), dt.date(2010, 12, 31)), (None, dt.date(2010, 1, 1), None)], "permno int, start date, ending date")
     rows = spark.createDataFrame([(1, dt.date(2024, 12, 31)), (2, dt.date(2010, 6, 30)), (2, dt.date(2011, 1, 31))], "PERMNO int, MthCalDt date")
     assert sorted(tuple(r) for r in panel.universe(rows, panel.members(held)).collect()) == [(1, dt.date(2024, 12, 31)), (2, dt.date(2010, 6, 30))]
+
+
+def test_the_monthly_rate_is_a_fraction_whatever_the_units(spark, tmp_path):
+    days = [dt.date(2020, i + 1, 28) for i in range(12)]
+    rows = factor_rows(days, ["a", "b", "c"], {"b": 100.0, "c": 10_000.0})
+    for r in rows:
+        r[2:9] = [4 * x for x in r[2:8]] + [20 * r[8]]  # monthly sizes
+    rows[0][8] = -99.99
+    write_factors(spark, tmp_path, "ff_factors", rows)
+    got = [r["rf"] for r in prepare.monthly_rf(spark, str(tmp_path)).orderBy("month").collect()]
+    assert all(abs(x / (0.003 * (1 + (i % 3) / 10)) - 1) < 1e-9 for i, x in enumerate(got)) and len(got) == 12
+
+
+def test_build_takes_the_rate_and_open_members(spark, tmp_path):
+    source = "/root/testdata/sf0.001"
+    pipeline.build_panel(spark, source, str(tmp_path), least=1)
+    rows = spark.read.parquet(f"{tmp_path}/ranked.parquet")
+    size = rows.select(F.median(F.col("ret") - F.col("ex_ret")).alias("m"), F.count_if(F.col("MthCalDt") >= "2024-01-01").alias("n")).first()
+    assert 0 < size["m"] < 0.01 and size["n"] > 0
