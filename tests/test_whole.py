@@ -113,3 +113,14 @@ def test_build_takes_the_rate_and_open_members(spark, tmp_path):
     rows = spark.read.parquet(f"{tmp_path}/ranked.parquet")
     size = rows.select(F.median(F.col("ret") - F.col("ex_ret")).alias("m"), F.count_if(F.col("MthCalDt") >= "2024-01-01").alias("n")).first()
     assert 0 < size["m"] < 0.01 and size["n"] > 0
+
+
+def test_month_likelihood_reads_every_row(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x, y = rng.uniform(-0.5, 0.5, (250, 4)), rng.normal(0, 0.1, 250)
+    rows = spark.createDataFrame([(dt.date(2020, 1, 31), e, float(y[e]), *map(float, x[e])) for e in range(250)], "month date, PERMNO int, target double, " + ", ".join(f"{f} double" for f in modeling.FEATURES))
+    monkeypatch.setattr(modeling, "whole_rows", lambda s, d: rows)
+    got = modeling.gp_month_likelihood(spark, "").first()
+    p = gp.GPParams(np.full(4, 0.5), 0.01, 0.01)
+    assert got["n"] == 250
+    assert abs(got["se_ard"] - gp.log_likelihood(x, y, p)) < 1e-3 and abs(got["matern52_ard"] - gp.log_likelihood(x, y, p, "matern52_ard")) < 1e-3
