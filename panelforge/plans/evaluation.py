@@ -183,10 +183,13 @@ def _dist2(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def _inducing(spark, d) -> tuple[DataFrame, DataFrame]:
-    e = table(spark, d, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("x"))
-    centres = e.groupBy("label").agg(F.array(*[F.avg(F.col("x")[i]) for i in range(8)]).alias("c"))
-    return e.select("vec_id", "x"), F.broadcast(centres)  # one centre a label
+def _inducing(spark, d, n: int | None) -> tuple[DataFrame, DataFrame, float]:
+    """Vectors of their first ``n`` numbers (all for None), the labels' centres, and the squared length scale: 0.25 for 8 numbers, in proportion to them."""
+    t = table(spark, d, "embeddings")
+    n = n or t.agg(F.max(F.size("embedding"))).first()[0] or 0
+    e = t.select("vec_id", "label", F.transform(F.slice("embedding", 1, n), lambda x: x.cast("double")).alias("x"))
+    centres = e.groupBy("label").agg(F.array(*[F.avg(F.get("x", F.lit(i))) for i in range(n)]).alias("c"))
+    return e.select("vec_id", "x"), F.broadcast(centres), 0.25 * n / 8  # one centre a label
 
 
 KERN = """e AS (SELECT vec_id, label, list_transform(embedding[1:8], lambda q: q::DOUBLE) x FROM embeddings), u AS (SELECT vec_id, label, unnest(x) v, generate_subscripts(x, 1) i FROM e), c AS (SELECT label, i, avg(v) m FROM u GROUP BY 1, 2),
@@ -194,18 +197,23 @@ q AS (SELECT u.vec_id, c.label, sum((u.v - c.m) ** 2) / 0.25 d2 FROM u JOIN c US
 
 
 @query(f"WITH {KERN} SELECT vec_id, label, round(1.5 * exp(-0.5 * d2), 6) k FROM q")
-def se_ard_kernel(spark, d):
-    e, c = _inducing(spark, d)
-    return e.join(c).select("vec_id", "label", r(1.5 * F.exp(-0.5 * _dist2(F.col("x"), F.col("c")) / 0.25)).alias("k"))
+def se_ard_kernel(spark, d, n=8):
+    e, c, scale = _inducing(spark, d, n)
+    return e.join(c).select("vec_id", "label", r(1.5 * F.exp(-0.5 * _dist2(F.col("x"), F.col("c")) / scale)).alias("k"))
 
 
 @query(f"WITH {KERN} SELECT vec_id, label, round(1.5 * (1 + sqrt(5 * d2) + 5 * d2 / 3) * exp(-sqrt(5 * d2)), 6) k FROM q")
-def matern52_kernel(spark, d):
-    e, c = _inducing(spark, d)
-    d2 = _dist2(F.col("x"), F.col("c")) / 0.25
+def matern52_kernel(spark, d, n=8):
+    e, c, scale = _inducing(spark, d, n)
+    d2 = _dist2(F.col("x"), F.col("c")) / scale
     return e.join(c).select("vec_id", "label", d2.alias("d2")).select("vec_id", "label", r(1.5 * (1 + F.sqrt(5 * F.col("d2")) + 5 * F.col("d2") / 3) * F.exp(-F.sqrt(5 * F.col("d2")))).alias("k"))
 
 
+#: Over whole vectors; the SQL of those above states their first eight numbers.
+for _f in (se_ard_kernel, matern52_kernel):
+    QUERIES[f"{_f.__name__}_whole"] = partial(_f, n=None)
+
+
 @query(f"WITH {IDXM} SELECT m AS month, round(1 / (1 + exp(greatest(-30, least(30, 0.5 + 20 * r - 5 * sd)))), 6) p0, round(1 - 1 / (1 + exp(greatest(-30, least(30, 0.5 + 20 * r - 5 * sd)))), 6) p1 FROM vol3 WHERE sd IS NOT NULL")
 def softmax_transition(spark, d):
     m = monthly_index(spark, d).where("sd IS NOT NULL")

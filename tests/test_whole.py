@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from panelforge.models import em, gp, hmm, rolling
-from panelforge.plans import modeling, panel, pipeline, prepare, relational
+from panelforge.plans import evaluation, modeling, panel, pipeline, prepare, relational
 
 FIELDS = ("mkt_rf", "smb", "hml", "rmw", "cma", "mom", "rf")
 
@@ -124,3 +124,13 @@ def test_month_likelihood_reads_every_row(spark, monkeypatch):
     p = gp.GPParams(np.full(4, 0.5), 0.01, 0.01)
     assert got["n"] == 250
     assert abs(got["se_ard"] - gp.log_likelihood(x, y, p)) < 1e-3 and abs(got["matern52_ard"] - gp.log_likelihood(x, y, p, "matern52_ard")) < 1e-3
+
+
+def test_kernels_of_whole_vectors(spark, tmp_path):
+    x = np.random.default_rng(9).normal(0, 0.1, (6, 64))
+    spark.createDataFrame([(i, i % 2, [float(v) for v in x[i]]) for i in range(6)], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    u = np.array([[((x[i] - x[k::2].mean(0)) ** 2).sum() / 2.0 for k in (0, 1)] for i in range(6)])
+    want = {"se_ard_kernel_whole": 1.5 * np.exp(-0.5 * u), "matern52_kernel_whole": 1.5 * (1 + np.sqrt(5 * u) + 5 / 3 * u) * np.exp(-np.sqrt(5 * u))}
+    for name, k in want.items():
+        got = evaluation.QUERIES[name](spark, str(tmp_path)).collect()
+        assert len(got) == 12 and all(abs(r["k"] - k[r["vec_id"], r["label"]]) < 2e-6 for r in got)
