@@ -134,3 +134,15 @@ def test_kernels_of_whole_vectors(spark, tmp_path):
     for name, k in want.items():
         got = evaluation.QUERIES[name](spark, str(tmp_path)).collect()
         assert len(got) == 12 and all(abs(r["k"] - k[r["vec_id"], r["label"]]) < 2e-6 for r in got)
+
+
+def test_a_large_return_stays_unless_it_is_flagged(spark, monkeypatch):
+    rows = [(e, dt.date(2020, 1, 31), 1.5 if e == 3 else 9.0 if e == 4 else 0.01 * e, *[0.1 * e] * 4) for e in range(25)]
+    p = spark.createDataFrame(rows, "PERMNO int, month date, ret double, " + ", ".join(f"{f} double" for f in modeling.FEATURES))
+    monkeypatch.setattr(modeling, "_fund", lambda s, d: p)
+    monkeypatch.setattr(modeling.panel, "with_ratios", lambda x: x)
+    monkeypatch.setattr(modeling.panel, "with_momentum", lambda x: x)
+    monkeypatch.setattr(modeling, "rf_months", lambda s, d, f: spark.createDataFrame([(dt.date(2020, 1, 31), 0.0)], "month date, rf double"))
+    bad = p.where("PERMNO = 4").select("PERMNO", "month", "ret")
+    assert {r["PERMNO"] for r in modeling.model_rows(spark, "", bad=bad).collect()} == {*range(25)} - {4}
+    assert {r["PERMNO"] for r in modeling.model_rows(spark, "").collect()} == {*range(25)} - {3, 4}
