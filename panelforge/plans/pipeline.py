@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from panelforge.functions.scalar import is_finite
 from panelforge.models import em, rolling
 from panelforge.operators.windows import finite_profile, rank_transform
-from panelforge.plans import panel, prepare, tables
+from panelforge.plans import evaluation, panel, prepare, relational, tables
 from panelforge.sources.readers import profile_folder
 from panelforge.sources.writers import latex_table, write_csv, write_json, write_parquet
 
@@ -44,10 +44,12 @@ def verify(spark: SparkSession, folder: str, names: tuple[str, ...] = ("ccm_merg
 
 
 def run(spark: SparkSession, folder: str, out: str, first: str, cfg: em.EMConfig, covariates: DataFrame, z_columns: list[str], vol_column: str) -> None:
-    """Rolling forecasts, regimes and the configuration."""
+    """Rolling forecasts of the model and the baselines, regimes, monthly factors and the configuration."""
     rows = load(spark, out, "ranked")
     forecasts, regimes = rolling.rolling_forecast(rows, covariates.select("month", *z_columns), covariates.select("month", vol_column), "month", "PERMNO", "ex_ret", list(panel.FEATURES), z_columns, vol_column, first, cfg)
-    write_parquet(forecasts.withColumn("model", F.lit("Regime GP")), f"{out}/predictions.parquet")
+    baselines = rolling.rolling_baselines(rows, "month", "PERMNO", "ex_ret", list(panel.FEATURES), first)
+    write_parquet(forecasts.withColumn("model", F.lit("Regime GP")).unionByName(baselines, allowMissingColumns=True), f"{out}/predictions.parquet")
+    write_parquet(evaluation.monthly_factors(spark, folder, relational.all_daily_factors), f"{out}/factors.parquet")
     write_parquet(regimes, f"{out}/regimes.parquet")
     write_json(spark, cfg, f"{out}/config.json")
 
@@ -56,7 +58,13 @@ def make_tables(spark: SparkSession, out: str) -> str:
     forecasts, regimes = load(spark, out, "predictions"), load(spark, out, "regimes")
     t = tables.prediction_table(forecasts, regimes)
     write_csv(t, f"{out}/table_1.csv")
-    return latex_table(t)
+    p = tables.portfolio_table(forecasts, regimes, load(spark, out, "factors"), evaluation.FF5)
+    write_csv(p, f"{out}/table_2.csv")
+    write_csv(tables.alpha_bars(p), f"{out}/alpha_bars.csv")
+    write_csv(tables.lengthscale_means(regimes, list(panel.FEATURES)), f"{out}/lengthscales.csv")
+    episodes = spark.createDataFrame(evaluation.STRESS, "name string, lo string, hi string").select("name", F.to_date("lo").alias("lo"), F.to_date("hi").alias("hi"))
+    write_csv(tables.stress_series(regimes, episodes), f"{out}/stress.csv")
+    return latex_table(t) + "\n" + latex_table(p)
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -146,3 +146,22 @@ def test_a_large_return_stays_unless_it_is_flagged(spark, monkeypatch):
     bad = p.where("PERMNO = 4").select("PERMNO", "month", "ret")
     assert {r["PERMNO"] for r in modeling.model_rows(spark, "", bad=bad).collect()} == {*range(25)} - {4}
     assert {r["PERMNO"] for r in modeling.model_rows(spark, "").collect()} == {*range(25)} - {3, 4}
+
+
+def test_tables_of_all_models_and_figures(spark, tmp_path, monkeypatch):
+    rng, out = np.random.default_rng(3), str(tmp_path)
+    months = [dt.date(2020, i + 1, 28) for i in range(12)]
+    one = spark.createDataFrame([(m, e, float(rng.normal()), 1.0, float(rng.normal(0, 0.1))) for m in months for e in range(20)], "month date, entity long, prediction double, prediction_var double, actual double")
+    base = one.select("month", "entity", F.lit("Fama-MacBeth").alias("model"), (-F.col("prediction")).alias("prediction"), "actual")
+    regimes = spark.createDataFrame([(m, i % 2, [0.5, 0.5], [[1.0] * 10] * 2) for i, m in enumerate(months)], "month date, predicted_state int, next_probs array<double>, lengthscales array<array<double>>")
+    monkeypatch.setattr(pipeline.rolling, "rolling_forecast", lambda *a: (one, regimes))
+    monkeypatch.setattr(pipeline.rolling, "rolling_baselines", lambda *a: base)
+    factors = spark.createDataFrame([(m, *map(float, rng.normal(0, 0.03, 5))) for m in months], "month date, " + ", ".join(f"{c} double" for c in evaluation.FF5))
+    monkeypatch.setattr(pipeline.evaluation, "monthly_factors", lambda *a: factors)
+    one.write.parquet(f"{out}/ranked.parquet")
+    z = spark.createDataFrame([(m, 0.1, 0.2) for m in months], "month date, z double, vol double")
+    pipeline.run(spark, out, out, "2020-01-01", em.EMConfig(), z, ["z"], "vol")
+    text = pipeline.make_tables(spark, out)
+    assert "Fama-MacBeth" in text and "Regime GP" in text
+    for name in ("table_1", "table_2", "alpha_bars", "lengthscales", "stress"):
+        assert (tmp_path / f"{name}.csv").exists(), name
