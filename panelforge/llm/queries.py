@@ -17,10 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _survivors(spark: SparkSession, sf_dir: str, fields: tuple[str, ...] = (), multi: str | None = None) -> DataFrame:
+def _survivors(spark: SparkSession, sf_dir: str, judged: tuple[str, ...] = (), multi: str | None = None) -> DataFrame:
     ccm = table(spark, sf_dir, "ccm_merged")
     month = F.date_format("MthCalDt", "yyyy-MM")
-    return survivors(ccm, (F.col("PERMNO"), month), "gvkey", "datadate", "MthCalDt", "ULINKPRIM", LINK_TRUST, "loaded_at", fields, multi)
+    return survivors(ccm, (F.col("PERMNO"), month), "gvkey", "datadate", "MthCalDt", "ULINKPRIM", LINK_TRUST, "loaded_at", multi=multi, judged=judged)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,3 +138,40 @@ def test_stretches_do_not_change_totals(spark, monkeypatch, stretch):
     got = mix_copies(df, "id", "source", "n", targets, total=sum(r[2] or 0 for r in rows if r[1] == "a") / 4)
     n = sum(1 for r in rows if r[1] == "a" and r[2])
     assert abs(got.agg(F.sum("copies")).first()[0] - n / 4) < 1
+
+
+def test_order_of_trust_shows_in_the_posterior():
+    """However the data lie, a claim of an earlier source outweighs all later ones together; without the order they win."""
+    counts = {(1, 7): 50, (6, 7): 50, (1, 3): 20, (2, 3): 20, (7, 7): 400}
+    free, bound = fit_two_sided(counts, 3), fit_two_sided(counts, 3, ordered=True)
+    assert bound.log_odds[1, 7] > bound.log_odds[6, 7] and bound.log_odds[1, 3] > bound.log_odds[2, 3]
+    assert free.log_odds[6, 7] > free.log_odds[1, 7]
+
+
+def test_judged_fields_go_by_quality_and_multi_keeps_every_true_value(spark):
+    """The first source is careless with x, two others agree; both names of a group are told by good sources, a third name by a bad one."""
+    at = lambda i: dt.datetime(2021, 1, 1) + dt.timedelta(minutes=i)
+    rows, rng = [], random.Random(4)
+    for g in range(300):
+        day = dt.date(2000 + g // 12, g % 12 + 1, 5)
+        for link in ("P", "C", "J"):
+            x = float(g) if link != "P" or rng.random() < 0.3 else float(g) + 0.5
+            for name in ("one", "two"):
+                rows.append((len(rows), 1, day, 7, None, link, at(len(rows)), name, x, ""))
+        if g % 10 == 0:
+            rows.append((len(rows), 1, day, 7, None, "N", at(len(rows)), "wrong", float(g), ""))
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = survivors(df, (F.col("k"), F.date_format("d", "yyyy-MM")), "key", "end", "d", "link", TRUST, "at", multi="name", judged=("x",)).collect()
+    assert len(got) == 300
+    for r in got:
+        y, m = map(int, r["g2"].split("-"))
+        assert r["x"] == float((y - 2000) * 12 + m - 1) and r["name_values"] == ["ONE", "TWO"]
+    first = survivors(df, (F.col("k"), F.date_format("d", "yyyy-MM")), "key", "end", "d", "link", TRUST, "at", ("x",)).collect()
+    assert sum(r["x"] % 1 == 0.5 for r in first) > 150
+
+
+def test_a_hot_group_shrinks_to_one_claim_a_source(spark):
+    """A third of all rows in one group: its rows are folded before they are shuffled."""
+    hot = spark.range(30_000).select(F.col("id"), F.lit(1).alias("k"), F.lit("2020-01-05").cast("date").alias("d"), (F.col("id") % 5).cast("int").alias("key"), F.lit("2019-12-31").cast("date").alias("end"), F.lit("C").alias("link"), F.timestamp_micros(F.col("id")).alias("at"), F.lit("a").alias("name"), F.lit(1.0).alias("x"), F.lit("").alias("n_records"))
+    r = run(hot).first()
+    assert (r["n_records"], r["key"], r["key_first"], r["end"]) == (30_000, 29_999 % 5, True, dt.date(2019, 12, 31))
