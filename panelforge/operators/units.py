@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import Window
 
 from panelforge.functions.scalar import finite
 from panelforge.operators.joins import settled
+from panelforge.session import cut_lineage
 
 #: Affine edges (from, to, a, b): value_to = a * value_from + b.
 RETURN_UNITS: tuple[tuple[str, str, float, float], ...] = (
@@ -70,10 +72,13 @@ def convert(df: DataFrame, value: str, unit: str, target: str, out: str, edges:
     return joined.withColumn(out, F.col(value).cast("double") * F.col("__a") + F.col("__b")).drop("__u", "__a", "__b")
 
 
-#: Powers of ten by which a recorded value exceeds the fraction, and their units. Two decades lie between neighbours.
-UNIT_STEPS: tuple[tuple[int, str], ...] = ((0, "fraction"), (2, "percent"), (4, "bp"))
+#: Scales at which a value may be recorded: the power of ten by which it exceeds the fraction, and its node of the graph. Two decades lie between neighbours.
+SCALES: tuple[tuple[int, str], ...] = ((0, "x1"), (2, "x100"), (4, "x10000"))
+#: What a scale is in terms of the units: identity edges, so a value's unit and its fraction both follow from shortest compositions.
+SCALE_EDGES: tuple[tuple[str, str, float, float], ...] = (("x1", "fraction", 1.0, 0.0), ("x100", "percent", 1.0, 0.0), ("x10000", "bp", 1.0, 0.0))
 _BINS = 40  # per decade; neighbours are added, so values within about 9 % support each other
 _SUPPORT = 9.0  # what a value that fits is worth against one that doesn't, in nats
+_TEXT_WEIGHT = 0.5  # what a unit's text says beside the habit of its source, from which it isn't independent
 
 
 def _size_prior(lg: Column, typical: Column) -> Column:
@@ -104,7 +109,7 @@ def _consensus(wide: DataFrame, n_fields: int, n_keys: int, weights: list[Column
     if typical is not None:
         known = F.coalesce(*[F.when(F.col("f") == i, F.col(f"t_{i}")) for i in range(n_fields)])
         bins = bins.drop("typical").join(typical.select(*keys, *[f"t_{i}" for i in range(n_fields)]), keys).withColumn("typical", known)
-    tripled = F.array(*[F.struct((F.col("own") - _BINS * step).alias("bin"), (F.col(f"w{k}") + _SUPPORT * F.col("n")).alias("w"), (F.col("ls") - step * F.col("n")).alias("ls")) for k, (step, _) in enumerate(UNIT_STEPS)])
+    tripled = F.array(*[F.struct((F.col("own") - _BINS * step).alias("bin"), (F.col(f"w{k}") + _SUPPORT * F.col("n")).alias("w"), (F.col("ls") - step * F.col("n")).alias("ls")) for k, (step, _) in enumerate(SCALES)])
     cands = bins.select(*keys, "f", "typical", "n", F.explode(tripled).alias("c")).groupBy(*keys, "f", "typical", "c.bin").agg(F.sum("c.w").alias("w"), F.sum("c.ls").alias("ls"), F.sum("n").alias("n"))
     near = Window.partitionBy(*keys, "f").orderBy("bin").rangeBetween(-1, 1)
     smooth = cands.select(*keys, "f", "typical", F.sum("w").over(near).alias("ws"), (F.sum("ls").over(near) / F.sum("n").over(near)).alias("lf"))
@@ -114,50 +119,89 @@ def _consensus(wide: DataFrame, n_fields: int, n_keys: int, weights: list[Column
     return best.groupBy(*keys).agg(*[of(i, "lf").alias(f"lf_{i}") for i in range(n_fields)], *[of(i, "typical").alias(f"t_{i}") for i in range(n_fields)])
 
 
-def infer_units(rows: DataFrame, group: list[str], src: str, block: list[Column], fields: dict[str, Column], keep: list[str], report: list[str] | None = None, rounds: int = 2) -> DataFrame:
-    """The unit in which each value was recorded, from the values alone.
+def _shares(counts: DataFrame, by: list[str], tag: str, base: list[float] | None = None) -> DataFrame:
+    """Log shares of the scales among the values of each ``by``; relative to ``base`` and weighted down for texts."""
+    c = counts.groupBy(*by).agg(*[F.sum(f"c{k}").alias(f"c{k}") for k, _ in SCALES])
+    total = sum((F.col(f"c{k}") for k, _ in SCALES), F.lit(1.5))
+    logs = [F.ln((F.col(f"c{k}") + 0.5) / total) for k, _ in SCALES]
+    return settled(c.select(*by, *[(x if base is None else (x - o) * _TEXT_WEIGHT).alias(f"{tag}{k}") for x, (k, _), o in zip(logs, SCALES, base or [0.0] * 3)]))
+
+
+def infer_scales(rows: DataFrame, group: list[str], src: str, block: list[Column], fields: dict[str, Column], keep: list[str], rounds: int = 2, texts: tuple[Column, ...] = ()) -> DataFrame:
+    """The scale at which each value was recorded, told by the values and, weakly, by texts.
 
     ``rows``: one row a report, with several ``fields``; each comes with the usual size of its figure as a fraction. ``group``: what reports
     of the same figures share, such as table and date. ``src``: who reports. ``block``: a stretch of time within which a source
-    mostly keeps its unit. Sources report the same figure in different units, so each value proposes three sizes; the size that a
-    group supports best, given the usual units of its sources in their blocks and the usual size of the figure, is taken, and each
-    value's unit is the nearest power. Bins of values, not values, are gathered by group, so a time or source with a third of all
-    rows is no hot spot.
-
-    Result: the ``keep`` columns, field, v, unit ('fraction', 'percent', 'bp') for the fields in ``report`` (all by default). Cases: zeros,
-    nulls, non-finite values and missing codes give no rows, nor do rows with a null in ``group``; a null source is a source of
-    its own; repeated rows come out as often; other columns are never looked at.
+    mostly keeps its unit. ``texts``: unit names or notes beside the values; what each distinct text is worth is learned from the
+    values that stand beside it, so a stale or unknown text says nothing. Sources report the same figure at different scales, so each value proposes
+    three sizes; the size that a group supports best, given the usual scales of its sources in their blocks, of its texts, and the
+    usual size of the figure, is taken, and each value's scale is the nearest. Bins of values, not values, are gathered by group, so
+    a time or source with a third of all rows is no hot spot.
+
+    Result, one row a row: the ``keep`` columns and, of each field, ``v_<i>`` (null for zeros, non-finite values and missing codes) and
+    ``scale_<i>``, a node of the unit graph (null without v or with a null in ``group``), i being the field's place. A null source is
+    a source of its own; repeated rows come out as often; other columns are never looked at.
     """
     names, keys = list(fields), [f"g{i}" for i in range(len(group))]
     usable = {f: finite(F.col(f)) for f in names}
+    label = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
+    told_by = [f"x{j}" for j in range(len(texts))]
     wide = rows.select(
         *[F.col(g).alias(k) for g, k in zip(group, keys)],
         F.coalesce(F.col(src).cast("string"), F.lit("")).alias("s"),
         *[b.alias(f"b{i}") for i, b in enumerate(block)],
+        *[label(t).alias(x) for t, x in zip(texts, told_by)],
         *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)],
         *[F.when((v != 0) & ~is_missing_code(v), F.col(f)).alias(f"v_{i}") for i, (f, v) in enumerate(usable.items())],
         *[t.cast("double").alias(f"t_{i}") for i, t in enumerate(fields.values())],
-    ).where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
-    sized, wide = wide, wide.drop(*[f"t_{i}" for i in range(len(names))])  # what joins carry is as recorded
+    )
+    sized = wide.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
+    wide = wide.drop(*[f"t_{i}" for i in range(len(names))])  # what joins carry is as recorded
 
     def step(i: int) -> Column:
-        return F.greatest(F.lit(0), F.least(F.lit(4), 2 * F.round((_lg(i) - F.col(f"lf_{i}")) / 2).cast("int")))
+        d = _lg(i) - F.col(f"lf_{i}")
+        return F.when(d.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(4), 2 * F.round(d / 2).cast("int"))))
 
     place = ["s", *[f"b{i}" for i in range(len(block))]]
     figures = settled(_consensus(sized, len(names), len(keys), [F.lit(0.0)] * 3))
     for _ in range(rounds - 1):
-        seen = [F.sum(sum((F.coalesce((step(i) == k).cast("int"), F.lit(0)) for i in range(len(names))), F.lit(0))).cast("double").alias(f"c{k}") for k, _ in UNIT_STEPS]
-        habit = wide.join(figures, keys).groupBy(*place).agg(*seen)
-        total = sum((F.col(f"c{k}") for k, _ in UNIT_STEPS), F.lit(1.5))
-        usual = settled(habit.select(*place, *[F.ln((F.col(f"c{k}") + 0.5) / total).alias(f"u{k}") for k, _ in UNIT_STEPS]))
-        told = wide.join(usual, place)
-        figures = settled(_consensus(told, len(names), len(keys), [F.col(f"u{k}") for k, _ in UNIT_STEPS], figures))
-    wanted = [(i, f) for i, f in enumerate(names) if report is None or f in report]
-    placed = wide.join(figures, keys)
-    found = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"v_{i}").cast("double").alias("v"), step(i).alias("step")) for i, f in wanted])
-    unit = F.coalesce(*[F.when(F.col("x.step") == k, F.lit(u)) for k, u in UNIT_STEPS])
-    out = placed.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.explode(found).alias("x")).where(F.col("x.v").isNotNull())
-    return out.select(*keep, "x.field", "x.v", unit.alias("unit"))
+        seen = [F.sum(sum((F.coalesce((step(i) == k).cast("int"), F.lit(0)) for i in range(len(names))), F.lit(0))).cast("double").alias(f"c{k}") for k, _ in SCALES]
+        counts = cut_lineage(wide.join(figures, keys).groupBy(*place, *told_by).agg(*seen))
+        whole = counts.agg(*[F.sum(f"c{k}") for k, _ in SCALES]).first()
+        base = [float(np.log(((c or 0.0) + 0.5) / (sum(x or 0.0 for x in whole) + 1.5))) for c in whole]
+        told = wide.join(_shares(counts, place, "u"), place)
+        weights = [F.col(f"u{k}") for k, _ in SCALES]
+        for x in told_by:
+            told = told.join(_shares(counts.where(F.col(x).isNotNull()), [x], f"u_{x}_", base), x, "left")
+            weights = [w + F.coalesce(F.col(f"u_{x}_{k}"), F.lit(0.0)) for w, (k, _) in zip(weights, SCALES)]
+        figures = settled(_consensus(told, len(names), len(keys), weights, figures))
+    placed = wide.join(figures, keys, "left")
+    node = lambda i: F.coalesce(*[F.when(step(i) == k, F.lit(u)) for k, u in SCALES])
+    return placed.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(f"v_{i}").cast("double").alias(f"v_{i}") for i in range(len(names))], *[node(i).alias(f"scale_{i}") for i in range(len(names))])
+
+
+def reading_table(spark: SparkSession, target: str, named: tuple[str, ...], edges: tuple[tuple[str, str, float, float], ...] = (*RETURN_UNITS, *SCALE_EDGES)) -> DataFrame:
+    """For every node that has a way to ``target``: ``__node``, ``unit`` (the name among ``named`` that it equals: an identity composition), and ``__a``, ``__b`` of its shortest composition to the target."""
+    t = conversion_table(edges)
+    same = lambda u: next((n for n in named if (u, n) in t and t[u, n][:2] == (1.0, 0.0)), None)
+    rows = [(u, same(u), a, b) for (u, v), (a, b, _) in sorted(t.items()) if v == target]
+    return spark.createDataFrame(rows, "__node string, unit string, __a double, __b double")
+
+
+def infer_units(rows: DataFrame, group: list[str], src: str, block: list[Column], fields: dict[str, Column], keep: list[str], report: list[str] | None = None, rounds: int = 2, texts: tuple[Column, ...] = (), target: str = "fraction", out: str | None = None) -> DataFrame:
+    """The unit of each value as the conversion graph has it: the scale found by ``infer_scales`` is a node, and unit and conversion come by an equi-join on node and target.
+
+    Result: the ``keep`` columns, field, v, unit ('fraction', 'percent', 'bp') for the fields in ``report`` (all by default), with ``out`` also
+    the value in ``target`` units and ``recorded_otherwise``, whether the composition to the target isn't the identity. Cases: values
+    that have no scale give no rows, else as there.
+    """
+    names = list(fields)
+    placed = infer_scales(rows, group, src, block, fields, keep, rounds, texts)
+    found = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"v_{i}").alias("v"), F.col(f"scale_{i}").alias("node")) for i, f in enumerate(names) if report is None or f in report])
+    long = placed.select(*keep, F.explode(found).alias("__x")).where(F.col("__x.node").isNotNull())
+    read = long.join(F.broadcast(reading_table(rows.sparkSession, target, ("fraction", "percent", "bp"))), F.col("__x.node") == F.col("__node"))  # a row a unit, at most UNIT_LIMIT
+    more = [] if out is None else [(F.col("__x.v") * F.col("__a") + F.col("__b")).alias(out), ((F.col("__a") != 1.0) | (F.col("__b") != 0.0)).alias("recorded_otherwise")]
+    return read.select(*keep, "__x.field", "__x.v", "unit", *more)
 
 
 def is_missing_code(c: Column, codes: tuple[float, ...] = (-99.99, -999.0)) -> Column:

@@ -12,7 +12,7 @@ from panelforge.operators.asof import known_from, version_join
 from panelforge.operators.impute import filled_cells, impute_chained
 from panelforge.operators.intervals import merge_intervals
 from panelforge.operators.trailing import daily_values, idle_spans, trailing_prefix
-from panelforge.operators.units import convert, infer_units
+from panelforge.operators.units import infer_scales, infer_units, reading_table
 
 #: Window of the constituents, both ends included.
 PANEL_LO, PANEL_HI = "2000-01-01", "2024-12-31"
@@ -152,16 +152,18 @@ SELECT rec_id, PERMNO, MthCalDt, datadate known_datadate, fdate known_fdate, rou
 FACTOR_SIZE = {"mkt_rf": (0.04, 0.009), "smb": (0.03, 0.005), "hml": (0.03, 0.005), "rmw": (0.02, 0.004), "cma": (0.02, 0.004), "mom": (0.04, 0.007), "rf": (0.003, 0.00015)}
 
 
-def factor_units(spark: SparkSession, sf_dir: str, report: list[str] | None = None, only: str | None = None, keep: tuple[str, ...] = ("tbl", "row_id")) -> DataFrame:
-    """Every figure of both factor tables with its unit and as a fraction: tbl, row_id, field, v, unit, as_fraction.
-
-    ``only``: one of the tables; neither says anything of the other's units. ``keep``: columns to carry along.
-    """
-    read = [table(spark, sf_dir, t).select(F.lit(t).alias("tbl"), F.lit(k).alias("kind"), "row_id", "date", "src", "loaded_at", *FACTOR_SIZE) for k, t in enumerate(FACTOR_TABLES) if only in (None, t)]
+def _factor_reports(spark: SparkSession, sf_dir: str, only: str | None) -> tuple[DataFrame, list[str], list, dict]:
+    """Rows of both factor tables (or of ``only`` one; neither says anything of the other's units), what groups them, blocks and usual sizes."""
+    read = [table(spark, sf_dir, t).select(F.lit(t).alias("tbl"), F.lit(k).alias("kind"), "row_id", "date", "src", "unit", "note", "loaded_at", *FACTOR_SIZE) for k, t in enumerate(FACTOR_TABLES) if only in (None, t)]
     sizes = {f: F.when(F.col("kind") == 0, size[0]).otherwise(size[1]) for f, size in FACTOR_SIZE.items()}
     stretch = F.when(F.col("kind") == 0, F.trunc("date", "YEAR")).otherwise(F.trunc("date", "MM"))
-    units = infer_units(reduce(DataFrame.unionByName, read), ["kind", "date"], "src", [F.col("kind"), stretch], sizes, list(keep), report)
-    return convert(units, "v", "unit", "fraction", "as_fraction")
+    return reduce(DataFrame.unionByName, read), ["kind", "date"], [F.col("kind"), stretch], sizes
+
+
+def factor_units(spark: SparkSession, sf_dir: str, report: list[str] | None = None, only: str | None = None, keep: tuple[str, ...] = ("tbl", "row_id")) -> DataFrame:
+    """Every figure of both factor tables with its unit and as a fraction: tbl, row_id, field, v, unit, as_fraction, recorded_otherwise. ``keep``: columns to carry along."""
+    rows, group, block, sizes = _factor_reports(spark, sf_dir, only)
+    return infer_units(rows, group, "src", block, sizes, list(keep), report, texts=(F.col("unit"), F.col("note")), out="as_fraction")
 
 
 def factor_series(spark: SparkSession, sf_dir: str, tbl: str, fields: list[str]) -> DataFrame:
@@ -188,16 +190,29 @@ P6_CASES = (("ff_factors", "mkt_rf"), ("ff_factors", "rf"), ("ff_factors_daily",
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values whose shortest composition to the fraction isn't the identity, with the unit that the graph names."""
     units = factor_units(spark, sf_dir, [f for _, f in P6_CASES])
     asked = F.lit(False)
     for tbl, field in P6_CASES:
         asked = asked | ((F.col("tbl") == tbl) & (F.col("field") == field))
-    return units.where(asked & (F.col("unit") != "fraction") & F.col("as_fraction").isNotNull()).select("tbl", "row_id", "field", "unit")
+    return units.where(asked & F.col("recorded_otherwise")).select("tbl", "row_id", "field", "unit")
 
 
 def p6_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every figure of both factor tables as a decimal fraction, with the unit it was recorded in."""
-    return factor_units(spark, sf_dir).select("tbl", "row_id", "field", "unit", F.round("as_fraction", 9).alias("as_fraction"))
+    """Every row of both factor tables with its figures as decimal fractions and, beside each, the unit it was recorded in.
+
+    A zero is zero in any unit and names none; nulls, non-finite values and missing codes are null.
+    """
+    rows, group, block, sizes = _factor_reports(spark, sf_dir, None)
+    known = [F.when(F.col(f) == 0, F.lit(0.0)).alias(f"z_{f}") for f in sizes]
+    placed = infer_scales(rows.select("*", *known), group, "src", block, sizes, ["tbl", "row_id", "date", "src", *[f"z_{f}" for f in sizes]], texts=(F.col("unit"), F.col("note")))
+    read = reading_table(spark, "fraction", ("fraction", "percent", "bp"))
+    out = []
+    for i, f in enumerate(sizes):
+        one = read.select(F.col("__node").alias(f"n_{i}"), F.col("unit").alias(f"{f}_unit"), F.col("__a").alias(f"a_{i}"), F.col("__b").alias(f"b_{i}"))
+        placed = placed.join(F.broadcast(one), F.col(f"scale_{i}") == F.col(f"n_{i}"), "left")  # a row a unit
+        out += [F.round(F.coalesce(F.col(f"v_{i}") * F.col(f"a_{i}") + F.col(f"b_{i}"), f"z_{f}"), 9).alias(f), F.col(f"{f}_unit")]
+    return placed.select("tbl", "row_id", "date", "src", *out)
 
 
 P7_TABLES = ("crsp_daily", "ccm_merged", "delisting")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.operators.asof import asof_backward, known_from, version_join
-from panelforge.operators.units import conversion_table, convert, infer_units, is_missing_code
+from panelforge.operators.units import conversion_table, convert, infer_scales, infer_units, is_missing_code, reading_table
 
 D = dt.date
 
@@ -119,3 +119,40 @@ def test_clashing_names(spark):
     assert tuple(asof_backward(left, right, "k", "d", "t", ["a"]).first()) == (1, D(2020, 1, 2), 4, 6.0)
     u = spark.createDataFrame([("m", 1, "s", 1, 1, 0.02, 0.03, "x", "y", -999.0)], "series string, at int, src string, block int, id long, v double, typical double, bin string, lf_0 string, w double")
     assert [tuple(r) for r in units(u).collect()] == [(1, "v", 0.02, "fraction")]
+
+
+def test_a_text_tells_where_one_source_reports_alone(spark):
+    """Sources agree on most dates and teach what their texts are worth; on the last dates one source without a habit reports a size that fits two units."""
+    rng = random.Random(3)
+    rows = []
+    for t in range(60):
+        f = rng.gauss(0, 0.03)
+        for s, (text, k) in enumerate((("dec.", 1), (" PCT", 100), ("pct", 100), ("DEC.", 1))):
+            rows.append(("m", t, f"s{s}", 0, len(rows), f * k * (1 + rng.gauss(0, 0.002)), 0.03, text))
+    alone = {}
+    for t, text, unit in ((100, "dec.", "fraction"), (101, "pct", "percent"), (102, None, None)):
+        alone[len(rows)] = unit
+        rows.append(("m", t, "new", t, len(rows), 0.15, 0.03, text))
+    df = spark.createDataFrame(rows, "series string, at int, src string, block int, id long, v double, typical double, said string").withColumn("w", F.lit(None).cast("double"))
+    got = {r["id"]: r["unit"] for r in infer_units(df, ["series", "at"], "src", [F.col("block")], {"v": F.col("typical"), "w": F.lit(0.01)}, ["id"], texts=(F.col("said"),)).collect()}
+    assert all(got[i] == u for i, u in alone.items() if u)
+    assert all(got[r[4]] == ("percent" if r[7].strip().lower() == "pct" else "fraction") for r in rows[:240])
+
+
+def test_units_come_from_the_graph(spark):
+    """Names and factors are compositions: without its edge a scale has no reading, with a longer way the same one."""
+    named = ("fraction", "percent", "bp")
+    full = {r["__node"]: (r["unit"], r["__a"], r["__b"]) for r in reading_table(spark, "fraction", named).collect()}
+    assert full["x1"] == ("fraction", 1.0, 0.0) and full["x100"] == ("percent", 0.01, 0.0) and full["x10000"][0] == "bp" and abs(full["x10000"][1] - 1e-4) < 1e-18
+    less = {r["__node"] for r in reading_table(spark, "fraction", named, (("bp", "percent", 0.01, 0.0), ("percent", "fraction", 0.01, 0.0), ("x1", "fraction", 1.0, 0.0))).collect()}
+    assert less == {"bp", "percent", "fraction", "x1"}
+    with pytest.raises(ValueError):
+        reading_table(spark, "fraction", named, (("bp", "percent", 0.01, 0.0), ("percent", "fraction", 0.01, 0.0), ("bp", "fraction", 0.01, 0.0)))
+
+
+def test_missing_values_have_no_scale_and_rows_stay(spark):
+    rows = [("m", t, f"s{s}", 0, 10 * t + s, (0.01 + 0.001 * t) * (1, 100, 1)[s], 0.03) for t in range(20) for s in range(3)] + [("m", 3, "s0", 0, 900, -99.99, 0.03), ("m", None, "s0", 0, 901, 0.02, 0.03), ("m", 3, "s0", 0, 902, None, 0.03)]
+    df = spark.createDataFrame(rows, "series string, at int, src string, block int, id long, v double, typical double")
+    got = {r["id"]: r["scale_0"] for r in infer_scales(df, ["series", "at"], "src", [F.col("block")], {"v": F.col("typical")}, ["id"]).collect()}
+    assert len(got) == len(rows) and (got[900], got[901], got[902]) == (None, None, None)
+    assert all(got[10 * t + s] == ("x1", "x100", "x1")[s] for t in range(20) for s in range(3))
