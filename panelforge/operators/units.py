@@ -8,7 +8,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import Window
 
-from panelforge.functions.scalar import finite
 from panelforge.operators.joins import settled
 from panelforge.session import cut_lineage
 
@@ -103,7 +102,7 @@ def _consensus(wide: DataFrame, n_fields: int, n_keys: int, weights: list[Column
     size = (lambda i: F.col(f"t_{i}")) if typical is None else (lambda i: F.lit(None).cast("double"))
     values = F.array(*[F.struct(F.lit(i).alias("f"), _lg(i).alias("lg"), size(i).alias("typical")) for i in range(n_fields)])
     long = wide.select(*keys, *[w.alias(f"w{k}") for k, w in enumerate(weights)], F.explode(values).alias("x")).where(F.col("x.lg").isNotNull())
-    bins = long.groupBy(*keys, F.col("x.f").alias("f"), F.round(F.col("x.lg") * _BINS).cast("int").alias("own")).agg(
+    bins = long.groupBy(*keys, F.col("x.f").alias("f"), F.rint(F.col("x.lg") * _BINS).cast("int").alias("own")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("x.lg").alias("ls"), F.max("x.typical").alias("typical"), *[F.sum(f"w{k}").alias(f"w{k}") for k in range(3)]
     )
     if typical is not None:
@@ -138,12 +137,11 @@ def infer_scales(rows: DataFrame, group: list[str], src: str, block: list[Column
     usual size of the figure, is taken, and each value's scale is the nearest. Bins of values, not values, are gathered by group, so
     a time or source with a third of all rows is no hot spot.
 
-    Result, one row a row: the ``keep`` columns and, of each field, ``v_<i>`` (null for zeros, non-finite values and missing codes) and
-    ``scale_<i>``, a node of the unit graph (null without v or with a null in ``group``), i being the field's place. A null source is
+    Result, one row a row: the ``keep`` columns and, of each field, ``v_<i>`` (null for non-finite values and missing codes) and
+    ``scale_<i>``, a node of the unit graph (null for a zero, without v or with a null in ``group``), i being the field's place. A null source is
     a source of its own; repeated rows come out as often; other columns are never looked at.
     """
     names, keys = list(fields), [f"g{i}" for i in range(len(group))]
-    usable = {f: finite(F.col(f)) for f in names}
     label = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
     told_by = [f"x{j}" for j in range(len(texts))]
     wide = rows.select(
@@ -152,21 +150,24 @@ def infer_scales(rows: DataFrame, group: list[str], src: str, block: list[Column
         *[b.alias(f"b{i}") for i, b in enumerate(block)],
         *[label(t).alias(x) for t, x in zip(texts, told_by)],
         *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)],
-        *[F.when((v != 0) & ~is_missing_code(v), F.col(f)).alias(f"v_{i}") for i, (f, v) in enumerate(usable.items())],
+        *[measured(F.col(f)).alias(f"v_{i}") for i, f in enumerate(names)],
         *[t.cast("double").alias(f"t_{i}") for i, t in enumerate(fields.values())],
     )
     sized = wide.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
     wide = wide.drop(*[f"t_{i}" for i in range(len(names))])  # what joins carry is as recorded
 
-    def step(i: int) -> Column:
-        d = _lg(i) - F.col(f"lf_{i}")
-        return F.when(d.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(4), 2 * F.round(d / 2).cast("int"))))
+    def stepped(joined: DataFrame) -> DataFrame:
+        """With the place of each value's scale, 0 to 2, in a projection of its own, so that what uses it several times finds it computed."""
+        size = lambda i: F.rint((_lg(i) - F.col(f"lf_{i}")) / 2)
+        told = lambda i: (F.col(f"v_{i}") != 0) & F.col(f"lf_{i}").isNotNull()
+        return joined.withColumns({f"st_{i}": F.when(told(i), F.when(size(i) <= 0, 0).when(size(i) >= len(SCALES) - 1, len(SCALES) - 1).otherwise(size(i).cast("int"))) for i in range(len(names))})
 
     place = ["s", *[f"b{i}" for i in range(len(block))]]
     figures = settled(_consensus(sized, len(names), len(keys), [F.lit(0.0)] * 3))
     for _ in range(rounds - 1):
-        seen = [F.sum(sum((F.coalesce((step(i) == k).cast("int"), F.lit(0)) for i in range(len(names))), F.lit(0))).cast("double").alias(f"c{k}") for k, _ in SCALES]
-        counts = cut_lineage(wide.join(figures, keys).groupBy(*place, *told_by).agg(*seen))
+        at = stepped(wide.join(figures, keys)).select(*place, *told_by, F.array(*[f"st_{i}" for i in range(len(names))]).alias("st"))
+        each = at.select(*place, *told_by, *[F.size(F.filter("st", lambda x: x == k)).alias(f"n{k}") for k in range(len(SCALES))])  # noqa: B023
+        counts = cut_lineage(each.groupBy(*place, *told_by).agg(*[F.sum(f"n{j}").cast("double").alias(f"c{k}") for j, (k, _) in enumerate(SCALES)]))
         whole = counts.agg(*[F.sum(f"c{k}") for k, _ in SCALES]).first()
         base = [float(np.log(((c or 0.0) + 0.5) / (sum(x or 0.0 for x in whole) + 1.5))) for c in whole]
         told = wide.join(_shares(counts, place, "u"), place)
@@ -175,8 +176,8 @@ def infer_scales(rows: DataFrame, group: list[str], src: str, block: list[Column
             told = told.join(_shares(counts.where(F.col(x).isNotNull()), [x], f"u_{x}_", base), x, "left")
             weights = [w + F.coalesce(F.col(f"u_{x}_{k}"), F.lit(0.0)) for w, (k, _) in zip(weights, SCALES)]
         figures = settled(_consensus(told, len(names), len(keys), weights, figures))
-    placed = wide.join(figures, keys, "left")
-    node = lambda i: F.coalesce(*[F.when(step(i) == k, F.lit(u)) for k, u in SCALES])
+    placed = stepped(wide.join(figures, keys, "left"))
+    node = lambda i: F.coalesce(*[F.when(F.col(f"st_{i}") == j, F.lit(u)) for j, (_, u) in enumerate(SCALES)])
     return placed.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(f"v_{i}").cast("double").alias(f"v_{i}") for i in range(len(names))], *[node(i).alias(f"scale_{i}") for i in range(len(names))])
 
 
@@ -188,25 +189,40 @@ def reading_table(spark: SparkSession, target: str, named: tuple[str, ...], edge
     return spark.createDataFrame(rows, "__node string, unit string, __a double, __b double")
 
 
-def infer_units(rows: DataFrame, group: list[str], src: str, block: list[Column], fields: dict[str, Column], keep: list[str], report: list[str] | None = None, rounds: int = 2, texts: tuple[Column, ...] = (), target: str = "fraction", out: str | None = None) -> DataFrame:
+def infer_units(rows: DataFrame, group: list[str], src: str, block: list[Column], fields: dict[str, Column], keep: list[str], report: list[str] | None = None, rounds: int = 2, texts: tuple[Column, ...] = (), target: str = "fraction", out: str | None = None, zeros: bool = False) -> DataFrame:
     """The unit of each value as the conversion graph has it: the scale found by ``infer_scales`` is a node, and unit and conversion come by an equi-join on node and target.
 
     Result: the ``keep`` columns, field, v, unit ('fraction', 'percent', 'bp') for the fields in ``report`` (all by default), with ``out`` also
     the value in ``target`` units and ``recorded_otherwise``, whether the composition to the target isn't the identity. Cases: values
-    that have no scale give no rows, else as there.
+    that have no scale give no rows, else as there; with ``zeros`` a zero gives a row without unit, 0 in any unit (where the target has no offset).
     """
     names = list(fields)
     placed = infer_scales(rows, group, src, block, fields, keep, rounds, texts)
     found = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"v_{i}").alias("v"), F.col(f"scale_{i}").alias("node")) for i, f in enumerate(names) if report is None or f in report])
-    long = placed.select(*keep, F.explode(found).alias("__x")).where(F.col("__x.node").isNotNull())
-    read = long.join(F.broadcast(reading_table(rows.sparkSession, target, ("fraction", "percent", "bp"))), F.col("__x.node") == F.col("__node"))  # a row a unit, at most UNIT_LIMIT
-    more = [] if out is None else [(F.col("__x.v") * F.col("__a") + F.col("__b")).alias(out), ((F.col("__a") != 1.0) | (F.col("__b") != 0.0)).alias("recorded_otherwise")]
+    told = F.col("__x.node").isNotNull()
+    long = placed.select(*keep, F.explode(found).alias("__x")).where(told | (F.col("__x.v") == 0) if zeros else told)
+    readings = F.broadcast(reading_table(rows.sparkSession, target, ("fraction", "percent", "bp")))  # a row a unit, at most UNIT_LIMIT
+    read = long.join(readings, F.col("__x.node") == F.col("__node"), "left" if zeros else "inner")
+    value = F.col("__x.v") * F.col("__a") + F.col("__b")
+    more = [] if out is None else [(F.coalesce(value, F.col("__x.v")) if zeros else value).alias(out), ((F.col("__a") != 1.0) | (F.col("__b") != 0.0)).alias("recorded_otherwise")]
     return read.select(*keep, "__x.field", "__x.v", "unit", *more)
 
 
-def is_missing_code(c: Column, codes: tuple[float, ...] = (-99.99, -999.0)) -> Column:
+#: How the factor library writes a missing figure; a float holds them to about this much.
+MISSING_CODES, CODE_WIDTH = (-99.99, -999.0), 0.002
+
+
+def measured(c: Column) -> Column:
+    """The number where it is finite and no missing code, else null."""
+    told = F.abs(c) < F.lit(float("inf"))
+    for x in MISSING_CODES:
+        told = told & (F.abs(c - x) >= CODE_WIDTH)
+    return F.when(told, c)
+
+
+def is_missing_code(c: Column, codes: tuple[float, ...] = MISSING_CODES) -> Column:
     """True where a number is one of the missing codes, as float or double."""
     hit = F.lit(False)
     for x in codes:
-        hit = hit | (F.abs(c.cast("double") - x) < 0.002)
+        hit = hit | (F.abs(c.cast("double") - x) < CODE_WIDTH)
     return F.coalesce(hit, F.lit(False))

@@ -12,7 +12,7 @@ from panelforge.operators.asof import known_from, version_join
 from panelforge.operators.impute import filled_cells, impute_chained
 from panelforge.operators.intervals import merge_intervals
 from panelforge.operators.trailing import daily_values, idle_spans, trailing_prefix
-from panelforge.operators.units import infer_scales, infer_units, reading_table
+from panelforge.operators.units import infer_units
 
 #: Window of the constituents, both ends included.
 PANEL_LO, PANEL_HI = "2000-01-01", "2024-12-31"
@@ -160,10 +160,13 @@ def _factor_reports(spark: SparkSession, sf_dir: str, only: str | None) -> tuple
     return reduce(DataFrame.unionByName, read), ["kind", "date"], [F.col("kind"), stretch], sizes
 
 
-def factor_units(spark: SparkSession, sf_dir: str, report: list[str] | None = None, only: str | None = None, keep: tuple[str, ...] = ("tbl", "row_id")) -> DataFrame:
-    """Every figure of both factor tables with its unit and as a fraction: tbl, row_id, field, v, unit, as_fraction, recorded_otherwise. ``keep``: columns to carry along."""
+def factor_units(spark: SparkSession, sf_dir: str, report: list[str] | None = None, only: str | None = None, keep: tuple[str, ...] = ("tbl", "row_id"), zeros: bool = False) -> DataFrame:
+    """Every figure of both factor tables with its unit and as a fraction: tbl, row_id, field, v, unit, as_fraction, recorded_otherwise.
+
+    ``keep``: columns to carry along. ``zeros``: with rows for zeros, which name no unit.
+    """
     rows, group, block, sizes = _factor_reports(spark, sf_dir, only)
-    return infer_units(rows, group, "src", block, sizes, list(keep), report, texts=(F.col("unit"), F.col("note")), out="as_fraction")
+    return infer_units(rows, group, "src", block, sizes, list(keep), report, texts=(F.col("unit"), F.col("note")), out="as_fraction", zeros=zeros)
 
 
 def factor_series(spark: SparkSession, sf_dir: str, tbl: str, fields: list[str]) -> DataFrame:
@@ -171,13 +174,10 @@ def factor_series(spark: SparkSession, sf_dir: str, tbl: str, fields: list[str])
 
     A zero is zero in any unit. A date on which no source has a figure of a field keeps its row, with null.
     """
-    known = factor_units(spark, sf_dir, fields, tbl, ("row_id", "date", "src", "loaded_at")).select("date", "src", "loaded_at", "row_id", "field", F.col("as_fraction").alias("x"))
-    t = table(spark, sf_dir, tbl).where("date IS NOT NULL")
-    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("x")) for f in fields])
-    zeros = t.select("date", "src", "loaded_at", "row_id", F.explode(each).alias("f")).select("date", "src", "loaded_at", "row_id", "f.*").where("x = 0")
-    last = known.unionByName(zeros).where("x IS NOT NULL").groupBy("date", "src", "field").agg(F.max_by("x", F.struct("loaded_at", "row_id")).alias("x"))
+    known = factor_units(spark, sf_dir, fields, tbl, ("row_id", "date", "src", "loaded_at"), zeros=True)
+    last = known.groupBy("date", "src", "field").agg(F.max_by("as_fraction", F.struct("loaded_at", "row_id")).alias("x"))
     by_date = last.groupBy("date").agg(*[F.median(F.when(F.col("field") == f, F.col("x"))).alias(f) for f in fields])
-    return t.select("date").distinct().join(by_date, "date", "left")
+    return table(spark, sf_dir, tbl).where("date IS NOT NULL").select("date").distinct().join(by_date, "date", "left")
 
 
 def monthly_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,20 +199,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of both factor tables with its figures as decimal fractions and, beside each, the unit it was recorded in.
-
-    A zero is zero in any unit and names none; nulls, non-finite values and missing codes are null.
-    """
-    rows, group, block, sizes = _factor_reports(spark, sf_dir, None)
-    known = [F.when(F.col(f) == 0, F.lit(0.0)).alias(f"z_{f}") for f in sizes]
-    placed = infer_scales(rows.select("*", *known), group, "src", block, sizes, ["tbl", "row_id", "date", "src", *[f"z_{f}" for f in sizes]], texts=(F.col("unit"), F.col("note")))
-    read = reading_table(spark, "fraction", ("fraction", "percent", "bp"))
-    out = []
-    for i, f in enumerate(sizes):
-        one = read.select(F.col("__node").alias(f"n_{i}"), F.col("unit").alias(f"{f}_unit"), F.col("__a").alias(f"a_{i}"), F.col("__b").alias(f"b_{i}"))
-        placed = placed.join(F.broadcast(one), F.col(f"scale_{i}") == F.col(f"n_{i}"), "left")  # a row a unit
-        out += [F.round(F.coalesce(F.col(f"v_{i}") * F.col(f"a_{i}") + F.col(f"b_{i}"), f"z_{f}"), 9).alias(f), F.col(f"{f}_unit")]
-    return placed.select("tbl", "row_id", "date", "src", *out)
+    """Every figure of both factor tables as a decimal fraction, with the unit it was recorded in; nulls, non-finite values and missing codes are no figures."""
+    return factor_units(spark, sf_dir, zeros=True).select("tbl", "row_id", "field", "unit", "as_fraction")
 
 
 P7_TABLES = ("crsp_daily", "ccm_merged", "delisting")
