@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from panelforge.functions.scalar import day_text, month_ordinal
 from panelforge.operators.anomalies import flag_readings
 from panelforge.operators.asof import known_from, version_join
-from panelforge.operators.impute import filled_cells, impute_chained
+from panelforge.operators.impute import filled_cells, impute_chained, measured
 from panelforge.operators.intervals import merge_intervals
 from panelforge.operators.trailing import daily_values, idle_spans, trailing_prefix
 from panelforge.operators.units import infer_units
@@ -240,8 +240,8 @@ PANEL_BOUNDS = {"bm": (0.0, 100.0), "ep": (-5.0, 5.0), "roe": (-5.0, 5.0), "idio
 SECTORS = ("10", "15", "20", "25", "30", "35", "40", "45", "50", "55", "60")
 
 
-def _imputed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "char_panel_raw")
+def _imputed(spark: SparkSession, sf_dir: str, t: DataFrame | None = None) -> DataFrame:
+    t = table(spark, sf_dir, "char_panel_raw") if t is None else t
     return impute_chained(t, "row_id", "PERMNO", "MthCalDt", PANEL_BOUNDS, "gsector", SECTORS, ("log_mktcap", "roa", "asset_growth", "turnover"))
 
 
@@ -263,9 +263,27 @@ def p2_imputed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _imputed(spark, sf_dir)
 
 
+def p2_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well hidden cells are filled: one cell in twenty that holds a measurement is taken out, the whole panel imputed and the fills compared.
+
+    field, n, error (root mean square of the fills over the field's own deviation; a draw without any knowledge has 1.41) and recall (codes).
+    """
+    t = table(spark, sf_dir, "char_panel_raw")
+    code = F.trim("gsector")
+    true = {**{f: measured(F.col(f), lo, hi) for f, (lo, hi) in PANEL_BOUNDS.items()}, "gsector": F.when(code.isin(*SECTORS), code)}
+    hide = lambda f: F.pmod(F.xxhash64(F.lit(f), "row_id"), F.lit(20)) == 0
+    holed = t.withColumns({f: F.when(~hide(f), F.col(f)) for f in true})
+    filled = _imputed(spark, sf_dir, holed).select("row_id", *[F.col(f).alias(f"x_{f}") for f in true])
+    both = t.select("row_id", *[c.alias(f"y_{f}") for f, c in true.items()]).join(filled, "row_id")
+    stats = [F.struct(F.lit(f).alias("field"), F.count_if(hide(f) & F.col(f"y_{f}").isNotNull()).alias("n"), F.sqrt(F.avg(F.when(hide(f), F.pow(F.col(f"y_{f}") - F.col(f"x_{f}"), 2)))).alias("e"), F.stddev_pop(f"y_{f}").alias("sd"), F.lit(None).cast("double").alias("recall")).alias(f) for f in PANEL_BOUNDS]
+    stats.append(F.struct(F.lit("gsector").alias("field"), F.count_if(hide("gsector") & F.col("y_gsector").isNotNull()).alias("n"), F.lit(None).cast("double").alias("e"), F.lit(None).cast("double").alias("sd"), F.avg(F.when(hide("gsector"), (F.col("y_gsector") == F.col("x_gsector")).cast("double"))).alias("recall")).alias("gsector"))
+    return both.agg(*stats).select(F.explode(F.array(*true)).alias("s")).select("s.field", "s.n", F.round(F.try_divide("s.e", "s.sd"), 4).alias("error"), F.round("s.recall", 4).alias("recall"))
+
+
 def queries() -> dict:
     return {
         "p2_found": p2_found,
+        "p2_holdout": p2_holdout,
         "p2_imputed": p2_imputed,
         "p7_found": p7_found,
         "p7_flags": p7_flags,
