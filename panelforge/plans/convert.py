@@ -83,24 +83,27 @@ def macro_months(spark: SparkSession, raw: RawFiles) -> DataFrame:
     return m
 
 
+#: The header spellings of a constituents file, by the role of the column; the first that is there counts.
+CONSTITUENT_HEADERS = {
+    "permno": ("permno", "lpermno"),
+    "ticker": ("ticker", "tic", "symbol"),
+    "start": ("start", "start_date", "from", "beg", "begdt"),
+    "ending": ("ending", "end", "end_date", "thru", "thrudt"),
+}
+#: How a column of each role is read.
+CONSTITUENT_TYPES = {"permno": lambda c: c.try_cast("int"), "ticker": lambda c: c, "start": parse_day, "ending": parse_day}
+
+
 def constituents(spark: SparkSession, raw: RawFiles, ccm: DataFrame | None = None) -> DataFrame:
-    """Membership intervals from a file by identifier or by ticker; header spellings vary."""
+    """Membership intervals from a file by identifier or by ticker; roles without a column are null."""
     t = read_strings(spark, raw.path(spark, "constituents"))
-    ident = first_alias(t.columns, ("permno", "lpermno"))
-    ticker = first_alias(t.columns, ("ticker", "tic", "symbol"))
-    start = first_alias(t.columns, ("start", "start_date", "from", "beg", "begdt"))
-    end = first_alias(t.columns, ("ending", "end", "end_date", "thru", "thrudt"))
-    s = parse_day(F.col(f"`{start}`")) if start else None
-    e = parse_day(F.col(f"`{end}`")) if end else F.lit(None).cast("date")
-    if ident and start:
-        rows = t.select(F.col(f"`{ident}`").try_cast("int").alias("permno"), s.alias("start"), e.alias("ending"))
+    found = {role: first_alias(t.columns, names) for role, names in CONSTITUENT_HEADERS.items()}
+    rows = t.select(*[CONSTITUENT_TYPES[role](F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(role) for role, c in found.items()])
+    if not found["start"] or not (found["permno"] or found["ticker"]):
+        raise ValueError("the constituents file has neither identifiers nor tickers with start dates")
+    if found["permno"]:
         return clip_intervals(rows, "permno", "start", "ending", PANEL_START, PANEL_END)
-    if ticker and start:
-        if ccm is None:
-            ccm = merged_months(spark, raw)
-        rows = t.select(F.col(f"`{ticker}`").alias("ticker"), s.alias("start"), e.alias("ending"))
-        return ticker_membership(rows, ccm)
-    raise ValueError("the constituents file has neither identifiers nor tickers with start dates")
+    return ticker_membership(rows, merged_months(spark, raw) if ccm is None else ccm)
 
 
 CONVERTERS: dict[str, Callable[[SparkSession, RawFiles], DataFrame]] = {

@@ -81,15 +81,20 @@ def typed(df: DataFrame, types: Types) -> DataFrame:
     return df.select(*[types.cast(c) for c in df.columns])
 
 
+#: Lines that a file with an embedded block may have: a century of days ten times over.
+BLOCK_LINES = 500_000
 _DATE_TOKEN = r"^\s*\d{6,8}\s*$"
 
 
 def read_embedded_block(spark: SparkSession, path: str, missing: Iterable[str] = FACTOR_MISSING, date: str = "date") -> DataFrame:
     """The first block of lines whose first field is a date of 6 to 8 digits, with the line before it as header; an empty first name is the date.
 
-    Such files are published tables of a few thousand lines, so one reader task finds the block; values equal to a missing code are null.
+    Such files are published tables of a few thousand lines, so one reader task finds the block; more than BLOCK_LINES are refused. Values equal to
+    a missing code are null.
     """
-    lines = [r[0] for r in spark.read.text(path, wholetext=False).coalesce(1).collect()]
+    lines = [r[0] for r in spark.read.text(path, wholetext=False).coalesce(1).limit(BLOCK_LINES + 1).collect()]
+    if len(lines) > BLOCK_LINES:
+        raise ValueError(f"{path} has more than {BLOCK_LINES} lines")
     is_row = [bool(x.strip()) and re.match(_DATE_TOKEN, x.strip().split(",")[0]) is not None for x in lines]
     if True not in is_row:
         raise ValueError(f"{path} has no block of dated lines")

@@ -17,16 +17,26 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Written beside the target and moved into its place when complete, so a reader never sees half a table."""
-    staging = path.rstrip("/") + ".tmp"
-    w = df.write.mode("overwrite").option("compression", "snappy")
-    (w.partitionBy(*partition_by) if partition_by else w).parquet(staging)
+    """Written beside the target and moved into its place when complete, so a reader never sees half a table.
+
+    An old table is moved aside first and comes back if the new one can't take its place; what lies beside the target is removed in any case.
+    """
+    path = path.rstrip("/")
+    staging, aside = path + ".tmp", path + ".old"
     target, fs = _fs(df.sparkSession, path)
-    source, _ = _fs(df.sparkSession, staging)
-    if fs.exists(target):
-        fs.delete(target, True)
-    if not fs.rename(source, target):
-        raise OSError(f"{staging} could not be moved to {path}")
+    source, old = (_fs(df.sparkSession, x)[0] for x in (staging, aside))
+    w = df.write.mode("overwrite").option("compression", "snappy")
+    try:
+        (w.partitionBy(*partition_by) if partition_by else w).parquet(staging)
+        fs.delete(old, True)
+        if fs.exists(target) and not fs.rename(target, old):
+            raise OSError(f"{path} could not be moved aside")
+        if not fs.rename(source, target):
+            fs.rename(old, target)
+            raise OSError(f"{staging} could not be moved to {path}")
+        fs.delete(old, True)
+    finally:
+        fs.delete(source, True)
 
 
 def write_json(spark: SparkSession, value: object, path: str) -> None:
