@@ -83,6 +83,27 @@ def test_long_series_run_in_small_batches(spark, monkeypatch):
     assert {r["id"] for r in flag_readings(spark.createDataFrame(rows, READINGS)).collect()} == {70, 1070, 2070}
 
 
+def test_every_series_learns_its_own_normal_behaviour(spark):
+    """A spike among few readings doesn't widen their scale; large moves up to eight deviations stay; each series is judged by itself, parts of a source by the source."""
+    rng = np.random.default_rng(7)
+    rows, bad = [], set()
+    for s in range(30):
+        sd = 0.01 * 3 ** (s % 4)
+        v = np.clip(rng.normal(0, 1, 29), -2.5, 2.5)
+        v[4], v[9] = 7.0, (-1) ** s * 12.5
+        for t, x in enumerate(v * sd):
+            if t == 9:
+                bad.add(len(rows))
+            rows.append((1, len(rows), s, f"own{s}", t, max(float(x), -0.99), 4))
+    wide = np.clip(rng.normal(0, 1, 400), -2.5, 2.5) * 0.2
+    for s, x in enumerate([*wide, 0.9, 3.0]):
+        if x == 3.0:
+            bad.add(len(rows))
+        rows.append((2, len(rows), 1000 + s, "shared", 5, max(float(x), -0.99), 0))
+    got = {r["id"] for r in flag_readings(spark.createDataFrame(rows, READINGS)).collect()}
+    assert got == bad
+
+
 PANEL = "row_id long, e int, d date, a double, b double, cat string, x double, a_filled string"
 BOUNDS = {"a": (-10.0, 10.0), "b": (-50.0, 50.0)}
 
