@@ -26,7 +26,7 @@ LARGE_FROM, LARGE_SHARE = 3.0, 0.005
 SPIKE_LOGS = np.log(200.0)
 #: A series' scale is learned from the bulk of its normal readings besides this many readings at its source's scale for every series that the
 #: source has: a source of one series learns its own, a part of a large source keeps the source's.
-PRIOR_READINGS = 3.0
+PRIOR_READINGS = 1.0
 #: Rows that one forward-backward batch holds after padding.
 BATCH_ROWS = 400_000
 
@@ -181,14 +181,16 @@ def _score_batches(floor: float, rounds: int, spike_at: float):
 def usual_variation(points: DataFrame) -> DataFrame:
     """Centre and scale of each (tbl, source): the median, and the wider of the inter-quartile and the 10-90 % spread as normal deviations.
 
-    The 10-90 % spread, which a source with a long normal tail needs, takes 15 points; scales of small sources lean to the usual scale of their table (weight of ten points).
+    The 10-90 % spread, which a source with a long normal tail needs, takes 15 points; scales of small sources lean to the usual scale of their table (by their logs, with the weight of ten points); none counts as less than a tenth of it.
     """
     q = points.groupBy("tbl", "source").agg(F.percentile_approx("v", F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 0.9)]), F.lit(1000)).alias("q"), F.count(F.lit(1)).alias("n"))
     mid, far = (F.col("q")[3] - F.col("q")[1]) / 1.349, (F.col("q")[4] - F.col("q")[0]) / 2.563
     own = q.select("tbl", "source", F.col("q")[2].alias("center"), F.when(F.col("n") >= 15, F.greatest(mid, far)).otherwise(mid).alias("s"), "n")
     typical = own.groupBy("tbl").agg(F.percentile_approx("s", F.lit(0.5), F.lit(1000)).alias("ts"))
     both = own.join(F.broadcast(typical), "tbl")
-    return both.select("tbl", "source", "center", F.greatest((F.col("s") * F.col("n") + F.col("ts") * 10) / (F.col("n") + 10), F.lit(1e-9)).alias("scale"), F.col("n").alias("of_source"))
+    own_log = F.ln(F.greatest("s", F.col("ts") / 10, F.lit(1e-9)))
+    lean = (own_log * F.col("n") + F.ln(F.greatest("ts", F.lit(1e-9))) * 10) / (F.col("n") + 10)
+    return both.select("tbl", "source", "center", F.exp(lean).alias("scale"), F.col("n").alias("of_source"))
 
 
 def flag_readings(readings: DataFrame, floor: float = -1.0, rounds: int = 2, spike_at: float = 10.0) -> DataFrame:
