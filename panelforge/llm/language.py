@@ -8,18 +8,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from panelforge.operators.joins import settled
 from panelforge.session import cut_lineage, ship_package
 
 #: Most labelled texts the line model is fitted on; more are cut to those of the smallest hash.
 MAX_SAMPLES = 5_000
 #: Most documents whose label and file suffix agree that the line model is fitted on besides; more are cut to those of the smallest hash.
 MAX_AGREED = 3_000
+#: Characters that a text the line model is fitted on may have, so that what reaches the driver is bounded in bytes; longer ones aren't learned from.
+MAX_TRAINING_CHARS = 50_000
 #: Most languages; they are a vocabulary, so vectors over them are small.
 MAX_LANGS = 200
-#: Lines (blank ones not counted) from which a run is a segment, and characters from which one line is minified text, a segment by itself.
-MIN_LINES, MINIFIED = 5, 600
+#: Lines (blank ones not counted) from which a run is a segment.
+MIN_LINES = 5
+#: A line that holds this many ends or blocks of statements, and blanks below this share, is minified text, a segment by itself.
+MINIFIED_STATEMENTS, MINIFIED_BLANKS = 20, 0.08
 #: Nats that one line may say for or against a language, what a change of language costs, and the weight of comment lines.
 LINE_CAP, SWITCH, COMMENT_WEIGHT = 10.0, 10.0, 0.02
 #: Nats for the language that a code fence names.
@@ -66,6 +71,11 @@ def is_comment(line: str) -> bool:
     return end < 0 or not line[end + 2 :].strip()
 
 
+def is_minified(line: str) -> bool:
+    """Whether many statements stand on the line with hardly a blank between them."""
+    return line.count(";") + line.count("{") + line.count("}") >= MINIFIED_STATEMENTS and line.count(" ") < MINIFIED_BLANKS * len(line)
+
+
 class LineModel:
     """Naive Bayes over the tokens of a line. ``weights`` (tokens, languages) are log likelihoods relative to their mean; row 0 is for unknown tokens."""
 
@@ -90,7 +100,7 @@ class _Training:
         self.docs = [np.array([numbered[x] for x in _lines(t)], np.int64) for _, t in known]
         lines = list(numbered)
         self.comment = np.array([is_comment(x) for x in lines], bool)
-        self.long = np.array([len(x) >= MINIFIED for x in lines], bool)
+        self.long = np.array([is_minified(x) for x in lines], bool)
         flat, ends, size = [], [], 0
         for x in lines:
             ids = [tokens[t] for t in line_tokens(x)]
@@ -162,7 +172,7 @@ def line_scores(lines: list[str], model: LineModel, index: _Index) -> np.ndarray
         flat += map(get, line_tokens(line))
         ends[i] = len(flat)
     comment = np.array([is_comment(x) for x in lines], bool)
-    return _summed(np.array(flat, np.int64), ends, comment, np.array([len(x) >= MINIFIED for x in lines], bool), model)
+    return _summed(np.array(flat, np.int64), ends, comment, np.array([is_minified(x) for x in lines], bool), model)
 
 
 def _summed(at: np.ndarray, ends: np.ndarray, comment: np.ndarray, long: np.ndarray, model: LineModel) -> np.ndarray:
@@ -251,7 +261,7 @@ def _segment_batches(broadcast, key: str):
             lines = list(numbered)
             table = line_scores(lines, model, index) if lines else np.zeros((0, k), np.float32)
             # a line counts as one, minified text as a whole segment, a blank line and a fence as none
-            counts = np.array([0 if not x or x.isspace() else MIN_LINES if len(x) >= MINIFIED else 1 for x in lines], np.int64)
+            counts = np.array([0 if not x or x.isspace() else MIN_LINES if is_minified(x) else 1 for x in lines], np.int64)
             fences = {}
             for i, x in enumerate(lines):
                 if ("```" in x or "~~~" in x) and (m := _FENCE.match(x)):
@@ -275,7 +285,7 @@ def _segment_batches(broadcast, key: str):
                 scores.append(s)
                 sizes.append(weight[kept])
             paths = best_paths(scores)
-            rows: tuple[list, list, list, list] = ([], [], [], [])
+            rows: tuple[list, list, list, list] = ([], [], [], [])  # document, segment, lines, evidence
             for d, (s, size, path) in enumerate(zip(scores, sizes, paths)):
                 if not len(s):
                     continue
@@ -299,7 +309,7 @@ def _segment_batches(broadcast, key: str):
 
 def suffix_of(path: Column) -> Column:
     """The part after the last dot of a path's last name, lower case; '' without one."""
-    return F.lower(F.regexp_extract(F.coalesce(path, F.lit("")), r"\.([A-Za-z0-9_+-]{1,12})$", 1))
+    return F.lower(F.regexp_extract(F.coalesce(path, F.lit("")), r"\.([^./\\\\\s]+)$", 1))
 
 
 def declared_language(label: Column, names: dict[str, str]) -> Column:
@@ -330,13 +340,13 @@ def fit_model(samples: DataFrame, codes: DataFrame, docs: DataFrame | None = Non
         raise ValueError("too many languages")
     names = label_names([(r["code"], r["name"], r["aliases"]) for r in rows])
     langs = sorted(r["code"] for r in rows)
-    bounded = _hash_sample(samples.where("text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h")), MAX_SAMPLES)
+    bounded = _hash_sample(samples.select("lang", "text", F.xxhash64("text").alias("h")), MAX_SAMPLES, F.length("text") <= MAX_TRAINING_CHARS)
     labelled = [(r["lang"], r["text"]) for r in bounded]
     model = LineModel.fit(labelled, langs, names)
     if docs is None:
         return model
     told = docs.select(F.xxhash64(F.col(key)).alias("h"), declared_language(F.col(label), names).alias("lang"), suffix_of(F.col(path)).alias("suffix"), F.col(text).alias("text"))
-    taken = _hash_sample(told.where(F.col("lang").isNotNull() & F.col("text").isNotNull()), MAX_AGREED)
+    taken = _hash_sample(told.where(F.col("lang").isNotNull()), MAX_AGREED, F.length("text") <= MAX_TRAINING_CHARS)
     by_suffix: dict[str, Counter[str]] = {}
     for r in taken:
         by_suffix.setdefault(r["suffix"], Counter())[r["lang"]] += 1
@@ -358,12 +368,12 @@ def fit_model(samples: DataFrame, codes: DataFrame, docs: DataFrame | None = Non
     return training.fit(keep)
 
 
-def _hash_sample(df: DataFrame, most: int) -> list:
-    """About ``most`` rows at most, those of the smallest hash ``h``: a count sets the threshold, so only rows below it travel."""
+def _hash_sample(df: DataFrame, most: int, able: Column) -> list:
+    """About ``most`` rows at most, those of the smallest hash ``h`` that are ``able``: a count over all rows, which reads no text, sets the threshold, so only rows below it are read whole."""
     n = df.count()
     if n > most:
         df = df.where(F.col("h") < int(-(2**63) + 2**64 * (most / n)))
-    return sorted(df.collect(), key=lambda r: r["h"])[:most]
+    return sorted(df.where(able).collect(), key=lambda r: r["h"])[:most]
 
 
 def _lines(text: str) -> list[str]:
@@ -385,7 +395,7 @@ def identify(docs: DataFrame, model: LineModel, key: str, text: str, label: str,
     document's host, smoothed towards those of its group and these towards the whole (``strength`` pseudo-documents). These tables are
     counted over all documents by grouped aggregation of the text-only decisions, so no document's evidence is gathered in one place.
 
-    Result: key, segment (0, 1, ..), n_lines, lang, confidence, n_segments, declared (the language the label names, or null). Cases: null,
+    Result: key, segment (0, 1, ..), n_lines, lang, confidence, declared (the language the label names, or null). Cases: null,
     empty and blank texts give no rows; a null label, path, host or group is a value of its own; repeated rows come out as often; other
     columns are never looked at. Whole texts are read, whatever their length.
     """
@@ -415,7 +425,7 @@ def identify(docs: DataFrame, model: LineModel, key: str, text: str, label: str,
     per_lang = F.array(*[F.lit(float(n_all.get(c, 0))) for c in model.langs])
     joined = segs
     for by in ("host", "grp", "suffix", "declared"):
-        t = table(by, f"{by}_n")
+        t = settled(table(by, f"{by}_n"))  # beyond the bound an ordinary side, whose hot keys adaptive execution splits
         joined = joined.join(t, joined[by].eqNullSafe(F.col(f"__{by}")), "left").drop(f"__{by}")
     summed = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
     joined = joined.withColumns({"host_t": summed("host_n"), "grp_t": summed("grp_n")})
@@ -437,5 +447,4 @@ def identify(docs: DataFrame, model: LineModel, key: str, text: str, label: str,
 def document_languages(segments_: DataFrame, key: str) -> DataFrame:
     """One row for each language of a document: key, lang, n_lines, confidence (of its surest segment), n_langs, declared."""
     by = segments_.groupBy(key, "lang").agg(F.sum("n_lines").alias("n_lines"), F.max("confidence").alias("confidence"), F.max("declared").alias("declared"))
-    sizes = by.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("n_langs"))
-    return by.join(sizes, F.col(key).eqNullSafe(F.col("__k"))).drop("__k")
+    return by.withColumn("n_langs", F.count(F.lit(1)).over(Window.partitionBy(key)))  # at most MAX_LANGS rows a document

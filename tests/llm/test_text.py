@@ -7,6 +7,7 @@ from pathlib import Path
 
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from panelforge.llm import language as L
 from panelforge.llm import prefix_bpe as B
@@ -159,3 +160,17 @@ def test_paths_match_brute_force():
             assert value(p.tolist()) == pytest.approx(max(value(q) for q in itertools.product(range(3), repeat=len(s))), abs=1e-3)
         else:
             assert len(p) == 0
+
+
+def test_minified_text_is_told_by_its_statements_not_its_length():
+    from panelforge.llm.language import is_minified
+
+    assert is_minified("a=1;" * 25) and is_minified("!function(e,t){" + "if(m>5){n+=1;}" * 12 + "}")
+    assert not is_minified("The loader drops rows without a key; " * 40) and not is_minified("x" * 5000) and not is_minified("for (int i = 0; i < n; i++) { a[i] = 0; }")
+
+
+def test_suffixes_of_any_length(spark):
+    from panelforge.llm.language import suffix_of
+
+    df = spark.createDataFrame([("a/b.PY",), ("x.averyveryverylongsuffix",), ("dir.d/none",), (None,), ("a.b.tar",)], "p string")
+    assert [r["s"] for r in df.select(suffix_of(F.col("p")).alias("s")).collect()] == ["py", "averyveryverylongsuffix", "", "", "tar"]
