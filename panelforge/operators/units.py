@@ -77,7 +77,7 @@ SCALES: tuple[tuple[int, str], ...] = ((0, "x1"), (2, "x100"), (4, "x10000"))
 SCALE_EDGES: tuple[tuple[str, str, float, float], ...] = (("x1", "fraction", 1.0, 0.0), ("x100", "percent", 1.0, 0.0), ("x10000", "bp", 1.0, 0.0))
 _BINS = 40  # per decade; neighbours are added, so values within about 9 % support each other
 _SUPPORT = 9.0  # what a value that fits is worth against one that doesn't, in nats
-_TEXT_WEIGHT = 0.5  # what a unit's text says beside the habit of its source, from which it isn't independent
+_TEXT_WEIGHT = 0.5  # what a text says beside the habit of its source, from which it isn't independent; texts may be stale
 
 
 def _size_prior(lg: Column, typical: Column) -> Column:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from panelforge.functions.scalar import argmax_array, finite, logsumexp, safe_div, softmax_ref
 from panelforge.operators import metrics, sampling, windows
 from panelforge.plans import panel
-from panelforge.plans.relational import BASE, FACD, IDXM, _base, all_daily_factors, compounded, constituents, daily_factors, members, monthly_index, r, table
+from panelforge.plans.relational import BASE, FACD, IDXM, IV, _base, _months_sql, compounded, daily_factors, members, monthly_index, r, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -86,17 +84,17 @@ def max_drawdown(spark, d):
     return metrics.max_drawdown(portfolios(spark, d), ["model"], "month", "long_short").select("model", r("max_drawdown").alias("max_drawdown"))
 
 
-FACM = f"{FACD}, fac AS (SELECT last_day(date) mon, product(1 + mkt) - 1 mkt, product(1 + smb) - 1 smb, product(1 + hml) - 1 hml, product(1 + rmw) - 1 rmw, product(1 + cma) - 1 cma FROM facd GROUP BY 1)"
 FF5 = ["mkt", "smb", "hml", "rmw", "cma"]
+FACM = f"{FACD}, fac AS (SELECT * FROM (SELECT last_day(date) mon, {_months_sql(FF5)} FROM facd GROUP BY 1) WHERE {' AND '.join(f'{c} IS NOT NULL' for c in FF5)})"
 
 
-def monthly_factors(spark, d, factors=daily_factors) -> DataFrame:
-    return compounded(factors(spark, d), FF5).na.drop()
+def monthly_factors(spark, d) -> DataFrame:
+    return compounded(daily_factors(spark, d), FF5).na.drop()
 
 
 @query(f"WITH {LS}, {FACM} SELECT model, round(CASE WHEN count(*) >= 4 THEN 12 * regr_intercept(ll - sl, mkt) END, 5) alpha FROM ls JOIN fac USING (mon) GROUP BY 1")
-def capm_alpha(spark, d, factors=daily_factors):
-    j = portfolios(spark, d).join(F.broadcast(monthly_factors(spark, d, factors)), "month")
+def capm_alpha(spark, d):
+    j = portfolios(spark, d).join(F.broadcast(monthly_factors(spark, d)), "month")
     return j.groupBy("model").agg(r(metrics.capm_alpha(F.col("long_short"), F.col("mkt")), 5).alias("alpha"))
 
 
@@ -116,8 +114,8 @@ SELECT model, round(CASE WHEN count(*) >= 8 THEN 12 * sum(u * y) / sum(u * u) EN
 
 
 @query(FF5_SQL)
-def ff5_alpha(spark, d, factors=daily_factors):
-    j = portfolios(spark, d).join(F.broadcast(monthly_factors(spark, d, factors)), "month")
+def ff5_alpha(spark, d):
+    j = portfolios(spark, d).join(F.broadcast(monthly_factors(spark, d)), "month")
     return metrics.factor_alpha(j, "long_short", FF5, ["model"]).select("model", r("alpha", 5).alias("alpha"))
 
 
@@ -137,23 +135,19 @@ dd AS (SELECT model, state, min(q) md FROM (SELECT model, state, w / nullif(max(
 mm AS (SELECT model, state, count(*) n, 12 * avg(x) am, sqrt(12) * stddev_samp(x) av, sqrt(12) * avg(x) / nullif(stddev_samp(x), 0) sh FROM al GROUP BY 1, 2),
 aa AS (SELECT model, state, CASE WHEN count(*) >= 4 THEN 12 * regr_intercept(x, mkt) END ca FROM al JOIN fac USING (mon) GROUP BY 1, 2)
 SELECT mm.model, mm.state::INTEGER state, n::BIGINT AS months, round(am, 5) ann_return, round(av, 5) ann_vol, round(sh, 5) sharpe, round(ca, 5) capm, round(md, 5) max_dd FROM mm JOIN dd ON dd.model = mm.model AND dd.state = mm.state LEFT JOIN aa ON aa.model = mm.model AND aa.state = mm.state""")
-def table2(spark, d, factors=daily_factors):
+def table2(spark, d):
     p = portfolios(spark, d).select("model", "month", "long_short")
     s = regimes(spark, d)
     both = p.withColumn("state", F.lit(-1)).unionByName(p.join(F.broadcast(s), "month"))
     x = F.col("long_short")
     keys = ["model", "state"]
     main = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("months"), r(metrics.annual_mean(x), 5).alias("ann_return"), r(metrics.annual_vol(x), 5).alias("ann_vol"), r(metrics.sharpe(x), 5).alias("sharpe"))
-    alpha = both.join(F.broadcast(monthly_factors(spark, d, factors)), "month").groupBy(*keys).agg(r(metrics.capm_alpha(x, F.col("mkt")), 5).alias("capm"))
+    alpha = both.join(F.broadcast(monthly_factors(spark, d)), "month").groupBy(*keys).agg(r(metrics.capm_alpha(x, F.col("mkt")), 5).alias("capm"))
     fall = metrics.max_drawdown(both, keys, "month", "long_short").select(*keys, r("max_drawdown", 5).alias("max_dd"))
     return main.join(alpha, keys, "left").join(fall, keys)
 
 
-#: The same queries over every source and day of the factors.
-for _f in (capm_alpha, ff5_alpha, table2):
-    QUERIES[f"{_f.__name__}_whole"] = partial(_f, factors=all_daily_factors)
-
-
+#: Stress episodes of the market, whole months.
 STRESS = [("dotcom", "2000-03-01", "2002-10-31"), ("credit", "2007-12-01", "2009-06-30"), ("pandemic", "2020-02-01", "2020-04-30")]
 
 
@@ -183,35 +177,33 @@ def _dist2(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def _inducing(spark, d, n: int | None) -> tuple[DataFrame, DataFrame, float]:
-    """Vectors of their first ``n`` numbers (all for None), the labels' centres, and the squared length scale: 0.25 for 8 numbers, in proportion to them."""
-    t = table(spark, d, "embeddings")
-    n = n or t.agg(F.max(F.size("embedding"))).first()[0] or 0
-    e = t.select("vec_id", "label", F.transform(F.slice("embedding", 1, n), lambda x: x.cast("double")).alias("x"))
-    centres = e.groupBy("label").agg(F.array(*[F.avg(F.get("x", F.lit(i))) for i in range(n)]).alias("c"))
-    return e.select("vec_id", "x"), F.broadcast(centres), 0.25 * n / 8  # one centre a label
+#: Labels whose centres may be broadcast beside the vectors.
+CENTRE_LIMIT = 10_000
 
 
-KERN = """e AS (SELECT vec_id, label, list_transform(embedding[1:8], lambda q: q::DOUBLE) x FROM embeddings), u AS (SELECT vec_id, label, unnest(x) v, generate_subscripts(x, 1) i FROM e), c AS (SELECT label, i, avg(v) m FROM u GROUP BY 1, 2),
-q AS (SELECT u.vec_id, c.label, sum((u.v - c.m) ** 2) / 0.25 d2 FROM u JOIN c USING (i) GROUP BY 1, 2)"""
+def _distances(spark, d) -> DataFrame:
+    """Scaled squared distance of every vector to every label's centre: the centres, a counted few, lie beside each vector in one array. The squared length scale is a 32nd of the dimensions."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    means = e.select("label", F.posexplode("x").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("m")).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("c"))  # one array a label
+    if len(means.select("label").take(CENTRE_LIMIT + 1)) > CENTRE_LIMIT:
+        raise ValueError("more labels than CENTRE_LIMIT")
+    centres = means.select(F.lit(1).alias("__one"), F.struct("label", F.col("c.m").alias("c")).alias("c")).groupBy("__one").agg(F.collect_list("c").alias("cs"))
+    both = e.select("vec_id", "x", F.lit(1).alias("__one")).join(F.broadcast(centres), "__one").select("vec_id", "x", F.explode("cs").alias("c"))
+    return both.select("vec_id", "c.label", (_dist2(F.col("x"), F.col("c.c")) / (F.size("x") / 32.0)).alias("d2"))
 
 
-@query(f"WITH {KERN} SELECT vec_id, label, round(1.5 * exp(-0.5 * d2), 6) k FROM q")
-def se_ard_kernel(spark, d, n=8):
-    e, c, scale = _inducing(spark, d, n)
-    return e.join(c).select("vec_id", "label", r(1.5 * F.exp(-0.5 * _dist2(F.col("x"), F.col("c")) / scale)).alias("k"))
+KERN = """e AS (SELECT vec_id, label, list_transform(embedding, lambda q: q::DOUBLE) x FROM embeddings), u AS (SELECT vec_id, label, len(x) n, unnest(x) v, generate_subscripts(x, 1) i FROM e), c AS (SELECT label, i, avg(v) m FROM u GROUP BY 1, 2),
+q AS (SELECT u.vec_id, c.label, sum((u.v - c.m) ** 2) / (max(u.n) / 32.0) d2 FROM u JOIN c USING (i) GROUP BY 1, 2)"""
 
 
-@query(f"WITH {KERN} SELECT vec_id, label, round(1.5 * (1 + sqrt(5 * d2) + 5 * d2 / 3) * exp(-sqrt(5 * d2)), 6) k FROM q")
-def matern52_kernel(spark, d, n=8):
-    e, c, scale = _inducing(spark, d, n)
-    d2 = _dist2(F.col("x"), F.col("c")) / scale
-    return e.join(c).select("vec_id", "label", d2.alias("d2")).select("vec_id", "label", r(1.5 * (1 + F.sqrt(5 * F.col("d2")) + 5 * F.col("d2") / 3) * F.exp(-F.sqrt(5 * F.col("d2")))).alias("k"))
+@query(f"WITH {KERN} SELECT vec_id, label, round(1.5 * exp(-0.5 * d2), 6) k FROM q")
+def se_ard_kernel(spark, d):
+    return _distances(spark, d).select("vec_id", "label", r(1.5 * F.exp(-0.5 * F.col("d2"))).alias("k"))
 
 
-#: Over whole vectors; the SQL of those above states their first eight numbers.
-for _f in (se_ard_kernel, matern52_kernel):
-    QUERIES[f"{_f.__name__}_whole"] = partial(_f, n=None)
+@query(f"WITH {KERN} SELECT vec_id, label, round(1.5 * (1 + sqrt(5 * d2) + 5 * d2 / 3) * exp(-sqrt(5 * d2)), 6) k FROM q")
+def matern52_kernel(spark, d):
+    return _distances(spark, d).select("vec_id", "label", r(1.5 * (1 + F.sqrt(5 * F.col("d2")) + 5 * F.col("d2") / 3) * F.exp(-F.sqrt(5 * F.col("d2")))).alias("k"))
 
 
 @query(f"WITH {IDXM} SELECT m AS month, round(1 / (1 + exp(greatest(-30, least(30, 0.5 + 20 * r - 5 * sd)))), 6) p0, round(1 - 1 / (1 + exp(greatest(-30, least(30, 0.5 + 20 * r - 5 * sd)))), 6) p1 FROM vol3 WHERE sd IS NOT NULL")
@@ -316,17 +308,13 @@ def id_overlap(spark, d):
     return j.agg(F.count("a").alias("n_ccm"), F.count("b").alias("n_crsp"), F.count(F.col("a") + F.col("b")).alias("n_both"))
 
 
-@query(f"""WITH {BASE}, iv AS (SELECT DISTINCT permno, start, ending FROM sp500_constituents), h AS (SELECT DISTINCT b.PERMNO, b.mon FROM base b JOIN iv ON iv.permno = b.PERMNO AND b.MthCalDt BETWEEN iv.start AND iv.ending),
+@query(f"""WITH {BASE}, {IV}, h AS (SELECT DISTINCT b.PERMNO, b.mon FROM base b JOIN iv ON iv.permno = b.PERMNO AND b.MthCalDt BETWEEN iv.start AND iv.ending),
 s AS (SELECT mon, count(*) n FROM h GROUP BY 1) SELECT count(*)::BIGINT AS months, min(mon) first_month, max(mon) last_month, round(avg(n), 4) mean_n, min(n)::BIGINT min_n, max(n)::BIGINT max_n FROM s""")
-def constituent_coverage(spark, d, held=constituents):
-    u = panel.universe(_base(spark, d), held(spark, d)).groupBy("month").agg(F.count(F.lit(1)).alias("n"))
+def constituent_coverage(spark, d):
+    u = panel.universe(_base(spark, d), members(spark, d)).groupBy("month").agg(F.count(F.lit(1)).alias("n"))
     return u.agg(F.count(F.lit(1)).alias("months"), F.min("month").alias("first_month"), F.max("month").alias("last_month"), r(F.avg("n"), 4).alias("mean_n"), F.min("n").alias("min_n"), F.max("n").alias("max_n"))
 
 
-#: With open memberships, which the SQL leaves out.
-QUERIES["constituent_coverage_whole"] = partial(constituent_coverage, held=members)
-
-
 @query("SELECT src, round(avg(mkt_rf::DOUBLE), 6) mean, round(stddev_samp(mkt_rf::DOUBLE), 6) sd, abs(avg(mkt_rf::DOUBLE)) > 0.1 suspicious FROM ff_factors WHERE isfinite(mkt_rf) AND mkt_rf > -99 GROUP BY 1")
 def factor_unit_check(spark, d):
     v = finite(F.col("mkt_rf"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from panelforge.functions.scalar import is_finite
 from panelforge.models import em, rolling
 from panelforge.operators.windows import finite_profile, rank_transform
-from panelforge.plans import evaluation, panel, prepare, relational, tables
+from panelforge.plans import evaluation, panel, prepare, tables
 from panelforge.sources.readers import profile_folder
 from panelforge.sources.writers import latex_table, write_csv, write_json, write_parquet
 
@@ -49,7 +49,7 @@ def run(spark: SparkSession, folder: str, out: str, first: str, cfg: em.EMConfig
     forecasts, regimes = rolling.rolling_forecast(rows, covariates.select("month", *z_columns), covariates.select("month", vol_column), "month", "PERMNO", "ex_ret", list(panel.FEATURES), z_columns, vol_column, first, cfg)
     baselines = rolling.rolling_baselines(rows, "month", "PERMNO", "ex_ret", list(panel.FEATURES), first)
     write_parquet(forecasts.withColumn("model", F.lit("Regime GP")).unionByName(baselines, allowMissingColumns=True), f"{out}/predictions.parquet")
-    write_parquet(evaluation.monthly_factors(spark, folder, relational.all_daily_factors), f"{out}/factors.parquet")
+    write_parquet(evaluation.monthly_factors(spark, folder), f"{out}/factors.parquet")
     write_parquet(regimes, f"{out}/regimes.parquet")
     write_json(spark, cfg, f"{out}/config.json")
 

@@ -152,6 +152,43 @@ SELECT rec_id, PERMNO, MthCalDt, datadate known_datadate, fdate known_fdate, rou
 FACTOR_SIZE = {"mkt_rf": (0.04, 0.009), "smb": (0.03, 0.005), "hml": (0.03, 0.005), "rmw": (0.02, 0.004), "cma": (0.02, 0.004), "mom": (0.04, 0.007), "rf": (0.003, 0.00015)}
 
 
+FACTOR_TABLES = ("ff_factors", "ff_factors_daily")
+
+
+def _figure_sql(rows: str, out: str) -> str:
+    """The size of each date's figure that the reports in ``rows`` (lg, ty and what they say for each scale: u0, u2, u4) support best."""
+    return f"""{out}b AS (SELECT tbl, date, f, ty, round(lg * 40)::INTEGER own, count(*) n, sum(lg) ls, sum(u0) u0, sum(u2) u2, sum(u4) u4 FROM {rows} GROUP BY ALL),
+{out}c AS (SELECT tbl, date, f, ty, own - 40 * k bin, sum(u + 9.0 * n) w, sum(ls - k * n) ls, sum(n) n FROM (SELECT *, unnest([0, 2, 4]) k, unnest([u0, u2, u4]) u FROM {out}b) GROUP BY ALL),
+{out}s AS (SELECT tbl, date, f, ty, sum(w) OVER q ws, sum(ls) OVER q / sum(n) OVER q lf FROM {out}c WINDOW q AS (PARTITION BY tbl, date, f ORDER BY bin RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+{out} AS (SELECT tbl, date, f, arg_max(lf, {{'a': round(ws + lf * 2.302585092994046 - 2.5 * ln(1 + (10 ** lf / ty) ** 2 / 4), 6), 'b': lf}}) lf FROM {out}s GROUP BY ALL)"""
+
+
+_STEP_SQL = "greatest(0, least(4, 2 * round((lg - lf) / 2)))::INTEGER"
+
+
+def _share_sql(by: str, where: str = "true") -> str:
+    """Log shares l0, l2, l4 of the scales of values by ``by``."""
+    logs = ", ".join(f"ln((count(*) FILTER (WHERE step = {k}) + 0.5) / (count(*) + 1.5)) l{k}" for k in (0, 2, 4))
+    return f"SELECT {by}{', ' if by else ''}{logs} FROM fs WHERE {where}{' GROUP BY ' + by if by else ''}"
+
+
+def units_sql(tables: tuple[str, ...]) -> str:
+    """Queries that end in ``fu``: tbl, date, src, loaded_at, row_id, f, v and the step (0, 2, 4) of each usable factor value, null for a zero.
+
+    Scales come from what all sources report for a date, from the habits of a source in its month or year, and half as much from what texts say beyond the shares of all values.
+    """
+    said = ", ".join(f"hb.l{k} + 0.5 * coalesce(hu.l{k} - ha.l{k}, 0) + 0.5 * coalesce(hn.l{k} - ha.l{k}, 0) u{k}" for k in (0, 2, 4))
+    raw = " UNION ALL ".join(
+        f"SELECT '{t}' tbl, date, src, coalesce(src, '') s, date_trunc('{'year' if t == FACTOR_TABLES[0] else 'month'}', date) mo, unit, note, loaded_at, row_id, unnest({list(FACTOR_SIZE)}) f, unnest({[v[FACTOR_TABLES.index(t)] for v in FACTOR_SIZE.values()]}) ty, unnest([{', '.join(f'{c}::DOUBLE' for c in FACTOR_SIZE)}]) v FROM {t} WHERE date IS NOT NULL"
+        for t in tables
+    )
+    return f"""fx AS (SELECT *, nullif(lower(trim(unit)), '') xu, nullif(lower(trim(note)), '') xn, CASE WHEN v <> 0 THEN log10(abs(v)) END lg FROM ({raw}) WHERE isfinite(v) AND abs(v + 99.99) >= 0.002 AND abs(v + 999) >= 0.002),
+f0 AS (SELECT *, 0.0 u0, 0.0 u2, 0.0 u4 FROM fx WHERE lg IS NOT NULL), {_figure_sql("f0", "g1")},
+fs AS (SELECT f0.tbl, s, mo, xu, xn, {_STEP_SQL} step FROM f0 JOIN g1 USING (tbl, date, f)), hb AS ({_share_sql("tbl, s, mo")}), hu AS ({_share_sql("xu", "xu IS NOT NULL")}), hn AS ({_share_sql("xn", "xn IS NOT NULL")}), ha AS ({_share_sql("")}),
+f1 AS (SELECT f0.* EXCLUDE (u0, u2, u4), {said} FROM f0 JOIN hb ON hb.tbl = f0.tbl AND hb.s = f0.s AND hb.mo = f0.mo LEFT JOIN hu ON hu.xu = f0.xu LEFT JOIN hn ON hn.xn = f0.xn CROSS JOIN ha), {_figure_sql("f1", "g2")},
+fu AS (SELECT fx.tbl, fx.date, src, loaded_at, row_id, fx.f, v, CASE WHEN v <> 0 THEN {_STEP_SQL} END step FROM fx LEFT JOIN g2 USING (tbl, date, f))"""
+
+
 def _factor_reports(spark: SparkSession, sf_dir: str, only: str | None) -> tuple[DataFrame, list[str], list, dict]:
     """Rows of both factor tables (or of ``only`` one; neither says anything of the other's units), what groups them, blocks and usual sizes."""
     read = [table(spark, sf_dir, t).select(F.lit(t).alias("tbl"), F.lit(k).alias("kind"), "row_id", "date", "src", "unit", "note", "loaded_at", *FACTOR_SIZE) for k, t in enumerate(FACTOR_TABLES) if only in (None, t)]
@@ -185,7 +222,6 @@ def monthly_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factor_series(spark, sf_dir, "ff_factors", ["rf"]).groupBy(F.last_day("date").alias("month")).agg(F.median("rf").alias("rf"))
 
 
-FACTOR_TABLES = ("ff_factors", "ff_factors_daily")
 P6_CASES = (("ff_factors", "mkt_rf"), ("ff_factors", "rf"), ("ff_factors_daily", "smb"))
 
 
@@ -198,6 +234,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.where(asked & F.col("recorded_otherwise")).select("tbl", "row_id", "field", "unit")
 
 
+P6_FOUND = f"""WITH {units_sql(FACTOR_TABLES)} SELECT tbl, row_id, f AS field, CASE step WHEN 2 THEN 'percent' ELSE 'bp' END unit FROM fu
+WHERE step > 0 AND ({" OR ".join(f"(tbl = '{t}' AND f = '{f}')" for t, f in P6_CASES)})"""
+P6_CONVERTED = f"""WITH {units_sql(FACTOR_TABLES)} SELECT tbl, row_id, f AS field, CASE step WHEN 0 THEN 'fraction' WHEN 2 THEN 'percent' WHEN 4 THEN 'bp' END unit,
+v * CASE step WHEN 2 THEN 0.01::DOUBLE WHEN 4 THEN 0.0001::DOUBLE ELSE 1.0::DOUBLE END as_fraction FROM fu"""
+
+
 def p6_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every figure of both factor tables as a decimal fraction, with the unit it was recorded in; nulls, non-finite values and missing codes are no figures."""
     return factor_units(spark, sf_dir, zeros=True).select("tbl", "row_id", "field", "unit", "as_fraction")
@@ -298,4 +340,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p4_trailing": P4_TRAILING, "p5_found": P5_FOUND, "p5_known": P5_KNOWN}
+    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p4_trailing": P4_TRAILING, "p5_found": P5_FOUND, "p5_known": P5_KNOWN, "p6_found": P6_FOUND, "p6_converted": P6_CONVERTED}

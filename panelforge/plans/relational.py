@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -146,21 +145,21 @@ def dedupe_keep_first(spark, d):
     return windows.last_row(t, ["permno"], F.col("start"), F.col("ending").asc_nulls_last())
 
 
-FACD = """facd AS (SELECT date, mkt_rf::DOUBLE mkt, smb::DOUBLE smb, hml::DOUBLE hml, rmw::DOUBLE rmw, cma::DOUBLE cma, rf::DOUBLE rf FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY row_id) n FROM ff_factors_daily
-  WHERE src = 'factor_library' AND abs(mkt_rf) < 0.5 AND abs(smb) < 0.5 AND abs(hml) < 0.5 AND abs(rmw) < 0.5 AND abs(cma) < 0.5 AND abs(rf) < 0.0075123) WHERE n = 1)"""
+#: The daily factors as they are called here and in the table.
+FACTOR_COLUMNS = {"mkt": "mkt_rf", "smb": "smb", "hml": "hml", "rmw": "rmw", "cma": "cma", "rf": "rf"}
+# every day's factors as fractions: the median of the sources' last figures
+FACD = f"""{prepare.units_sql(("ff_factors_daily",))},
+fz AS (SELECT date, src, f, arg_max(v * power(10, -coalesce(step, 0)), {{'l': loaded_at, 'r': row_id}}) x FROM fu GROUP BY ALL),
+facd AS (SELECT d.date, {", ".join(f"median(x) FILTER (WHERE f = '{c}') {f}" for f, c in FACTOR_COLUMNS.items())} FROM (SELECT DISTINCT date FROM ff_factors_daily WHERE date IS NOT NULL) d LEFT JOIN fz USING (date) GROUP BY 1)"""
 
 
 def daily_factors(spark, d):
-    ok = F.lit(True)
-    for c, hi in (("mkt_rf", 0.5), ("smb", 0.5), ("hml", 0.5), ("rmw", 0.5), ("cma", 0.5), ("rf", 0.0075123)):
-        ok = ok & (F.abs(F.col(c)) < hi)
-    t = table(spark, d, "ff_factors_daily").where((F.col("src") == "factor_library") & ok)
-    return windows.last_row(t, ["date"], F.col("row_id")).select("date", F.col("mkt_rf").cast("double").alias("mkt"), *[F.col(c).cast("double").alias(c) for c in ("smb", "hml", "rmw", "cma", "rf")])
+    """The daily factors as fractions from all sources and units, each figure by itself: every day of the table, null only where no source has the figure."""
+    return prepare.factor_series(spark, d, "ff_factors_daily", ["mkt_rf", "smb", "hml", "rmw", "cma", "rf"]).withColumnRenamed("mkt_rf", "mkt")
 
 
-def all_daily_factors(spark, d):
-    """As ``daily_factors`` from all sources and units, each figure by itself: every day of the table, null only where no source has the figure."""
-    return prepare.factor_series(spark, d, "ff_factors_daily", ["mkt_rf", "smb", "hml", "rmw", "cma", "rf"]).withColumnRenamed("mkt_rf", "mkt")
+def _months_sql(columns: list[str]) -> str:
+    return ", ".join(f"CASE WHEN count({c}) = count(*) THEN product(1 + {c}) - 1 END {c}" for c in columns)
 
 
 def compounded(daily: DataFrame, columns: list[str]) -> DataFrame:
@@ -169,9 +168,9 @@ def compounded(daily: DataFrame, columns: list[str]) -> DataFrame:
 
 
 @query(f"WITH {FACD} SELECT c.date, count(*)::BIGINT n, round(avg(c.RET::DOUBLE - f.rf), 6) mean_excess, round(max(f.mkt), 6) mkt FROM crsp_daily c JOIN facd f ON c.date = f.date WHERE isfinite(c.RET) AND c.RET > -1 AND c.RET < 1 GROUP BY 1")
-def inner_join_factors(spark, d, factors=daily_factors):
+def inner_join_factors(spark, d):
     c = table(spark, d, "crsp_daily").select("date", finite(F.col("RET")).alias("ret")).where("ret > -1 AND ret < 1")
-    j = c.join(joins.small(factors(spark, d)), "date")
+    j = c.join(joins.small(daily_factors(spark, d)), "date")
     return j.groupBy("date").agg(F.count(F.lit(1)).alias("n"), r(F.avg(F.col("ret") - F.col("rf"))).alias("mean_excess"), r(F.max("mkt")).alias("mkt"))
 
 
@@ -276,12 +275,12 @@ def idio_vol_60(spark, d):
     return _ivol(spark, d).select("PERMNO", "month", r("idio_vol", 5).alias("idio_vol"))
 
 
-@query(f"""WITH {FACD}, {DAILY}, jd AS (SELECT PERMNO, dly.date, ret - rf y, mkt x FROM dly JOIN facd ON facd.date = dly.date),
+@query(f"""WITH {FACD}, {DAILY}, jd AS (SELECT PERMNO, dly.date, ret - rf y, mkt x FROM dly JOIN facd ON facd.date = dly.date WHERE mkt IS NOT NULL AND rf IS NOT NULL),
 rv AS (SELECT PERMNO, date, count(*) OVER w n, regr_sxx(y, x) OVER w sxx, regr_syy(y, x) OVER w syy, regr_sxy(y, x) OVER w sxy, lead(date) OVER (PARTITION BY PERMNO ORDER BY date) nx FROM jd WINDOW w AS (PARTITION BY PERMNO ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))
 SELECT PERMNO, last_day(date) AS month, round(sqrt(greatest(CASE WHEN sxx > 0 THEN syy - sxy * sxy / sxx ELSE syy END, 0) / (n - 2)) * sqrt(21), 5) idio_vol FROM rv WHERE n >= 30 AND (nx IS NULL OR last_day(nx) <> last_day(date))""")
-def idio_vol_excess(spark, d, factors=daily_factors):
+def idio_vol_excess(spark, d):
     """Excess returns on the market factor, as the published characteristic has it."""
-    market = factors(spark, d).select("date", "mkt", "rf").na.drop()
+    market = daily_factors(spark, d).select("date", "mkt", "rf").na.drop()
     v = panel.idio_vol(panel.daily_returns(table(spark, d, "crsp_daily")), market)
     return v.select("PERMNO", "month", r("idio_vol", 5).alias("idio_vol"))
 
@@ -299,11 +298,11 @@ def rank_transform(spark, d):
 MACRO_ORDERS = "mo AS (SELECT last_day(o_orderdate::DATE) mon, avg((o_orderpriority = '1-URGENT')::INT) a, avg((o_orderstatus = 'F')::INT) b FROM orders GROUP BY 1)"
 
 
-@query(f"""WITH {FACD}, fm AS (SELECT last_day(date) mon, product(1 + mkt) - 1 mkt, product(1 + rf) - 1 rf FROM facd GROUP BY 1),
+@query(f"""WITH {FACD}, fm AS (SELECT last_day(date) mon, {_months_sql(["mkt", "rf"])} FROM facd GROUP BY 1),
 sp AS (SELECT last_day(unnest(generate_series((SELECT date_trunc('month', min(mon)) FROM fm), (SELECT date_trunc('month', max(mon)) FROM fm), INTERVAL 1 MONTH))::DATE) mon)
-SELECT sp.mon AS month, round(coalesce(mkt, 0), 6) mkt, round(coalesce(rf, 0), 6) rf FROM sp LEFT JOIN fm USING (mon)""")
-def compounded_monthly_factor(spark, d, factors=daily_factors):
-    return windows.compound_months(factors(spark, d), "date", ["mkt", "rf"]).select("month", r("mkt").alias("mkt"), r("rf").alias("rf"))
+SELECT sp.mon AS month, CASE WHEN fm.mon IS NULL THEN 0 ELSE round(mkt, 6) END mkt, CASE WHEN fm.mon IS NULL THEN 0 ELSE round(rf, 6) END rf FROM sp LEFT JOIN fm ON fm.mon = sp.mon""")
+def compounded_monthly_factor(spark, d):
+    return windows.compound_months(daily_factors(spark, d), "date", ["mkt", "rf"]).select("month", r("mkt").alias("mkt"), r("rf").alias("rf"))
 
 
 @query("""WITH v AS (SELECT caldt d, max(vwretd::DOUBLE) FILTER (WHERE isfinite(vwretd)) a, max(totcnt) b FROM sp500_index GROUP BY 1),
@@ -336,17 +335,22 @@ def members(spark, d):
 # --- intervals, membership ---------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {BASE}, iv AS (SELECT DISTINCT permno, start, ending FROM sp500_constituents WHERE permno IS NOT NULL AND start IS NOT NULL AND ending IS NOT NULL)
+#: Memberships within the panel's window; a null end lasts to its end.
+IV = f"""iv AS (SELECT DISTINCT permno, greatest(start, DATE '{panel.PANEL_START}') AS start, least(coalesce(ending, DATE '{panel.PANEL_END}'), DATE '{panel.PANEL_END}') ending FROM sp500_constituents WHERE permno IS NOT NULL AND start IS NOT NULL
+  AND greatest(start, DATE '{panel.PANEL_START}') <= least(coalesce(ending, DATE '{panel.PANEL_END}'), DATE '{panel.PANEL_END}'))"""
+
+
+@query(f"""WITH {BASE}, {IV}
 SELECT PERMNO, MthCalDt, round(ret, 6) ret FROM base b WHERE EXISTS (SELECT 1 FROM iv WHERE iv.permno = b.PERMNO AND b.MthCalDt BETWEEN iv.start AND iv.ending)""")
-def interval_universe_filter(spark, d, held=constituents):
-    return panel.universe(_base(spark, d), held(spark, d)).select("PERMNO", "MthCalDt", r("ret").alias("ret"))
+def interval_universe_filter(spark, d):
+    return panel.universe(_base(spark, d), members(spark, d)).select("PERMNO", "MthCalDt", r("ret").alias("ret"))
 
 
-@query(f"""WITH {BASE}, iv AS (SELECT DISTINCT permno, start, ending FROM sp500_constituents), h AS (SELECT b.PERMNO, b.MthCalDt, iv.start, iv.ending, row_number() OVER (PARTITION BY b.PERMNO, b.MthCalDt ORDER BY start, ending) n
+@query(f"""WITH {BASE}, {IV}, h AS (SELECT b.PERMNO, b.MthCalDt, iv.start, iv.ending, row_number() OVER (PARTITION BY b.PERMNO, b.MthCalDt ORDER BY start, ending) n
   FROM base b JOIN iv ON iv.permno = b.PERMNO AND b.MthCalDt BETWEEN iv.start AND iv.ending) SELECT PERMNO, MthCalDt, start AS iv_start, ending AS iv_end FROM h WHERE n = 1""")
-def interval_first_hit(spark, d, held=constituents):
+def interval_first_hit(spark, d):
     b = _base(spark, d).select("PERMNO", "MthCalDt")
-    return intervals.first_interval_join(b, held(spark, d).distinct(), "PERMNO", "MthCalDt", "permno", "start", "ending")
+    return intervals.first_interval_join(b, members(spark, d).distinct(), "PERMNO", "MthCalDt", "permno", "start", "ending")
 
 
 @query("""WITH m AS (SELECT DISTINCT PERMNO, date_trunc('month', MthCalDt)::DATE mo FROM ccm_merged WHERE PERMNO IS NOT NULL AND MthCalDt IS NOT NULL),
@@ -384,23 +388,23 @@ def ticker_membership(spark, d):
 
 # --- composition -------------------------------------------------------------------------------------------------------------
 
-RFM = f"{FACD}, rfm AS (SELECT last_day(date) mon, product(1 + rf) - 1 rf FROM facd GROUP BY 1)"
+RFM = f"{FACD}, rfm AS (SELECT last_day(date) mon, {_months_sql(['rf'])} FROM facd GROUP BY 1)"
 DL = """dl AS (SELECT PERMNO, mon, CASE WHEN r IS NOT NULL THEN r WHEN c >= 400 AND c < 600 THEN -0.30 WHEN c IS NOT NULL THEN 0.0 END dl FROM (SELECT PERMNO, last_day(DLSTDT) mon, CASE WHEN isfinite(DLRET) THEN DLRET::DOUBLE END r, DLSTCD c,
   row_number() OVER (PARTITION BY PERMNO, last_day(DLSTDT) ORDER BY NOT coalesce(isfinite(DLRET), false), loaded_at DESC, rec_id DESC) n FROM delisting WHERE PERMNO IS NOT NULL AND DLSTDT IS NOT NULL) WHERE n = 1)"""
 
 
-def rf_months(spark, d, factors=daily_factors):
-    return compounded(factors(spark, d), ["rf"])
+def rf_months(spark, d):
+    return compounded(daily_factors(spark, d), ["rf"])
 
 
 @query(f"WITH {BASE}, {RFM} SELECT PERMNO, b.mon AS month, round(ret - rf, 6) ex_ret FROM base b LEFT JOIN rfm USING (mon)")
-def excess_return(spark, d, factors=daily_factors):
-    return panel.with_excess(_base(spark, d), rf_months(spark, d, factors)).select("PERMNO", "month", r("ex_ret").alias("ex_ret"))
+def excess_return(spark, d):
+    return panel.with_excess(_base(spark, d), rf_months(spark, d)).select("PERMNO", "month", r("ex_ret").alias("ex_ret"))
 
 
 @query(f"WITH {BASE}, {RFM}, {DL} SELECT b.PERMNO, b.mon AS month, round(CASE WHEN dl IS NOT NULL THEN (1 + coalesce(ret - rf, 0)) * (1 + dl) - 1 ELSE ret - rf END, 6) ex_ret FROM base b LEFT JOIN rfm USING (mon) LEFT JOIN dl ON dl.PERMNO = b.PERMNO AND dl.mon = b.mon")
-def delisting_compose(spark, d, factors=daily_factors):
-    p = panel.with_excess(_base(spark, d), rf_months(spark, d, factors))
+def delisting_compose(spark, d):
+    p = panel.with_excess(_base(spark, d), rf_months(spark, d))
     return panel.with_delisting(p, panel.delisting_returns(table(spark, d, "delisting"))).select("PERMNO", "month", r("ex_ret").alias("ex_ret"))
 
 
@@ -441,7 +445,7 @@ def char_panel_ranked(spark, d):
     return panel.ranked(_chars(spark, d)).select("PERMNO", "month", *[r(c).alias(c) for c in panel.FEATURES])
 
 
-PANEL_SQL = f"""WITH {CHARS}, {RFM}, {DL}, iv AS (SELECT DISTINCT permno, start, ending FROM sp500_constituents),
+PANEL_SQL = f"""WITH {CHARS}, {RFM}, {DL}, {IV},
 un AS (SELECT c.*, CASE WHEN dl IS NOT NULL THEN (1 + coalesce(ret - rf, 0)) * (1 + dl) - 1 ELSE ret - rf END ex FROM chars c LEFT JOIN rfm ON rfm.mon = c.mon LEFT JOIN dl ON dl.PERMNO = c.PERMNO AND dl.mon = c.mon
   WHERE EXISTS (SELECT 1 FROM iv WHERE iv.permno = c.PERMNO AND c.MthCalDt BETWEEN iv.start AND iv.ending)),
 rk AS (SELECT PERMNO, mon, ex, {_rank_sql("bm")} bm FROM un) SELECT mon AS month, count(*)::BIGINT n, string_agg(PERMNO::VARCHAR, ',' ORDER BY PERMNO) entities, round(sum(ex), 6) total_return, round(sum(bm * ex), 6) bm_return
@@ -449,23 +453,14 @@ FROM rk WHERE isfinite(ex) GROUP BY 1 HAVING count(*) >= 5"""
 
 
 @query(PANEL_SQL)
-def model_panel(spark, d, factors=daily_factors, held=constituents):
+def model_panel(spark, d):
     """The model's ragged panel: universe, excess returns, delisting, ranks, finite returns, arrays of each month of 5 rows or more; shown by its sums."""
-    p = panel.model_panel(_chars(spark, d), held(spark, d), rf_months(spark, d, factors), panel.delisting_returns(table(spark, d, "delisting")), least=5)
+    p = panel.model_panel(_chars(spark, d), members(spark, d), rf_months(spark, d), panel.delisting_returns(table(spark, d, "delisting")), least=5)
     total = F.aggregate("returns", F.lit(0.0), lambda a, x: a + x)
     by_rank = F.aggregate(F.zip_with("returns", F.transform("x", lambda v: v[panel.FEATURES.index("bm")]), lambda y, v: y * v), F.lit(0.0), lambda a, x: a + x)
     return p.select("month", F.size("entities").cast("long").alias("n"), F.array_join(F.transform("entities", lambda x: x.cast("string")), ",").alias("entities"), r(total).alias("total_return"), r(by_rank).alias("bm_return"))
 
 
-#: The same queries over every source and day; the SQL of those above states one source's complete days.
-for _f in (inner_join_factors, idio_vol_excess, compounded_monthly_factor, excess_return, delisting_compose):
-    QUERIES[f"{_f.__name__}_whole"] = partial(_f, factors=all_daily_factors)
-#: With open memberships, which the SQL leaves out.
-for _f in (interval_universe_filter, interval_first_hit):
-    QUERIES[f"{_f.__name__}_whole"] = partial(_f, held=members)
-QUERIES["model_panel_whole"] = partial(model_panel, factors=all_daily_factors, held=members)
-
-
 # --- order, set and shape ----------------------------------------------------------------------------------------------------
 
 

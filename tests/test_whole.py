@@ -40,14 +40,13 @@ def test_a_day_needs_no_complete_row_of_one_source(spark, tmp_path):
         of[days[6], s][8] = 0.0  # rf
     write_factors(spark, tmp_path, "ff_factors_daily", rows)
     write_factors(spark, tmp_path, "ff_factors", rows[:0])
-    got = {r["date"]: r for r in relational.all_daily_factors(spark, str(tmp_path)).collect()}
-    assert len(relational.daily_factors(spark, str(tmp_path)).collect()) == 17
+    got = {r["date"]: r for r in relational.daily_factors(spark, str(tmp_path)).collect()}
     assert sorted(got) == days and got[days[6]]["rf"] == 0.0
     assert all(abs(r["mkt"] / (0.009 * (1 + (i % 3) / 10)) - 1) < 1e-9 for i, r in enumerate(got[d] for d in days))
     true = 1.0
     for i in range(20):
         true *= 1 + (0.0 if i == 6 else 0.00015 * (1 + (i % 3) / 10))
-    assert abs(relational.rf_months(spark, str(tmp_path), relational.all_daily_factors).first()["rf"] - (true - 1)) < 1e-9
+    assert abs(relational.rf_months(spark, str(tmp_path)).first()["rf"] - (true - 1)) < 1e-9
 
 
 def test_a_day_without_a_figure_makes_its_month_null(spark, tmp_path):
@@ -58,7 +57,7 @@ def test_a_day_without_a_figure_makes_its_month_null(spark, tmp_path):
             r[8] = None
     write_factors(spark, tmp_path, "ff_factors_daily", rows)
     write_factors(spark, tmp_path, "ff_factors", rows[:0])
-    got = {r["month"].month: r["rf"] for r in relational.rf_months(spark, str(tmp_path), relational.all_daily_factors).collect()}
+    got = {r["month"].month: r["rf"] for r in relational.rf_months(spark, str(tmp_path)).collect()}
     assert got[1] is None and got[2] > 0
     assert prepare.factor_series(spark, str(tmp_path), "ff_factors_daily", ["rf"]).count() == 40
 
@@ -130,7 +129,7 @@ def test_kernels_of_whole_vectors(spark, tmp_path):
     x = np.random.default_rng(9).normal(0, 0.1, (6, 64))
     spark.createDataFrame([(i, i % 2, [float(v) for v in x[i]]) for i in range(6)], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     u = np.array([[((x[i] - x[k::2].mean(0)) ** 2).sum() / 2.0 for k in (0, 1)] for i in range(6)])
-    want = {"se_ard_kernel_whole": 1.5 * np.exp(-0.5 * u), "matern52_kernel_whole": 1.5 * (1 + np.sqrt(5 * u) + 5 / 3 * u) * np.exp(-np.sqrt(5 * u))}
+    want = {"se_ard_kernel": 1.5 * np.exp(-0.5 * u), "matern52_kernel": 1.5 * (1 + np.sqrt(5 * u) + 5 / 3 * u) * np.exp(-np.sqrt(5 * u))}
     for name, k in want.items():
         got = evaluation.QUERIES[name](spark, str(tmp_path)).collect()
         assert len(got) == 12 and all(abs(r["k"] - k[r["vec_id"], r["label"]]) < 2e-6 for r in got)
@@ -142,10 +141,10 @@ def test_a_large_return_stays_unless_it_is_flagged(spark, monkeypatch):
     monkeypatch.setattr(modeling, "_fund", lambda s, d: p)
     monkeypatch.setattr(modeling.panel, "with_ratios", lambda x: x)
     monkeypatch.setattr(modeling.panel, "with_momentum", lambda x: x)
-    monkeypatch.setattr(modeling, "rf_months", lambda s, d, f: spark.createDataFrame([(dt.date(2020, 1, 31), 0.0)], "month date, rf double"))
+    monkeypatch.setattr(modeling, "rf_months", lambda s, d: spark.createDataFrame([(dt.date(2020, 1, 31), 0.0)], "month date, rf double"))
     bad = p.where("PERMNO = 4").select("PERMNO", "month", "ret")
     assert {r["PERMNO"] for r in modeling.model_rows(spark, "", bad=bad).collect()} == {*range(25)} - {4}
-    assert {r["PERMNO"] for r in modeling.model_rows(spark, "").collect()} == {*range(25)} - {3, 4}
+    assert {r["PERMNO"] for r in modeling.model_rows(spark, "").collect()} == {*range(25)}
 
 
 def test_tables_of_all_models_and_figures(spark, tmp_path, monkeypatch):
