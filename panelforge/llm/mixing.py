@@ -17,9 +17,10 @@ def mix_copies(docs: DataFrame, key: str, source: str, size: str, targets: DataF
 
     ``targets``: source, target_share, max_repeats. ``total``: size of the mix; by default the largest at which every source that has any size
     can reach its share within its repeats. Every document of a source has the same expected copies, total * share / size of the
-    source, at most ``max_repeats``. Within a source, documents are laid out by size class and hash; the expected copies are summed
-    along that order, one random offset is added, and a document is used once for each integer that its stretch crosses. So copies
-    differ from the expectation by less than one, and each size class is met in proportion.
+    source, at most ``max_repeats``. Within a source, documents are laid out by size (in pieces by size class and hash); the expected copies
+    are summed along that order, one random offset is added, and a document is used once for each integer that its stretch crosses. So
+    copies differ from the expectation by less than one, neighbours in size stand in for each other, and the size used of a source differs from its
+    share by little more than its largest document.
 
     The prefix sums are two-level: positions inside a stretch (a piece of one source of bounded size) and counts of whole stretches, so
     a source with a third of all rows is never in one task.
@@ -47,7 +48,7 @@ def mix_copies(docs: DataFrame, key: str, source: str, size: str, targets: DataF
     used = used.withColumn("stretch", F.pmod(F.shiftright("h", 20), F.col("stretches")).cast("int"))
     counts = used.groupBy("src", "cls", "stretch").agg(F.count(F.lit(1)).alias("n"))  # sources * size classes * stretches
     ahead = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("cls", "stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    own = Window.partitionBy("src", "cls", "stretch").orderBy("h", "size", "k")
+    own = Window.partitionBy("src", "cls", "stretch").orderBy("size", "h", "k")
     ranked = used.withColumn("r", F.row_number().over(own)).join(ahead, ["src", "cls", "stretch"])  # both sides lie by stretch already
     offset = (F.pmod(F.xxhash64(F.lit(seed), F.col("src")), F.lit(1_000_003)) + 0.5) / 1_000_003
     end = F.col("before") + F.col("r")
