@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from panelforge.functions.scalar import finite, is_finite, safe_div
+from panelforge.operators.quantiles import exact_quantiles
 
 
 def entity_window(entity: str, time: str) -> WindowSpec:
@@ -62,7 +63,10 @@ def last_row_of_month(df: DataFrame, entity: str, time: str, *ties: Column) -> D
 
 
 def last_row(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row of each key in the given order (so give descending columns for the last row)."""
+    """The first row of each key in the given order (so give descending columns for the last row).
+
+    Spark limits each key's rows within every map task before they are shuffled (a partial WindowGroupLimit), so a hot key sends one row a task.
+    """
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__rn = 1").drop("__rn")
 
 
@@ -108,6 +112,7 @@ def buckets(df: DataFrame, time: str, score: str, entity: str, n: int = 10, out:
 
 
 def top_per_group(df: DataFrame, group: str, n: int, *order: Column) -> DataFrame:
+    """The first ``n`` rows of each group; up to Spark's windowGroupLimitThreshold (1000 by default) every map task sends at most ``n`` rows a group."""
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("__rn") <= n).drop("__rn")
 
 
@@ -134,17 +139,13 @@ def resample_last(df: DataFrame, time: str, columns: list[str]) -> DataFrame:
 
 
 def finite_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows, nulls, non-finite share, mean, extremes and quantiles of each column, one row a column, in one pass."""
-    aggs = []
-    for c in columns:
-        v = finite(F.col(c))
-        aggs.append(
-            F.struct(
-                F.lit(c).alias("column"), F.count(F.lit(1)).alias("n"), F.count_if(F.col(c).isNull()).alias("n_null"), F.count_if(v.isNull()).alias("n_bad"),
-                F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.percentile(v, F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99))).alias("q"),
-            ).alias(c)
-        )
-    return df.agg(*aggs).select(F.explode(F.array(*columns)).alias("s")).select("s.*")
+    """Rows, nulls, non-finite share, mean, extremes and exact quantiles of each column, one row a column."""
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).isNull().alias("null"), finite(F.col(c)).alias("v")) for c in columns])
+    long = df.select(F.explode(each).alias("x")).select("x.*")
+    stats = long.groupBy("column").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("null").alias("n_null"), F.count_if(F.col("v").isNull()).alias("n_bad"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.min("v").alias("lo"), F.max("v").alias("hi")
+    )
+    return stats.join(F.broadcast(exact_quantiles(long, ["column"], "v", (0.01, 0.5, 0.99))), "column")  # one row a column
 
 
 def ragged(df: DataFrame, time: str, entity: str, value: str, features: list[str], least: int = 30) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.plans import evaluation, modeling, prepare, relational
+from panelforge.plans import evaluation, gates, library, modeling, prepare, relational
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,8 +12,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {**relational.queries(), **evaluation.queries(), **modeling.queries(), **prepare.queries()}
+    return {**relational.queries(), **evaluation.queries(), **modeling.queries(), **library.queries(), **gates.queries(), **prepare.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**relational.oracle_sql(), **evaluation.oracle_sql(), **modeling.oracle_sql(), **prepare.oracle_sql()}
+    return {**relational.oracle_sql(), **evaluation.oracle_sql(), **modeling.oracle_sql(), **library.oracle_sql(), **prepare.oracle_sql()}

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from panelforge.functions.scalar import finite, is_finite, safe_div, safe_ln
 from panelforge.operators.asof import asof_slots
 from panelforge.operators.intervals import clip_intervals, membership_filter
-from panelforge.operators.windows import entity_window, last_row, momentum_12_1, ragged, rank_transform, with_residual_std
+from panelforge.operators.windows import entity_window, fill_forward_backward, full_rolling, last_row, momentum_12_1, ragged, rank_transform, with_residual_std
 
 PANEL_START, PANEL_END = "2000-01-01", "2024-12-31"
 FEATURES = ("log_mktcap", "bm", "ep", "mom_12_1", "mom_1", "roe", "roa", "asset_growth", "turnover", "idio_vol")
@@ -87,6 +87,13 @@ def market_returns(index: DataFrame, column: str = "sprtrn") -> DataFrame:
     return index.groupBy(F.col("caldt").alias("date")).agg(F.max(finite(F.col(column))).alias("mkt")).where("mkt IS NOT NULL")
 
 
+def volatility_proxy(index: DataFrame, column: str = "sprtrn") -> DataFrame:
+    """Each month's deviation of the last three monthly index returns, filled at the ends: month, r, vol."""
+    m = market_returns(index, column).groupBy(F.last_day("date").alias("month")).agg((F.exp(F.sum(F.log1p("mkt"))) - 1).alias("r"))
+    w = Window.orderBy("month")  # a monthly series: a few hundred rows
+    return m.withColumn("sd", full_rolling(F.stddev_samp("r"), F.col("r"), w, -2, 0)).select("month", "r", fill_forward_backward(F.col("sd"), w).alias("vol"))
+
+
 def idio_vol(daily: DataFrame, market: DataFrame, rows: int = 60, least: int = 30) -> DataFrame:
     """Residual deviation of the last ``rows`` daily rows on the market, at the last row of each (PERMNO, month).
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from panelforge.functions.scalar import finite, is_finite, month_ordinal, null_tokens, parse_day
 from panelforge.operators import intervals, joins, sampling, windows
+from panelforge.operators.quantiles import exact_quantiles
 from panelforge.plans import panel, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,8 +103,10 @@ def null_finite_profile(spark, d):
 @query("""SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.01), 4) p01, round(quantile_cont(l_extendedprice, 0.5), 4) p50, round(quantile_cont(l_extendedprice, 0.99), 4) p99,
   round(median(l_quantity), 4) med_qty FROM lineitem GROUP BY 1, 2""")
 def char_quantiles(spark, d):
-    g = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.percentile("l_extendedprice", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99))).alias("q"), F.median("l_quantity").alias("m"))
-    return g.select("l_returnflag", "l_linestatus", r(F.col("q")[0], 4).alias("p01"), r(F.col("q")[1], 4).alias("p50"), r(F.col("q")[2], 4).alias("p99"), r("m", 4).alias("med_qty"))
+    t, keys = table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"]
+    price, qty = exact_quantiles(t, keys, "l_extendedprice", (0.01, 0.5, 0.99)), exact_quantiles(t, keys, "l_quantity", (0.5,), "m")
+    g = price.join(qty, keys)
+    return g.select(*keys, r(F.col("q")[0], 4).alias("p01"), r(F.col("q")[1], 4).alias("p50"), r(F.col("q")[2], 4).alias("p99"), r(F.col("m")[0], 4).alias("med_qty"))
 
 
 @query("""SELECT src, count(*) FILTER (WHERE DLSTCD BETWEEN 100 AND 199)::BIGINT active, count(*) FILTER (WHERE DLSTCD BETWEEN 200 AND 399)::BIGINT merged, count(*) FILTER (WHERE DLSTCD BETWEEN 400 AND 599)::BIGINT failed,
