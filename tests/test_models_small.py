@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelforge import api, session
 from panelforge.models import em, rolling
+from panelforge.models.forest import grow
 from panelforge.plans import gates, panel, pipeline
 from panelforge.sources import writers
 
@@ -140,3 +141,20 @@ def test_no_local_checkpoint_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_trees_fit_their_rows_and_split_best():
+    rng = np.random.default_rng(5)
+    x = np.round(rng.uniform(-0.5, 0.5, (150, 3)), 2)
+    y = np.sin(4 * x[:, 0]) + x[:, 1] ** 2 + rng.normal(0, 0.05, 150)
+    stump = grow(x, y, None, 1)
+    sse = min(((y[m] - y[m].mean()) ** 2).sum() + ((y[~m] - y[~m].mean()) ** 2).sum() for f in range(3) for c in np.unique(x[:, f])[:-1] for m in [x[:, f] <= c])
+    assert abs(((y - stump.predict(x)) ** 2).sum() - sse) < 1e-9 and len(stump.value) == 3
+    whole = grow(x, y, None, 60)
+    groups = {tuple(r): y[(x == r).all(1)].mean() for r in x}
+    assert np.allclose(whole.predict(x), [groups[tuple(r)] for r in x])
+    assert grow(x[:1], y[:1], None, 5).predict(x).tolist() == [y[0]] * 150
+    xt = rng.uniform(-0.5, 0.5, (300, 3))
+    got = np.mean([grow(x, y, np.random.default_rng(t), 30).predict(xt) for t in range(40)], 0)
+    want = np.sin(4 * xt[:, 0]) + xt[:, 1] ** 2
+    assert 1 - ((got - want) ** 2).sum() / ((want - want.mean()) ** 2).sum() > 0.9
