@@ -25,6 +25,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.memory", "8g")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.executorEnv.OMP_NUM_THREADS", "1")  # one task a core, so linear algebra takes no more
         .getOrCreate()
     )
 
