@@ -46,6 +46,7 @@ class _Panel:
     others: list[str]  # predictors, filled within the chain only
     bounds: np.ndarray  # (fields, 2)
     means: np.ndarray  # (fields + others)
+    months: np.ndarray  # sorted ordinals of the months that have cells
     cell_sum: np.ndarray  # (codes, months, fields)
     cell_n: np.ndarray
     seed: int
@@ -69,7 +70,10 @@ class _Panel:
         with np.errstate(all="ignore"):
             by_entity = np.where(n > 0, total / n, np.nan)
         fills = [get(c).astype(int) for c in b.schema.names if c.startswith("fill_")]
-        return {"y": y, "entity": by_entity, "h": get("h").astype(np.int64), "code": get("code").astype(int), "month": get("month").astype(int), "fills": np.stack(fills, 1) if fills else np.zeros((len(y), 0), int)}
+        month = get("month").astype(int)
+        at = np.searchsorted(self.months, month)
+        place = np.where((at < len(self.months)) & (np.append(self.months, -2)[at] == month), at, -1)
+        return {"y": y, "entity": by_entity, "h": get("h").astype(np.int64), "code": get("code").astype(int), "month": place, "fills": np.stack(fills, 1) if fills else np.zeros((len(y), 0), int)}
 
     def codes(self, d: dict, r: int) -> np.ndarray:
         """Each row's code in round ``r``: its own, else the fill of that round; -1 for none."""
@@ -232,7 +236,7 @@ def impute_chained(
     for r in cells:
         for i in range(k):
             cell_sum[r["code"], months[r["month"]], i], cell_n[r["code"], months[r["month"]], i] = r[f"s_{i}"] or 0.0, r[f"n_{i}"]
-    panel = _Panel(names, list(predictors), np.array(list(fields.values())).reshape(k, 2), means, cell_sum, cell_n, seed, [])
+    panel = _Panel(names, list(predictors), np.array(list(fields.values())).reshape(k, 2), means, np.array(sorted(months), int), cell_sum, cell_n, seed, [])
     known = [(i, name) for i, name in enumerate(names) if whole and whole[f"n_{i}"]]
 
     votes = F.array(*[F.coalesce(F.sum(F.when(F.col("code") == c, F.col("n"))), F.lit(0)) for c in range(n_codes)])
@@ -243,10 +247,9 @@ def impute_chained(
     tally = about.agg(F.sum(F.array_max("votes")).alias("most"), F.sum(F.aggregate("votes", F.lit(0).cast("long"), lambda a, v: a + v)).alias("all")).first()
     err = ((tally["all"] or 0) - (tally["most"] or 0) + 0.5) / ((tally["all"] or 0) + 1.0)
     vote = float(np.log((1 - err) * max(1, n_codes - 1) / err))  # nats that an own code says for itself
-    at = F.create_map(*[F.lit(x) for m, j in months.items() for x in (m, j)]) if months else None
     joined = base.join(about.drop("votes"), F.col("entity") == F.col("__e"), "left").select(
         "row", "entity", "time", F.when(F.col("entity").isNull(), F.col("row")).alias("lone"), F.xxhash64(F.lit(seed), "row").alias("h"), "code",
-        (F.coalesce(F.try_element_at(at, F.col("month")), F.lit(-1)) if months else F.lit(-1)).alias("month"), *[f"y_{i}" for i in range(len(every))],
+        "month", *[f"y_{i}" for i in range(len(every))],
         *[F.coalesce(f"e{t}_{i}", F.when(F.lit(t == "n"), 0.0), F.lit(0.0)).alias(f"e{t}_{i}") for i in range(k) for t in "sn"], F.coalesce("fill_0", F.lit(-1)).alias("fill_0"),
     )
     start = cut_lineage(joined)
